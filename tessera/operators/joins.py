@@ -241,11 +241,8 @@ def _diagnostics(result: DataFrame, duplicates: DataFrame) -> DataFrame:
         F.count(F.when(in_main & ~in_rel, 1)).cast("long").alias("main_only"),
         F.count(F.when(~in_main & in_rel, 1)).cast("long").alias("related_only"),
     )
-    # two single-row aggregates side by side: stack them and take each column's max
-    parts = counts.withColumn("duplicates", F.lit(None).cast("long")).unionByName(
-        duplicates.select(*[F.lit(None).cast("long").alias(c) for c in counts.columns], "duplicates")
-    )
-    return parts.agg(*[F.max(c).alias(c) for c in [*counts.columns, "duplicates"]])
+    # the duplicate count is a one-row aggregate: attach it as a scalar subquery
+    return counts.withColumn("duplicates", duplicates.select("duplicates").scalar())
 
 
 def chain_join(

@@ -102,6 +102,13 @@ def dense_index(
 def first_appearance_numbers(
     groups: DataFrame, first: str, name: str = "part_no", total: str = "total_parts"
 ) -> DataFrame:
-    """Number groups 1..k by their first ordinal (manifest-sized input)."""
-    out = dense_index(groups, [first], name="_gidx", total=total)
-    return out.withColumn(name, F.col("_gidx") + 1).drop("_gidx")
+    """Number groups 1..k by their first ordinal.
+
+    ``groups`` is a manifest: one row per output group, so its size is bounded
+    by the number of outputs a sink can create (not by the data), and a
+    window over it is cheap.  Row-level numbering uses ``dense_index``.
+    """
+    everything = Window.partitionBy()
+    return groups.withColumn(name, F.row_number().over(Window.orderBy(first)).cast("long")).withColumn(
+        total, F.count(F.lit(1)).over(everything).cast("long")
+    )

@@ -135,3 +135,19 @@ def test_json_text(spark):
     row = df.select(V.json_text(df["a"], df.schema["a"].dataType).alias("a"), V.json_text(df["m"], df.schema["m"].dataType).alias("m")).collect()[0]
     assert (row["a"], row["m"]) == ("[1,2]", '{"a":1}')
     assert F is not None
+
+
+def test_python_unicode_backend_agrees(spark):
+    texts = ["Ｎａｍｅ（ID）", "Straße", " ﬁle ", "ǅ", "abc", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+
+    def run():
+        return [tuple(r) for r in df.select(V.nfkc("v"), V.casefold("v"), V.fold_key("v")).collect()]
+
+    jvm = run()
+    V.set_unicode_backend("python")
+    try:
+        py = run()
+    finally:
+        V.set_unicode_backend("jvm")
+    assert jvm == py
