@@ -15,7 +15,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.values import RUN_PATTERN, TRIM_PATTERN, col_of
+from tessera.functions.values import WS_RUN_PATTERN, col_of, trim_ws
 
 # Characters not allowed in file names, and reserved device names.
 UNSAFE_PATH_CHARS = '[<>:"/\\\\|?*\\x00-\\x1f]'
@@ -42,8 +42,8 @@ def _rstrip_dots(c: Column) -> Column:
 def safe_path_name(c: Column | str, fallback: str = "output", max_length: int = MAX_PATH_NAME) -> Column:
     """replace unsafe characters by ``_``, trim, drop trailing dots, guard reserved names."""
     c = F.regexp_replace(col_of(c), UNSAFE_PATH_CHARS, "_")
-    c = _rstrip_dots(F.regexp_replace(c, TRIM_PATTERN, ""))
-    c = F.regexp_replace(c, RUN_PATTERN, " ")
+    c = _rstrip_dots(trim_ws(c))
+    c = F.regexp_replace(c, WS_RUN_PATTERN, " ")
     c = F.when(c == "", F.lit(fallback)).otherwise(c)
     c = F.when(F.upper(c).isin(*RESERVED_NAMES), F.concat(F.lit("_"), c)).otherwise(c)
     c = _rstrip_dots(F.substring(c, 1, max_length))
