@@ -305,12 +305,14 @@ def side_by_side(
     gap: int = 0,
     basic_names: bool = False,
     keep_position: bool = False,
+    hidden: Sequence[str] = (),
 ) -> DataFrame:
     """Align rows by position, pad short tables with NULL.
 
     ``prefix`` names columns ``label · column``; repeats get ``_2``... (or,
     with ``basic_names``, ``column_Source{i}``).  ``gap`` blank spacer columns
-    ``__gap_{i}_{p}`` holding ``''`` go between tables.  Each table gets a dense
+    ``__gap_{i}_{p}`` holding ``''`` go between tables; ``hidden`` columns (an
+    ordinal, say) order the rows but are not shown.  Each table gets a dense
     index; the tables are full-outer joined on it (unique keys, no skew).
     """
     if not frames:
@@ -321,7 +323,8 @@ def side_by_side(
     order_out: list[str] = []
     for i, (frame, order, label) in enumerate(zip(frames, order_bys, labels), start=1):
         mapping = {}
-        for c in frame.columns:
+        shown = [c for c in frame.columns if c not in hidden]
+        for c in shown:
             if basic_names:
                 name = _unique(c, used, basic_source=i, original=c)
             else:
@@ -329,8 +332,8 @@ def side_by_side(
             mapping[c] = name
             used.add(name)
         indexed = dense_index(frame, order, name="_pos")
-        pieces.append(indexed.select("_pos", *[F.col(c).alias(mapping[c]) for c in frame.columns]))
-        order_out += [mapping[c] for c in frame.columns]
+        pieces.append(indexed.select("_pos", *[F.col(c).alias(mapping[c]) for c in shown]))
+        order_out += [mapping[c] for c in shown]
         if gap and i < len(frames):
             order_out += [f"__gap_{i}_{p}" for p in range(1, gap + 1)]
     joined = reduce(lambda a, b: a.join(b, "_pos", "full_outer"), pieces)
