@@ -45,9 +45,14 @@ def _sum_type(number: Column, df: DataFrame, field: str) -> str:
 
 
 def aggregate(
-    df: DataFrame, group_fields: Sequence[str], value_fields: Sequence[str], method: str = "sum"
+    df: DataFrame,
+    group_fields: Sequence[str],
+    value_fields: Sequence[str],
+    method: str = "sum",
+    sort_groups: bool = False,
 ) -> DataFrame:
-    """One row per group; value columns keep their names."""
+    """One row per group; value columns keep their names.  O6:
+    ``sort_groups`` orders the result by the group keys, ascending."""
     group_fields, value_fields = list(group_fields), list(value_fields)
     missing = [f for f in [*group_fields, *value_fields] if f not in df.columns]
     if missing:
@@ -57,4 +62,5 @@ def aggregate(
     method = method.lower()
     if method not in METHODS:
         raise ValueError(f"Unknown aggregate method: {method}")
-    return df.groupBy(*group_fields).agg(*[_measure(df, v, method).alias(v) for v in value_fields])
+    out = df.groupBy(*group_fields).agg(*[_measure(df, v, method).alias(v) for v in value_fields])
+    return out.orderBy(*group_fields) if sort_groups else out

@@ -981,6 +981,34 @@ def p6_drop_empty_rows(spark, sf):
     return C.drop_empty_rows(_sparse_part(spark, sf))
 
 
+@query(
+    "s7_drop_null_rows",
+    "SELECT a, b, c FROM (SELECT CASE WHEN p_size < 10 THEN '  ' ELSE p_name END AS a, "
+    "CASE WHEN p_size < 10 THEN NULL ELSE p_brand END AS b, CASE WHEN p_size < 10 THEN '' ELSE p_type END AS c FROM part "
+    "UNION ALL SELECT NULL, NULL, NULL FROM part WHERE p_size > 45) WHERE NOT (a IS NULL AND b IS NULL AND c IS NULL)",
+)
+def s7_drop_null_rows(spark, sf):
+    """Only rows whose every cell is NULL go; blank strings are values."""
+    empty = table(spark, sf, "part").filter(F.col("p_size") > 45).select(
+        *[F.lit(None).cast("string").alias(c) for c in ("a", "b", "c")]
+    )
+    return C.drop_empty_rows(_sparse_part(spark, sf).unionByName(empty), blanks_are_empty=False)
+
+
+@query(
+    "p9_clean_width_first",
+    "SELECT p_partkey, regexp_replace(regexp_replace(replace(p_name_dirty, chr(12288), ' '), '^\\s+|\\s+$', '', 'g'), "
+    "'\\s+', ' ', 'g') AS p_name_dirty "
+    "FROM (SELECT p_partkey, chr(12288) || '  ' || replace(p_name, ' ', ' ' || chr(12288) || ' ') AS p_name_dirty FROM part)",
+)
+def p9_clean_width_first(spark, sf):
+    """Width (NFKC) before trim and collapse; ideographic spaces become plain ones first."""
+    p = table(spark, sf, "part")
+    wide = F.concat(F.lit("\u3000  "), F.regexp_replace("p_name", " ", " \u3000 ")).alias("p_name_dirty")
+    opts = C.CleaningOptions(trim_whitespace=True, collapse_whitespace=True, normalize_width=True, order="width_first")
+    return C.clean(p.select("p_partkey", wide), opts)
+
+
 @query("p8_clean_dedupe", "SELECT DISTINCT * FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders)")
 def p8_clean_dedupe(spark, sf):
     o = table(spark, sf, "orders")

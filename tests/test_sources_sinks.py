@@ -161,3 +161,14 @@ def test_reconcile_and_report(spark):
     row = report_frame(spark, rep).collect()[0]
     assert row["seconds"] == 2.0 and row["balanced"] is True
     assert F is not None
+
+
+def test_read_grid_table_modes(spark):
+    grid = _grid(spark, [["Quarterly report", None, None], ["ID", "Name", "Date"], [1, "A", "2026-01-01"], [2, "B", None], [None, None, None], ["Total", None, None]])
+    auto = G.read_grid_table(grid, "f.xlsx", "Sheet1", G.TableStructure(skip_bottom_rows=1))
+    assert auto.columns == ["ID", "Name", "Date"]
+    assert [tuple(r) for r in auto.collect()] == [("1", "A", "2026-01-01"), ("2", "B", None)]
+    none = G.read_grid_table(grid, "f.xlsx", "Sheet1", G.TableStructure(header_mode="none", data_start_row=3, drop_empty_rows=False))
+    assert none.columns == ["Column_1", "Column_2", "Column_3"] and none.count() == 4
+    multi = G.read_grid_table(grid, "f.xlsx", "Sheet1", G.TableStructure(header_mode="multi_row", header_row=1, header_end_row=2))
+    assert multi.columns[0] == "Quarterly report_ID"
