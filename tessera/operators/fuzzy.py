@@ -2,16 +2,23 @@
 
 Each distinct related key is remapped to the most similar distinct main key
 when the Ratcliff-Obershelp score reaches the threshold; ties go to the main
-key seen first.  Instead of scoring every pair, the plan only scores pairs
-that can reach the threshold, and the answer equals the full search:
+key seen first.  No pair is scored unless it can reach the threshold, and
+the answer equals the full search:
 
 1. exact matches (score 100, unbeatable) are resolved by an equi-join and
    removed with ``left_anti``;
-2. ``M <= min(|a|, |b|)`` bounds the partner length to a band around ``|a|``:
-   the related side explodes its band and equi-joins the main side on length
-   (plus a salt, so one popular length spreads over many tasks);
-3. the vectorised scorer checks the two quick upper bounds before the full
-   match and scores pairs that cannot reach the floor as -1;
+2. the matched characters ``M`` of a pair are at most the overlap of the two
+   strings' character multisets, and the threshold needs
+   ``M >= ceil(tau*(|a|+|b|)/2)``.  Each string becomes a set of tokens
+   (character, occurrence number), ordered globally from rarest to most
+   common; by the prefix-filtering argument two strings whose overlap reaches
+   ``t`` share a token among the first ``|s| - t + 1`` tokens of each.  Each
+   side uses a lower bound of ``t`` valid for every partner length the length
+   band allows, so candidates are pairs that share a prefix token: an
+   equi-join on the token instead of all pairs;
+3. candidate pairs outside the length band (``M <= min(|a|, |b|)``) are
+   dropped, and the vectorised scorer checks the two quick upper bounds
+   before the full match;
 4. ``max_by(main, struct(score, -first_rank))`` picks the winner per key.
 """
 
@@ -19,20 +26,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.values import normalize_field_name, similarity
 from tessera.operators.ordinals import dense_index
 
 _EPS = 1e-9
+_TOKEN_SEP = "\u0001"
 
 
-def _band(length, tau: float):
-    low = max(tau - _EPS, _EPS)
+def _floor_tau(tau: float) -> float:
+    return max(tau - _EPS, _EPS)
+
+
+def _band(length: Column, tau: float) -> tuple[Column, Column]:
+    """Partner lengths a pair can have and still reach ``tau`` (rounded outward)."""
+    low = _floor_tau(tau)
     lo = F.floor(length * F.lit(low / (2.0 - low)))
     hi = F.ceil(length * F.lit((2.0 - low) / low))
-    return lo.cast("int"), hi.cast("int")
+    return F.greatest(lo, F.lit(1)).cast("int"), hi.cast("int")
+
+
+def _tokens(strings: DataFrame, col: str) -> DataFrame:
+    """(string, token): each character numbered by its occurrence, so the
+    multiset overlap of two strings is the size of their token intersection."""
+    chars = F.split(F.col(col), "")
+    numbered = F.transform(
+        chars,
+        lambda x, i: F.concat(
+            x, F.lit(_TOKEN_SEP), F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)).cast("string")
+        ),
+    )
+    return strings.select(col, F.explode(numbered).alias("tok"))
+
+
+def _prefix_tokens(strings: DataFrame, col: str, ranks: DataFrame, tau: float) -> DataFrame:
+    """(string, token) for the rarest ``|s| - t + 1`` tokens of each string."""
+    low = _floor_tau(tau)
+    n = F.length(F.col(col))
+    lo, _hi = _band(n, tau)
+    need = F.greatest(F.lit(1), F.floor(F.lit(low) * (n + lo) / 2)).cast("int")
+    ranked = _tokens(strings, col).join(ranks, "tok")
+    per_string = ranked.groupBy(col).agg(F.array_sort(F.collect_list(F.struct("freq", "tok"))).alias("_toks"))
+    prefix = F.slice(F.col("_toks"), 1, F.greatest(F.lit(1), n - need + 1))
+    return per_string.select(col, F.explode(prefix).alias("_t")).select(col, F.col("_t.tok").alias("tok"))
 
 
 def best_matches(
@@ -40,7 +78,6 @@ def best_matches(
     candidates: DataFrame,
     threshold_ratio: float,
     scale: float = 1.0,
-    salt: int = 16,
 ) -> DataFrame:
     """For each query string ``q`` the best candidate ``c`` with ``ratio(q, c)*scale >= threshold``.
 
@@ -48,27 +85,30 @@ def best_matches(
     tie order.  Returns (q, c, score) for queries that found a partner.
     """
     tau = threshold_ratio
-    q = queries.withColumn("_qlen", F.length("q"))
-    lo, hi = _band(F.col("_qlen"), tau)
-    q = q.withColumn("_len", F.explode(F.sequence(F.greatest(lo, F.lit(1)), hi))).withColumn(
-        "_salt", F.pmod(F.xxhash64("q"), F.lit(salt))
-    )
-    c = candidates.withColumn("_len", F.length("c")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
+    qs = queries.select("q").filter(F.length("q") > 0).distinct()
+    cs = candidates.filter(F.length("c") > 0)
+    distinct_c = cs.select("c").distinct()
+    # token frequency over both sides: the global order is rarest first
+    ranks = (
+        _tokens(qs, "q").select("tok").unionByName(_tokens(distinct_c, "c").select("tok"))
+        .groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
     )
-    pairs = q.join(c, ["_len", "_salt"]).select(
+    q_prefix = _prefix_tokens(qs, "q", ranks, tau)
+    c_prefix = _prefix_tokens(distinct_c, "c", ranks, tau)
+    pairs = q_prefix.join(c_prefix, "tok").select("q", "c").distinct()
+    lo, hi = _band(F.length("q"), tau)
+    pairs = pairs.filter(F.length("c").between(lo, hi))
+    scored = pairs.join(cs, "c").select(
         "q", "c", "rank", (similarity("q", "c", floor=max(tau - _EPS, 0.0)) * F.lit(scale)).alias("score")
     )
-    best = pairs.groupBy("q").agg(
+    best = scored.groupBy("q").agg(
         F.max("score").alias("score"),
         F.max_by("c", F.struct(F.col("score"), -F.col("rank"))).alias("c"),
     )
     return best.filter(F.col("score") >= F.lit(threshold_ratio * scale))
 
 
-def fuzzy_key_map(
-    main_keys: DataFrame, related_keys: DataFrame, threshold: float, salt: int = 16
-) -> DataFrame:
+def fuzzy_key_map(main_keys: DataFrame, related_keys: DataFrame, threshold: float) -> DataFrame:
     """J10 mapping ``(key, target)`` for related keys that move to another main key.
 
     ``main_keys``: (key, first) one row per distinct non-empty main key with its
@@ -81,7 +121,7 @@ def fuzzy_key_map(
     rest = related_keys.select(F.col("key").alias("q")).join(
         ranked.select(F.col("c").alias("q")), "q", "left_anti"
     )
-    best = best_matches(rest, ranked, threshold / 100.0, scale=100.0, salt=salt)
+    best = best_matches(rest, ranked, threshold / 100.0, scale=100.0)
     return best.select(F.col("q").alias("key"), F.col("c").alias("target"))
 
 
@@ -104,7 +144,7 @@ def suggest_field_mapping(
         [(t, normalize_field_name(t), i) for i, t in enumerate(target_fields)],
         "target string, c string, rank long",
     )
-    best = best_matches(src.select("q").distinct(), tgt.select("c", "rank"), threshold, salt=1)
+    best = best_matches(src.select("q").distinct(), tgt.select("c", "rank"), threshold)
     # several targets may share a normalised name: the earliest one wins
     first_target = tgt.groupBy("c").agg(F.min_by("target", "rank").alias("target"))
     out = src.join(best, "q").join(first_target, "c")

@@ -151,12 +151,12 @@ def _brute(main_vals, rel_vals, threshold):
     return out
 
 
-@pytest.mark.parametrize("threshold", [50, 80, 95])
-def test_fuzzy_map_equals_full_search(spark, threshold):
+@pytest.mark.parametrize("threshold,alphabet,n", [(50, "abcde", 60), (72, "abcdefgh", 150), (80, "abcde", 60), (85, "aab日本c", 150), (95, "abcde", 60), (99, "ab", 80)])
+def test_fuzzy_map_equals_full_search(spark, threshold, alphabet, n):
     rnd = random.Random(threshold)
-    alphabet = "abcde"
-    main = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 9))) for _ in range(60)]
-    rel = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 9))) for _ in range(60)] + main[:5]
+    main = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 12))) for _ in range(n)]
+    rel = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 12))) for _ in range(n)] + main[:5]
+    rel += [m[:-1] + rnd.choice(alphabet) for m in main[5:25] if len(m) > 1]
     main_keys = spark.createDataFrame(
         [(k, i) for k, i in {m: i for i, m in reversed(list(enumerate(main)))}.items()], "key string, first long"
     )
