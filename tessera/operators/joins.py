@@ -105,9 +105,14 @@ def apply_duplicate_policy(
     if order_by is None:
         raise ValueError(f"Duplicate policy '{policy}' needs order_by")
     complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    keyed, loose = df.filter(complete), df.filter(~complete)
+    # A row with an incomplete key never matches and is never a duplicate: a
+    # unique id keeps it in a group of its own, so one aggregation over one
+    # scan handles both kinds of rows.
+    solo = "__solo"
+    keyed = df.withColumn(solo, F.when(~complete, F.monotonically_increasing_id()))
+    keys = [*keys, solo]
     if policy in ("first", "last"):
-        kept = keep_one_per_key(keyed, keys, order_by, policy)
+        kept = keep_one_per_key(keyed, keys, order_by, policy).drop(solo)
     else:
         # AGGREGATE: numeric non-key columns summed (an all-missing group sums
         # to 0), every other column takes its first non-missing value.
@@ -125,7 +130,7 @@ def apply_duplicate_policy(
             else:
                 aggs.append(F.min_by(c, F.when(c.isNotNull(), ordinal)).alias(f.name))
         kept = keyed.groupBy(*keys).agg(*aggs).select(*df.columns)
-    return kept.unionByName(loose)
+    return kept
 
 
 def _renamed(df: DataFrame, overlap: set[str], suffix: str) -> DataFrame:

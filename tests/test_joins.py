@@ -172,3 +172,12 @@ def test_field_mapping_suggestion(spark):
     assert ("Customer Name", "CustomerName") in got
     assert ("amount", "Amount") in got
     assert all(s != t for s, t in got)
+
+
+def test_incomplete_keys_pass_through_duplicate_policy(frame):
+    main = frame([("a",)], "K string")
+    rel = frame([("", 1), (" ", 2), ("a", 3), ("a", 4), (None, 5)], "K string, v long")
+    res = J.key_join(main, rel, J.JoinSpec(["K"], ["K"], how="outer", duplicate_policy="first"), related_order=["v"])
+    rows = sorted((r["v"], r["K_main"]) for r in res.df.collect())
+    assert rows == [(1, None), (2, None), (3, "a"), (5, None)]
+    assert _diag(res)["duplicates"] == 2
