@@ -151,3 +151,12 @@ def test_python_unicode_backend_agrees(spark):
     finally:
         V.set_unicode_backend("jvm")
     assert jvm == py
+
+
+def test_text_of_like_python_str(spark):
+    values = [dt.datetime(2024, 1, 1, 0, 0, 7, 179500), dt.datetime(2024, 1, 1, 0, 0, 7)]
+    df = spark.createDataFrame([(v,) for v in values], "v timestamp")
+    got = [r["t"] for r in df.select(V.text_of(df["v"], df.schema["v"].dataType).alias("t")).collect()]
+    assert got == [str(v) for v in values]
+    assert _one(spark, float("inf"), "double", V.text_of) == "inf"
+    assert _one(spark, False, "boolean", V.text_of) == "False"
