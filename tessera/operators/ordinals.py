@@ -104,11 +104,11 @@ def first_appearance_numbers(
 ) -> DataFrame:
     """Number groups 1..k by their first ordinal.
 
-    ``groups`` is a manifest: one row per output group, so its size is bounded
-    by the number of outputs a sink can create (not by the data), and a
-    window over it is cheap.  Row-level numbering uses ``dense_index``.
+    The number of groups depends on the data (a split by a customer id has
+    millions), so this uses the distributed ``dense_index`` rather than a
+    window that would put every group in one task.
     """
-    everything = Window.partitionBy()
-    return groups.withColumn(name, F.row_number().over(Window.orderBy(first)).cast("long")).withColumn(
-        total, F.count(F.lit(1)).over(everything).cast("long")
-    )
+    numbered = dense_index(groups, [first], name="_gidx", total=total)
+    return numbered.withColumn(name, (F.col("_gidx") + 1).cast("long")).withColumn(
+        total, F.col(total).cast("long")
+    ).drop("_gidx")

@@ -709,7 +709,7 @@ def j2_join_outer(spark, sf):
     "j13_join_diagnostics",
     "SELECT count(*) FILTER (WHERE m.c_custkey IS NOT NULL AND r.o_orderkey IS NOT NULL) AS matched, "
     "count(*) FILTER (WHERE r.o_orderkey IS NULL) AS main_only, count(*) FILTER (WHERE m.c_custkey IS NULL) AS related_only, "
-    f"(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM ({_REFS_SQL}) GROUP BY lower(trim(cust_ref)) HAVING count(*) > 1)) "
+    f"(SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM ({_REFS_SQL}) GROUP BY lower(trim(cust_ref)) HAVING count(*) > 1)) "
     f"AS duplicates FROM ({_BUILDING_SQL}) m FULL OUTER JOIN ({_REFS_SQL}) r ON lower(trim(m.c_name)) = lower(trim(r.cust_ref))",
 )
 def j13_join_diagnostics(spark, sf):
