@@ -138,12 +138,13 @@ def _renamed(df: DataFrame, overlap: set[str], suffix: str) -> DataFrame:
     return df.withColumnsRenamed(mapping) if mapping else df
 
 
-def _coalesced(a: DataFrame, b: str, c: str, joined: DataFrame) -> Column:
-    ta, tb = joined.schema[b].dataType, joined.schema[c].dataType
-    primary, fallback = F.col(b), F.col(c)
-    if ta != tb:
-        primary, fallback = text_of(primary, ta), text_of(fallback, tb)
-    return F.when(is_blank(F.col(b), ta), fallback).otherwise(primary)
+def _coalesced(joined: DataFrame, primary_name: str, fallback_name: str) -> Column:
+    """F11 over two joined columns; differing types meet as text."""
+    tp, tf = joined.schema[primary_name].dataType, joined.schema[fallback_name].dataType
+    primary, fallback = F.col(primary_name), F.col(fallback_name)
+    if tp != tf:
+        primary, fallback = text_of(primary, tp), text_of(fallback, tf)
+    return F.when(is_blank(F.col(primary_name), tp), fallback).otherwise(primary)
 
 
 def key_join(
@@ -229,7 +230,7 @@ def key_join(
             a, b = f"{c}{spec.main_suffix}", f"{c}{spec.related_suffix}"
             primary, fallback = (a, b) if spec.conflict_policy == "prefer_main" else (b, a)
             keep = [i for i, nm in enumerate(names) if nm not in (a, b)]
-            cols = [cols[i] for i in keep] + [_coalesced(joined, primary, fallback, joined).alias(c)]
+            cols = [cols[i] for i in keep] + [_coalesced(joined, primary, fallback).alias(c)]
             names = [names[i] for i in keep] + [c]
     if carry_keys:
         cols += [F.coalesce(F.col(m), F.col(r)).alias(f"__carry{i}") for i, (m, r) in enumerate(zip(mk, rk))]

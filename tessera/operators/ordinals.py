@@ -79,13 +79,10 @@ def dense_index(
     """Add a 0-based dense row index in ``order_by`` order (and the row total if asked)."""
     cols = order_columns(order_by)
     n = _partitions(df, num_partitions)
-    ranged = (
-        df.repartitionByRange(n, *cols)
-        .sortWithinPartitions(*cols)
-        .withColumn(_PID, F.spark_partition_id())
-        .withColumn(_MONO, F.monotonically_increasing_id())
-    )
-    counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
+    partitioned = df.repartitionByRange(n, *cols).withColumn(_PID, F.spark_partition_id())
+    # counting needs no sort; numbering sorts within each range partition
+    counts = partitioned.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = partitioned.sortWithinPartitions(*cols).withColumn(_MONO, F.monotonically_increasing_id())
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         _PID,

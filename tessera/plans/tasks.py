@@ -26,7 +26,7 @@ from tessera.operators import stack as U
 from tessera.operators.cleaning import CleaningOptions, clean, rename_fields
 from tessera.operators.ordinals import with_source_ordinal
 from tessera.plans.reconcile import RunReport, append_report, reconcile_rows
-from tessera.sinks.writer import write_split
+from tessera.sinks.writer import output_names, write_split
 from tessera.sources.files import read_delimited
 
 ORDINAL = "_ordinal"
@@ -114,6 +114,7 @@ class SplitTask:
     label_style: str = "pairs"
     field_mapping: Mapping[str, str] = field(default_factory=dict)
     cleaning: CleaningOptions = field(default_factory=CleaningOptions)
+    naming_template: str = "{original_name}_{split_value}"
     report_path: str | None = None
 
 
@@ -150,6 +151,9 @@ def run_split(spark: SparkSession, task: SplitTask) -> RunReport:
                 warnings.append(res.warning)
             if res.written:
                 outputs.append(res.path)
+                # K8: the manifest (groups, sizes, output names) next to the data
+                names = output_names(split.manifest, task.naming_template, {"original_name": item.spec.name})
+                names.withColumn("source", F.lit(item.spec.path)).write.mode("overwrite").parquet(f"{res.path}_manifest")
                 total_in += res.counts["input_rows"]
                 total_out += res.counts["output_rows"]
                 total_excluded += res.counts["excluded_rows"]

@@ -27,6 +27,9 @@ def test_split_task_by_field_with_report(spark):
     written = spark.read.parquet(rep.outputs[0])
     assert written.count() == n and "_ordinal" not in written.columns
     assert spark.read.parquet(f"{out}/runs").count() == 1
+    manifest = spark.read.parquet(f"{rep.outputs[0]}_manifest")
+    assert sum(r["row_count"] for r in manifest.collect()) == n
+    assert {r["output_name"] for r in manifest.collect()} == {f"orders_{s}" for s in ("F", "O", "P")}
 
 
 def test_split_task_hierarchy_excludes_out_of_scope(spark, frame):
