@@ -41,6 +41,7 @@ HEADLINE = [
     "j8_dup_aggregate",
     "j10_fuzzy_join",
     "p3_p4_clean_trim_collapse",
+    "p5_clean_documents",
     "f2_display_values",
     "s13_discover_fields",
 ]

@@ -1009,6 +1009,21 @@ def p9_clean_width_first(spark, sf):
     return C.clean(p.select("p_partkey", wide), opts)
 
 
+_UNICODE_WS_SQL = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}]"
+
+
+@query(
+    "p5_clean_documents",
+    f"SELECT doc_id, nfc_normalize(regexp_replace(regexp_replace(text, '^{_UNICODE_WS_SQL}+|{_UNICODE_WS_SQL}+$', '', 'g'), "
+    f"'{_UNICODE_WS_SQL}+', ' ', 'g')) AS text FROM documents",
+)
+def p5_clean_documents(spark, sf):
+    """P3-P5 over whole multilingual documents: trim, collapse, NFKC (live order)."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    opts = C.CleaningOptions(trim_whitespace=True, collapse_whitespace=True, normalize_width=True)
+    return C.clean(docs, opts)
+
+
 @query("p8_clean_dedupe", "SELECT DISTINCT * FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders)")
 def p8_clean_dedupe(spark, sf):
     o = table(spark, sf, "orders")
