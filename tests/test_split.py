@@ -130,3 +130,13 @@ def test_split_by_table(spark, frame):
     assert got == {"Details": (1, 2), "Summary": (2, 1)}
     assert set(split.rows.columns) == {"ID", "Extra", "Source_Sheet", "split_label"}
     assert split.rows.filter(F.col("Source_Sheet") == "Summary").count() == 1
+
+
+def test_first_appearance_with_ties_and_nulls_in_order(frame):
+    df = frame(
+        [("x", 1, 5), ("x", 1, 3), ("y", None, 9), ("y", 0, 1), ("z", 2, None), ("z", 2, 7)],
+        "g string, a int, b int",
+    )
+    split = X.split_by_fields(df, ["g"], ["a", "b"])
+    # NULL sorts first in the order, so y (a NULL) comes before x (1, 3) and z (2, NULL)
+    assert [r["split_label"] for r in split.manifest.orderBy("part_no").collect()] == ["y", "x", "z"]
