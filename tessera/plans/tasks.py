@@ -149,6 +149,12 @@ def run_split(spark: SparkSession, task: SplitTask) -> RunReport:
             )
             if res.warning:
                 warnings.append(res.warning)
+            if not res.written:
+                # nothing was written: every input row is excluded (reason skipped_existing)
+                skipped = flagged.agg(F.count(F.lit(1)).cast("long").alias("n")).collect()[0]["n"]
+                total_in += skipped
+                total_excluded += skipped
+                warnings.append(f"{skipped} rows of {item.spec.path} excluded: skipped_existing")
             if res.written:
                 outputs.append(res.path)
                 # K8: the manifest (groups, sizes, output names) next to the data

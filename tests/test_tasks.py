@@ -72,3 +72,14 @@ def test_join_task_and_side_by_side(spark, frame):
     s = spark.read.parquet(rep2.outputs[0])
     assert [c for c in s.columns if c != "split_label"] == ["ID", "Name", "__gap_1_1", "ID_2", "Amount"]
     assert s.filter(F.col("ID_2").isNull()).count() == 1
+
+
+def test_skipped_existing_output_is_reconciled(spark):
+    out = _out()
+    task = T.SplitTask(sources=[T.SourceSpec(f"{SF}/orders.parquet")], output=T.OutputSpec(out, existing="skip"), fields=["o_orderstatus"])
+    first = T.run_split(spark, task)
+    assert first.outputs
+    again = T.run_split(spark, task)
+    r = again.reconciliation
+    assert not again.outputs and r.output_rows == 0 and r.excluded_rows == r.input_rows > 0 and r.balanced
+    assert any("skipped_existing" in w for w in again.warnings)
