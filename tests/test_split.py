@@ -140,3 +140,10 @@ def test_first_appearance_with_ties_and_nulls_in_order(frame):
     split = X.split_by_fields(df, ["g"], ["a", "b"])
     # NULL sorts first in the order, so y (a NULL) comes before x (1, 3) and z (2, NULL)
     assert [r["split_label"] for r in split.manifest.orderBy("part_no").collect()] == ["y", "x", "z"]
+
+
+def test_empty_input_gives_one_empty_part(spark):
+    empty = spark.range(0).withColumnRenamed("id", "ID")
+    assert [(r["part_no"], r["row_count"]) for r in X.split_fixed_rows(empty, 10, ["ID"]).manifest.collect()] == [(1, 0)]
+    assert X.split_into_parts(empty, 3, ["ID"]).manifest.count() == 1
+    assert _sizes(X.split_fixed_rows(spark.range(5).withColumnRenamed("id", "ID"), 2, ["ID"])) == [2, 2, 1]
