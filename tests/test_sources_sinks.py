@@ -172,3 +172,13 @@ def test_read_grid_table_modes(spark):
     assert none.columns == ["Column_1", "Column_2", "Column_3"] and none.count() == 4
     multi = G.read_grid_table(grid, "f.xlsx", "Sheet1", G.TableStructure(header_mode="multi_row", header_row=1, header_end_row=2))
     assert multi.columns[0] == "Quarterly report_ID"
+
+
+def test_csv_with_title_row_through_the_grid(spark):
+    root = tempfile.mkdtemp(prefix="tessera-csvgrid-")
+    _write(f"{root}/report.csv", "Monthly report,,\nID,Name,Amount\n1,North,10\n2,South,20\n")
+    grid = S.delimited_grid(spark, f"{root}/report.csv")
+    files = [r["source_file"] for r in grid.select("source_file").distinct().collect()]
+    table = G.read_grid_table(grid, files[0], "report")
+    assert table.columns == ["ID", "Name", "Amount"]
+    assert sorted(tuple(r) for r in table.collect()) == [("1", "North", "10"), ("2", "South", "20")]
