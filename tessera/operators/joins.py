@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from tessera.functions.values import is_blank, key_text, text_of
 from tessera.operators.dedupe import keep_one_per_key
 from tessera.operators.ordinals import OrderBy, dense_index, order_key
+from tessera.session import checkpoint_dir
 
 HOW = {"left": "left", "right": "right", "inner": "inner", "outer": "full_outer", "full_outer": "full_outer"}
 DUPLICATE_POLICIES = ("expand", "reject", "first", "last", "aggregate")
@@ -202,6 +203,12 @@ def key_join(
         related_keys = right.filter(F.col(rk[0]).isNotNull() & (F.col(rk[0]) != "")).select(
             F.col(rk[0]).alias("key")
         ).distinct()
+        # The matching reads each key set several times; checkpoint both (to
+        # the shared spark.checkpoint.dir) so the large inputs are scanned once
+        # for their keys and lineage is cut for recovery.
+        checkpoint_dir(main.sparkSession)
+        main_keys = main_keys.checkpoint(eager=True)
+        related_keys = related_keys.checkpoint(eager=True)
         mapping = fuzzy_key_map(main_keys, related_keys, spec.fuzzy_threshold)
         right = (
             right.join(mapping.withColumnRenamed("key", rk[0]), rk[0], "left")
