@@ -128,14 +128,14 @@ def _positional(df: DataFrame, order_by: OrderBy, part_of, parts_of) -> Split:
     manifest = rows.groupBy(LABEL, "part_no", "total_parts").agg(F.count(F.lit(1)).alias("row_count"))
     manifest = manifest.select(LABEL, "part_no", "total_parts", "row_count")
     # an empty input still gives one (empty) part: a marker row kept only when
-    # the manifest has no row (anti join against a one-row probe of it)
+    # the manifest has no row (a scalar subquery over at most one row of it)
     spark = df.sparkSession
+    has_rows = manifest.limit(1).agg(F.count(F.lit(1))).scalar()
     marker = spark.range(1).select(
         F.lit("1").alias(LABEL), F.lit(1).cast("long").alias("part_no"), F.lit(1).cast("long").alias("total_parts"),
-        F.lit(0).cast("long").alias("row_count"), F.lit(1).alias("_k"),
+        F.lit(0).cast("long").alias("row_count"),
     )
-    probe = manifest.limit(1).select(F.lit(1).alias("_k"))
-    manifest = manifest.unionByName(marker.join(probe, "_k", "left_anti").drop("_k"))
+    manifest = manifest.unionByName(marker.where(has_rows == F.lit(0)))
     flagged = rows.withColumn(EXCLUDED, F.lit(None).cast("string"))
     return Split(rows, manifest, flagged)
 
