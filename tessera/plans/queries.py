@@ -1191,8 +1191,15 @@ def s9_detect_header(spark, sf):
     return found.select("source_sheet", "header_row", F.round("confidence", 6).alias("confidence"))
 
 
-@query("s5_header_names")
+@query(
+    "s5_header_names",
+    "SELECT table_name AS source_sheet, CAST(ordinal_position - 1 AS INTEGER) AS pos, "
+    "CASE WHEN ordinal_position = 1 THEN 'Report of ' || table_name || '_' || column_name ELSE column_name END AS name "
+    "FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'part', 'orders')",
+)
 def s5_header_names(spark, sf):
+    """Two header rows (the title row and the column-name row) of each
+    table's grid joined per column with ``_``; empty parts are skipped."""
     grid = _report_grids(spark, sf)
     names = G.unique_headers(G.header_parts(grid, 1, 2))
     return names.select("source_sheet", "pos", "name")
