@@ -27,7 +27,6 @@ from tessera.operators import hierarchy as H
 from tessera.operators import joins as J
 from tessera.operators import split as X
 from tessera.operators import stack as U
-from tessera.plans.reconcile import reconcile_flagged
 from tessera.sinks.writer import output_names
 from tessera.sources import grid as G
 
@@ -1116,6 +1115,24 @@ def f11_prefer_non_blank(spark, sf):
     return c.select("c_custkey", V.prefer_non_blank(primary, F.col("c_name"), c.schema["c_mktsegment"].dataType).alias("label"))
 
 
+@query(
+    "f12_json_nested",
+    "SELECT event_id, to_json(struct_pack(user_id := user_id, event_type := event_type)) AS who, "
+    "to_json([user_id, event_id]) AS ids FROM events",
+)
+def f12_json_nested(spark, sf):
+    """F12 as text sinks apply it: every nested column of the rows becomes JSON text."""
+    from tessera.sinks.writer import json_nested
+
+    e = table(spark, sf, "events")
+    nested = e.select(
+        "event_id",
+        F.struct("user_id", "event_type").alias("who"),
+        F.array("user_id", "event_id").alias("ids"),
+    )
+    return json_nested(nested)
+
+
 @query("f12_json_text")
 def f12_json_text(spark, sf):
     e = table(spark, sf, "embeddings")
