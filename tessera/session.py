@@ -36,7 +36,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without one (a local test) gets a fresh folder of its own.
+    Only a local-mode session without one (a test) gets a fresh folder of its
+    own; on a cluster a missing setting is an error, never a machine-local
+    folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -46,6 +48,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder every executor shares (HDFS, S3, ...)")
+    # local mode only (tests, a laptop): one process, so a local folder is shared
     folder = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(folder)
     spark.conf.set("spark.checkpoint.dir", folder)
