@@ -193,11 +193,16 @@ def split_by_table(tables: Sequence[tuple[str, DataFrame]], strategy: str = "ali
     tagged = [df.withColumn("Source_Sheet", F.lit(name)) for name, df in tables]
     combined = stack(tagged, strategy)
     rows = combined.withColumn(LABEL, F.col("Source_Sheet"))
-    order = {name: i for i, (name, _df) in enumerate(tables)}
-    position = F.create_map(*[x for name, i in order.items() for x in (F.lit(name), F.lit(i))])
-    manifest = rows.groupBy(LABEL).agg(F.count(F.lit(1)).alias("row_count"))
-    manifest = manifest.withColumn("part_no", (position[F.col(LABEL)] + 1).cast("long")).withColumn(
-        "total_parts", F.lit(len(tables)).cast("long")
+    # every table is an output, empty ones too: start from the (driver-known)
+    # table list and attach the counts
+    listed = tagged[0].sparkSession.createDataFrame(
+        [(name, i + 1) for i, (name, _df) in enumerate(tables)], f"{LABEL} string, part_no long"
+    )
+    counts = rows.groupBy(LABEL).agg(F.count(F.lit(1)).alias("row_count"))
+    manifest = (
+        listed.join(counts, LABEL, "left")
+        .withColumn("row_count", F.coalesce(F.col("row_count"), F.lit(0)).cast("long"))
+        .withColumn("total_parts", F.lit(len(tables)).cast("long"))
     )
     flagged = rows.withColumn(EXCLUDED, F.lit(None).cast("string"))
     return Split(rows, manifest.select(LABEL, "part_no", "total_parts", "row_count"), flagged)

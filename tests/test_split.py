@@ -125,9 +125,10 @@ def test_missing_and_empty_fields(frame):
 def test_split_by_table(spark, frame):
     a = frame([(1,), (2,)], "ID long")
     b = frame([(3, "x")], "ID long, Extra string")
-    split = X.split_by_table([("Details", a), ("Summary", b)])
+    empty = frame([], "ID long")
+    split = X.split_by_table([("Details", a), ("Summary", b), ("Empty", empty)])
     got = {r["split_label"]: (r["part_no"], r["row_count"]) for r in split.manifest.collect()}
-    assert got == {"Details": (1, 2), "Summary": (2, 1)}
+    assert got == {"Details": (1, 2), "Summary": (2, 1), "Empty": (3, 0)}
     assert set(split.rows.columns) == {"ID", "Extra", "Source_Sheet", "split_label"}
     assert split.rows.filter(F.col("Source_Sheet") == "Summary").count() == 1
 
