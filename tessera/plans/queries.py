@@ -1202,7 +1202,52 @@ def _report_grids(spark, sf) -> DataFrame:
     return out
 
 
-@query("s9_detect_header")
+_GRID_TABLES = {
+    "region": ("r_regionkey", [("r_regionkey", "number"), ("r_name", "string")]),
+    "nation": ("n_nationkey", [("n_nationkey", "number"), ("n_name", "string"), ("n_regionkey", "number")]),
+    "part": ("p_partkey", [("p_partkey", "number"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"),
+                          ("p_size", "number"), ("p_retailprice", "number")]),
+    "orders": ("o_orderkey", [("o_orderkey", "number"), ("o_custkey", "number"), ("o_orderstatus", "string"),
+                              ("o_totalprice", "number"), ("o_orderdate", "timestamp"), ("o_orderpriority", "string")]),
+}
+
+
+def _detect_sql() -> str:
+    """Header detection in SQL over the same grids: title row, header row, data rows."""
+    cells = []
+    for name, (key, cols) in _GRID_TABLES.items():
+        cells.append(f"SELECT '{name}' AS tab, 1 AS row_no, 0 AS pos, 'string' AS kind, 'Report of {name}' AS text")
+        for pos, (col, _kind) in enumerate(cols):
+            cells.append(f"SELECT '{name}', 2, {pos}, 'string', '{col}'")
+        for pos, (col, kind) in enumerate(cols):
+            cells.append(
+                f"SELECT '{name}', rn + 2, {pos}, '{kind}', CAST({col} AS VARCHAR) FROM "
+                f"(SELECT {col}, row_number() OVER (ORDER BY {key}) AS rn FROM {name}) WHERE rn <= 38"
+            )
+    terms = ", ".join(f"'{t}'" for t in G.KNOWN_FIELD_TERMS)
+    return f"""
+WITH cells AS ({" UNION ALL ".join(cells)}),
+rows AS (
+  SELECT tab, row_no, count(*) AS n,
+         count(*) FILTER (WHERE kind = 'string' AND length(trim(text)) BETWEEN 1 AND 60) AS short,
+         count(DISTINCT lower(trim(text))) AS uniq,
+         count(*) FILTER (WHERE lower(trim(text)) IN ({terms})) AS known,
+         least(1.0, (count(*) FILTER (WHERE kind <> 'string') + count(*) FILTER (WHERE kind = 'string' AND length(trim(text)) > 60) * 0.5) / count(*)) AS likeness
+  FROM cells WHERE text IS NOT NULL AND text <> '' GROUP BY tab, row_no),
+width AS (SELECT tab, max(pos) + 1 AS w FROM cells GROUP BY tab),
+scored AS (
+  SELECT r.tab, r.row_no,
+         (r.n / w.w) * 0.3 + (r.short / r.n) * 0.3 + (r.uniq / r.n) * 0.2
+         + coalesce(lead(r.likeness) OVER (PARTITION BY r.tab ORDER BY r.row_no), 0.0) * 0.15
+         + least(r.known / 3, 1.0) * 0.2 - CASE WHEN r.uniq <> r.n THEN 0.08 ELSE 0 END AS score
+  FROM rows r JOIN width w USING (tab))
+SELECT tab AS source_sheet, CAST(arg_max(row_no, (score, -row_no)) AS BIGINT) AS header_row,
+       round(greatest(0.0, least(max(score), 1.0)), 6) AS confidence
+FROM scored WHERE row_no <= 20 GROUP BY tab
+"""
+
+
+@query("s9_detect_header", _detect_sql())
 def s9_detect_header(spark, sf):
     found = G.detect_headers(_report_grids(spark, sf))
     return found.select("source_sheet", "header_row", F.round("confidence", 6).alias("confidence"))
