@@ -56,6 +56,22 @@ class JoinResult:
     df: DataFrame
     diagnostics: DataFrame
     duplicates: DataFrame = field(repr=False, default=None)
+    marked: DataFrame = field(repr=False, default=None)
+
+    def observed(self, name: str = "join_diagnostics"):
+        """The joined rows with matched / main_only / related_only counted by an
+        ``Observation`` during whatever action runs them (no extra pass)."""
+        from pyspark.sql import Observation
+
+        obs = Observation(name)
+        in_main, in_rel = F.col(_IN_MAIN).isNotNull(), F.col(_IN_RELATED).isNotNull()
+        df = self.marked.observe(
+            obs,
+            F.count(F.when(in_main & in_rel, 1)).alias("matched"),
+            F.count(F.when(in_main & ~in_rel, 1)).alias("main_only"),
+            F.count(F.when(~in_main & in_rel, 1)).alias("related_only"),
+        )
+        return df.drop(_IN_MAIN, _IN_RELATED), obs
 
 
 def _mk(i: int) -> str:
@@ -244,7 +260,7 @@ def key_join(
     result = joined.select(*cols, F.col(_IN_MAIN), F.col(_IN_RELATED))
 
     diagnostics = _diagnostics(result, duplicates)
-    return JoinResult(result.drop(_IN_MAIN, _IN_RELATED), diagnostics, duplicates)
+    return JoinResult(result.drop(_IN_MAIN, _IN_RELATED), diagnostics, duplicates, result)
 
 
 def _diagnostics(result: DataFrame, duplicates: DataFrame) -> DataFrame:

@@ -77,6 +77,7 @@ class RunReport:
     errors: list[str] = field(default_factory=list)
     field_mapping: dict[str, str] = field(default_factory=dict)
     reconciliation: Reconciliation | None = None
+    details: dict[str, int] = field(default_factory=dict)
 
     @property
     def status(self) -> str:
@@ -91,7 +92,7 @@ class RunReport:
 REPORT_SCHEMA = (
     "operation string, status string, started timestamp, finished timestamp, seconds double, "
     "outputs array<string>, warnings array<string>, errors array<string>, field_mapping string, "
-    "input_rows long, output_rows long, excluded_rows long, balanced boolean"
+    "input_rows long, output_rows long, excluded_rows long, balanced boolean, details map<string,bigint>"
 )
 
 
@@ -112,6 +113,7 @@ def report_frame(spark: SparkSession, report: RunReport) -> DataFrame:
         rec.output_rows if rec else None,
         rec.excluded_rows if rec else None,
         rec.balanced if rec else None,
+        {k: int(v) for k, v in report.details.items()},
     )
     return spark.createDataFrame([row], REPORT_SCHEMA)
 

@@ -228,7 +228,13 @@ def run_merge(spark: SparkSession, task: MergeTask) -> RunReport:
     flagged = merged.withColumn("_excluded", F.lit(None).cast("string"))
     res = write_split(flagged, f"{task.output.directory}/{task.output.name}", task.output.format, task.output.separate, existing=task.output.existing)
     # source row counts were observed during the write (no extra pass)
-    input_rows = sum(obs.get.get("rows", 0) for obs in observations) if res.written else 0
+    per_source = [(s.file, s.table, int(obs.get.get("rows", 0))) for s, obs in zip(sources, observations)] if res.written else []
+    input_rows = sum(n for _f, _t, n in per_source)
+    if per_source:
+        # K8: rows per source next to the merged output
+        spark.createDataFrame(per_source, "source_file string, source_table string, rows long").write.mode(
+            "overwrite"
+        ).parquet(f"{res.path}_sources")
     warnings = [res.warning] if res.warning else []
     out = res.counts["output_rows"] if res.counts else 0
     # dedupe and aggregation remove rows by design: they are the excluded rows
@@ -261,11 +267,13 @@ def run_join(spark: SparkSession, task: JoinTask) -> RunReport:
         errors.append("A join needs at least two readable inputs")
         return RunReport("join", started, datetime.now(), [], [], errors)
     orders = [item.order for item in loaded]
+    diag = None
     if task.side_by_side:
         labels = [item.spec.name for item in loaded]
         result = J.side_by_side(frames, orders, labels, task.prefix, task.gap, hidden=(ORDINAL,))
     elif len(frames) == 2:
-        result = _drop_ordinal(J.key_join(frames[0], frames[1], task.spec, orders[0], orders[1]).df)
+        # J13 diagnostics are observed during the write
+        result, diag = J.key_join(frames[0], frames[1], task.spec, orders[0], orders[1]).observed()
         result = result.drop(*[c for c in result.columns if c.startswith(ORDINAL)])
     else:
         result = J.chain_join(frames, task.spec, orders)
@@ -273,7 +281,11 @@ def run_join(spark: SparkSession, task: JoinTask) -> RunReport:
     flagged = result.withColumn("split_label", F.lit(task.output.name)).withColumn("_excluded", F.lit(None).cast("string"))
     res = write_split(flagged, f"{task.output.directory}/{task.output.name}", task.output.format, False, existing=task.output.existing)
     rec = reconcile_rows(res.counts["output_rows"], res.counts["output_rows"]) if res.counts else None
-    report = RunReport("join", started, datetime.now(), [res.path] if res.written else [], [res.warning] if res.warning else [], errors, dict(task.field_mapping), rec)
+    details = dict(diag.get) if res.written and diag is not None else {}
+    report = RunReport(
+        "join", started, datetime.now(), [res.path] if res.written else [], [res.warning] if res.warning else [],
+        errors, dict(task.field_mapping), rec, details,
+    )
     if task.report_path:
         append_report(spark, report, task.report_path)
     return report

@@ -55,6 +55,8 @@ def test_merge_task_dedupe_and_aggregate(spark, frame):
     got = {r["Branch"]: r["Amount"] for r in spark.read.parquet(rep.outputs[0]).collect()}
     assert got == {"A": 17, "B": 21}
     assert rep.reconciliation.input_rows == 5
+    per_source = {r["source_table"]: r["rows"] for r in spark.read.parquet(f"{rep.outputs[0]}_sources").collect()}
+    assert per_source == {"a": 2, "b": 3}
     dd = T.run_merge(spark, T.MergeTask([T.SourceSpec(a), T.SourceSpec(b)], T.OutputSpec(out, name="dd"), dedupe_mode="all",
                                         add_source_file=False, add_source_sheet=False))
     assert spark.read.parquet(dd.outputs[0]).count() == 4
@@ -68,6 +70,7 @@ def test_join_task_and_side_by_side(spark, frame):
     rep = T.run_join(spark, T.JoinTask([T.SourceSpec(a), T.SourceSpec(b)], T.OutputSpec(out, name="j"), JoinSpec(["ID"], ["ID"])))
     df = spark.read.parquet(rep.outputs[0])
     assert df.count() == 2 and not [c for c in df.columns if "ordinal" in c]
+    assert rep.details == {"matched": 1, "main_only": 1, "related_only": 0}
     rep2 = T.run_join(spark, T.JoinTask([T.SourceSpec(a), T.SourceSpec(b)], T.OutputSpec(out, name="s"), side_by_side=True, gap=1))
     s = spark.read.parquet(rep2.outputs[0])
     assert [c for c in s.columns if c != "split_label"] == ["ID", "Name", "__gap_1_1", "ID_2", "Amount"]
