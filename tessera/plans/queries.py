@@ -899,6 +899,21 @@ def j14_chained(spark, sf):
     return J.chain_join([n, s, c], spec, [None, ["s_suppkey"], ["c_custkey"]])
 
 
+@query(
+    "s15_key_suggestion",
+    "SELECT c.c_custkey AS c_custkey_main, c_name, o_orderkey, r.c_custkey AS c_custkey_related FROM customer c LEFT JOIN ("
+    "SELECT o_orderkey, o_custkey AS c_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) r "
+    "ON CAST(c.c_custkey AS VARCHAR) = CAST(r.c_custkey AS VARCHAR)",
+)
+def s15_key_suggestion(spark, sf):
+    """The first main field also present in related becomes the key pair."""
+    main = table(spark, sf, "customer").select("c_custkey", "c_name")
+    rel = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    left_keys, right_keys = J.suggest_join_keys(main, rel)
+    spec = J.JoinSpec(left_keys, right_keys, how="left", duplicate_policy="first")
+    return J.key_join(main, rel, spec, related_order=["o_orderkey"]).df
+
+
 @query(
     "j16_side_by_side",
     "SELECT a.n_nationkey AS \"nation · n_nationkey\", a.n_name AS \"nation · n_name\", a.n_regionkey AS \"nation · n_regionkey\", "
