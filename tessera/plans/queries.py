@@ -486,6 +486,24 @@ def u7_same_name(spark, sf):
     return U.combine_named(U.consolidate_same_name(_order_slices(spark, sf)))
 
 
+@query(
+    "u7_same_name_dedupe",
+    "SELECT DISTINCT *, 'orders.parquet' AS Source_File, 'Orders_Combined' AS split_label FROM ("
+    "SELECT * FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O'))",
+)
+def u7_same_name_dedupe(spark, sf):
+    """U7 + D1: tables named alike (case-folded) are stacked and deduplicated
+    inside their group; the file name takes part in the dedupe, the table name
+    is left out."""
+    o = table(spark, sf, "orders")
+    sources = [
+        U.Source("orders.parquet", "Orders", o.filter(F.col("o_orderstatus") == "F")),
+        U.Source("orders.parquet", "ORDERS", o.filter(F.col("o_orderstatus").isin("F", "O"))),
+    ]
+    groups = U.consolidate_same_name(sources, dedupe=lambda df: D.dedupe(df, D.ALL), add_sheet=False)
+    return U.combine_named(groups)
+
+
 def _crm_sources(spark, sf):
     return [
         U.Source("crm.parquet", "Accounts", table(spark, sf, "customer")),
