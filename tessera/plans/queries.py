@@ -352,6 +352,55 @@ def k9_reconcile_hierarchy(spark, sf):
     return split.reconciliation().select("input_rows", "output_rows", "excluded_rows", "balanced")
 
 
+def _hier_blanks(spark, sf) -> DataFrame:
+    """the hierarchy with a blank segment for balances between 0 and 500"""
+    h = _hier(spark, sf).join(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
+    seg = F.when(F.col("c_acctbal").between(0, 500), F.lit("  ")).otherwise(F.col("segment"))
+    return h.select("c_custkey", "region", "nation", seg.alias("segment"))
+
+
+_HIER_BLANKS_SQL = (
+    f"SELECT h.c_custkey, region, nation, CASE WHEN c.c_acctbal BETWEEN 0 AND 500 THEN '  ' ELSE segment END AS segment "
+    f"FROM ({_HIER_SQL}) h JOIN customer c USING (c_custkey)"
+)
+
+
+@query(
+    "h6_hierarchy_blank_skip",
+    _numbered_sql(
+        f"SELECT {_first('segment')} AS split_label, count(*) AS row_count, min(c_custkey) AS f FROM ({_HIER_BLANKS_SQL}) "
+        "WHERE lower(trim(region)) = 'asia' AND lower(trim(nation)) = 'nation_12' AND trim(segment) <> '' "
+        f"GROUP BY {_canon_sql('segment')}"
+    ),
+)
+def h6_hierarchy_blank_skip(spark, sf):
+    split = H.split_by_hierarchy(
+        _hier_blanks(spark, sf), ["region", "nation", "segment"], H3_FILTERS, "segment", ["c_custkey"], blank_policy="skip"
+    )
+    return _manifest(split)
+
+
+@query(
+    "k10_excluded_by_reason",
+    "SELECT count(*) AS input_rows, "
+    "count(*) FILTER (WHERE lower(trim(region)) = 'asia' AND lower(trim(nation)) = 'nation_12' AND trim(segment) <> '') AS output_rows, "
+    "count(*) FILTER (WHERE NOT (lower(trim(region)) = 'asia' AND lower(trim(nation)) = 'nation_12')) AS out_of_scope, "
+    "count(*) FILTER (WHERE lower(trim(region)) = 'asia' AND lower(trim(nation)) = 'nation_12' AND trim(segment) = '') AS blank "
+    f"FROM ({_HIER_BLANKS_SQL})",
+)
+def k10_excluded_by_reason(spark, sf):
+    split = H.split_by_hierarchy(
+        _hier_blanks(spark, sf), ["region", "nation", "segment"], H3_FILTERS, "segment", ["c_custkey"], blank_policy="skip"
+    )
+    rec = split.reconciliation()
+    return rec.select(
+        "input_rows",
+        "output_rows",
+        F.coalesce(F.col("excluded_by")["out_of_scope"], F.lit(0)).cast("long").alias("out_of_scope"),
+        F.coalesce(F.col("excluded_by")["blank"], F.lit(0)).cast("long").alias("blank"),
+    )
+
+
 @query(
     "k6_output_names",
     "SELECT split_label, part_no, CASE WHEN rn = 1 THEN split_label ELSE split_label || '_' || rn END AS output_name FROM ("
