@@ -12,9 +12,10 @@ takes ``order_by``: column names or Columns forming a *total* order.
 3. per-partition row counts (at most ``n`` rows, so the broadcast is bounded
    by the partition count, not by the data) give each partition's offset.
 
-Both branches read the same range exchange, which Spark reuses inside one
-query, and every step is deterministic for a total order, so a lost executor
-recomputes the same numbers.
+The counting branch range-partitions only the order columns; Spark samples
+range bounds with fixed seeds over the same input splits, so both exchanges
+agree on the bounds.  Every step is deterministic for a total order, so a
+lost executor recomputes the same numbers.
 """
 
 from __future__ import annotations

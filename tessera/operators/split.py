@@ -9,9 +9,9 @@ A split never materialises one DataFrame per group.  It returns
 * ``flagged``: every input row with ``_excluded`` (NULL when kept, else the
   reason), the base of the row reconciliation.
 
-Labels are narrow projections, the manifest is a partial + final hash
-aggregate (a hot label costs one partial row per map task), and group
-numbering runs over the manifest only.
+Labels are narrow projections, the manifest is a partial + final aggregate
+(a hot label costs one partial row per map task; a multi-column order makes
+it sort-based), and group numbering runs over the manifest only.
 """
 
 from __future__ import annotations
