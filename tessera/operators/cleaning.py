@@ -1,9 +1,9 @@
 """Field renaming and cleaning.
 
 Every string step is a column expression over the string columns (one
-projection, inside codegen); NFKC goes through the vectorised helper for
-non-ASCII rows only.  Dropping empty *columns* depends on the data: it runs
-one aggregate of non-missing counts (an action) and then a ``select``.
+projection); NFKC touches non-ASCII rows only (ICU in the JVM by default).
+Dropping empty *columns* depends on the data: it runs one aggregate of
+non-missing counts (an action) and then a ``select``.
 """
 
 from __future__ import annotations

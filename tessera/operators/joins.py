@@ -8,8 +8,7 @@ part stays unmatched without any token tricks.
 The join itself is a plain ``DataFrame.join`` on the key columns: Catalyst +
 AQE pick broadcast / shuffled-hash / sort-merge at run time from real sizes,
 and AQE splits skewed key partitions.  Duplicate-key policies are aggregates
-(combined map-side) keyed like the join, so the join can reuse their
-partitioning.
+combined map-side, so a repeated key never sends all its rows to one task.
 """
 
 from __future__ import annotations
