@@ -43,6 +43,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_exchange(key: Column) -> Column:
+    """The same 64-bit key, but not known to be partitioned yet.
+
+    A join right above an aggregate reuses the aggregate's partitioning, and
+    adaptive execution splits hot keys only between two exchanges of the join
+    itself.  This key gives the (small, aggregated) side an exchange of its own.
+    """
+    return key.bitwiseXOR(F.lit(0).cast("long"))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns by name, ignoring case and names that are absent."""
     gone = {n.lower() for n in names}

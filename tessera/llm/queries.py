@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.llm.curriculum import plan_curriculum
 from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.near_dedup import near_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,3 +97,8 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
             ELSE 0.5 + (1.5 - sqrt(2.25 - 4 * (x - 0.5))) / 2 END AS first_position
 FROM f
 """
+
+
+@query
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"), n=3, threshold="0.85")
