@@ -16,7 +16,7 @@ which settles large groups of copies in linear work.  Then only buckets that
 still hold several components are looked at, and only pairs across components:
 the nodes outside the bucket's largest component meet the others in blocks of
 ``block`` nodes, signature against signature inside numpy.  Each node passes
-on its best candidate in each foreign component (then its best 16, then all
+on its best four candidates in each foreign component (then all
 that are left), and the confirmed links merge components in between.  No
 partner is capped in the end: the last pass takes every surviving pair.
 
@@ -311,7 +311,7 @@ def near_components(
     )
     tested = materialise(links(candidates), "links")
     labels = None
-    for best in (1, 16, None):
+    for best in (4, None):
         edges = tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
         labels = materialise(components(edges), "labels")
         fresh = _foreign_pairs(live.select("band", "node"), labels, sig, steps, n_hashes, best, block)

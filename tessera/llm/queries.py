@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.curriculum import plan_curriculum
+from tessera.llm.decontaminate import contaminated_pairs
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.near_dedup import near_components
 
@@ -102,3 +103,8 @@ FROM f
 @query
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), n=3, threshold="0.85")
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=5, coverage=0.8)
