@@ -12,6 +12,7 @@ from tessera.llm.curriculum import plan_curriculum
 from tessera.llm.decontaminate import contaminated_pairs
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.near_dedup import near_components
+from tessera.llm.toxicity import fit_toxicity, held_out, score_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,3 +109,12 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=5, coverage=0.8)
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~out)
+    scored = score_texts(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")

@@ -50,7 +50,8 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = np.cumprod(np.full(4096, _STEP, dtype=np.uint64))
 
 
-def _block(data: np.ndarray, breaks: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block(data: np.ndarray, breaks: np.ndarray, word: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words and of their prefixes, one row a kind; word starts)."""
     inside = word[data]
     before = np.empty(len(data), dtype=bool)
     before[0] = False
@@ -58,22 +59,26 @@ def _block(data: np.ndarray, breaks: np.ndarray, word: np.ndarray) -> tuple[np.n
     before[breaks] = False
     starts = np.flatnonzero(inside & ~before)
     if not len(starts):
-        return np.empty(0, np.uint64), starts, starts
+        return np.empty((1 + len(prefixes), 0), np.uint64), starts
     first = starts[0]
     values = np.where(word, _BYTE, np.uint64(0))[data[first:]]
     spans = np.diff(np.append(starts, len(data)))
     within = np.arange(first, len(data)) - np.repeat(starts, spans)
     values *= _powers(int(spans.max()))[within]
-    hashes = mix(np.add.reduceat(values, starts - first))
-    after = np.empty(len(data), dtype=bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    after[breaks[breaks > 0] - 1] = False
-    return hashes, starts, np.flatnonzero(inside & ~after) + 1
+    hashes = [mix(np.add.reduceat(values, starts - first))]
+    for k in prefixes:
+        hashes.append(mix(np.add.reduceat(np.where(within < k, values, np.uint64(0)), starts - first) + np.uint64(k)))
+    return np.stack(hashes), starts
 
 
 def word_hashes(column: pa.Array, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, offsets of each row's words); A-Z are lower-cased."""
+    hashes, offs = word_kinds(column, word, ())
+    return hashes[0], offs
+
+
+def word_kinds(column: pa.Array, word: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with a further row of hashes for the first ``k`` bytes of each word, for each prefix ``k``."""
     data, offs = text_buffers(column)
     parts, places = [], []
     pos, end = int(offs[0]), int(offs[-1])
@@ -92,14 +97,14 @@ def word_hashes(column: pa.Array, word: np.ndarray) -> tuple[np.ndarray, np.ndar
                     gaps = np.flatnonzero(~word[data[cut:stop]])
                     cut = cut + int(gaps[0]) + 1 if len(gaps) else stop
         breaks = offs[(offs >= pos) & (offs < cut)] - pos
-        hashes, starts, _ = _block(data[pos:cut], breaks, word)
+        hashes, starts = _block(data[pos:cut], breaks, word, prefixes)
         parts.append(hashes)
         places.append(starts + pos)
         pos = cut
     if not parts:
-        return np.empty(0, np.uint64), np.zeros(len(offs), np.int64)
+        return np.empty((1 + len(prefixes), 0), np.uint64), np.zeros(len(offs), np.int64)
     where = np.concatenate(places)
-    return np.concatenate(parts), np.searchsorted(where, offs)
+    return np.concatenate(parts, axis=1), np.searchsorted(where, offs)
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
