@@ -15,10 +15,10 @@ A bucket's pairs are not listed.  First every node meets its bucket's pivot,
 which settles large groups of copies in linear work.  Then only buckets that
 still hold several components are looked at, and only pairs across components:
 the nodes outside the bucket's largest component meet the others in blocks of
-``block`` nodes, signature against signature inside numpy.  Each node passes
-on its best four candidates in each foreign component (then all
-that are left), and the confirmed links merge components in between.  No
-partner is capped in the end: the last pass takes every surviving pair.
+``block`` nodes, signatures first, then sets, inside numpy.  A block reports one
+sure link between two components, and every narrow one; reported links are
+confirmed on the 64-bit sets.  Every pair across components that no batch rules
+out is counted unless its components are linked already: no partner is capped.
 
 Defined cases: a text without words (or null) has an empty set and is its own
 component.  A null id takes part, but is never a component id unless the
@@ -38,12 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bitmap import build_bitmap
 from tessera.llm.common import materialise, own_exchange
 from tessera.llm.graph import components
 from tessera.llm.words import NOT_WHITE, mix, shingle_set, word_hashes
 
 ROWS = 5
 BATCH = 20
+#: Coinciding 32-bit values that a sure link between two compact sets must survive.
+SLACK = 4
 
 
 def plan_bands(threshold: float, miss: float, rows: int = ROWS) -> int:
@@ -104,13 +107,20 @@ def _sketch(n: int, n_hashes: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, bitmap):
+    """Full sets (64-bit hashes) and a compact form (their low 32 bits) of the rows whose id may be wanted."""
+
     def run(batches):
         for batch in batches:
-            words, offs = word_hashes(batch.column(1), NOT_WHITE)
-            ids = batch.column(0).to_pylist()
-            node, k1, k2, sets = [], [], [], []
-            for i in range(batch.num_rows):
+            ids = batch.column(0)
+            asked = np.zeros(batch.num_rows, dtype=bool)
+            asked[bitmap.value.find(ids.fill_null(0).to_numpy().view(np.uint64))] = True
+            asked |= ids.is_null().to_numpy(zero_copy_only=False)
+            some = batch.filter(pa.array(asked))
+            words, offs = word_hashes(some.column(1), NOT_WHITE)
+            ids = some.column(0).to_pylist()
+            node, k1, k2, sets, small = [], [], [], [], []
+            for i in range(some.num_rows):
                 values = shingle_set(words[offs[i] : offs[i + 1]], n)
                 if len(values):
                     key = _set_key(values)
@@ -118,9 +128,11 @@ def _sets(n: int):
                     k1.append(key[0])
                     k2.append(key[1])
                     sets.append(values.view(np.int64))
+                    small.append(values.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (node, k1, k2)] + [pa.array(sets, pa.list_(pa.int64()))],
-                names=["node", "k1", "k2", "set"],
+                [pa.array(x, pa.int64()) for x in (node, k1, k2)]
+                + [pa.array(sets, pa.list_(pa.int64())), pa.array(small, pa.binary())],
+                names=["node", "k1", "k2", "set", "small"],
             )
 
     return run
@@ -162,38 +174,62 @@ def _sequential(steps: list[tuple[int, int]], n_hashes: int):
     return run
 
 
-def _across(steps: list[tuple[int, int]], n_hashes: int, best: int | None):
-    """One block of a bucket: surviving pairs across components, each node's ``best`` in each foreign component."""
+def _across(steps: list[tuple[int, int]], n_hashes: int, num: int, den: int):
+    """One block of a bucket: links across components.
+
+    Signatures rule out most pairs; what survives is counted on the compact
+    sets.  Compact values may coincide, which can only raise a count, so a
+    pass by a margin of ``SLACK`` is sure and ends the search between the two
+    components, while a narrower one is passed on and the search continues.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         sig = _matrix(group.column("sig").combine_chunks(), n_hashes)
-        node = group.column("node").to_numpy()
-        comp = group.column("comp").to_numpy()
+        node, comp = group.column("node").to_numpy(), group.column("comp").to_numpy()
         outer = np.flatnonzero(group.column("outer").to_numpy(zero_copy_only=False))
-        a_out, b_out = [], []
+        small = [np.frombuffer(x, np.uint32) for x in group.column("small").to_pylist()]
+        size = np.array([len(x) for x in small])
+        cut = np.append(0, np.cumsum(size))
+        values, codes = np.unique(np.concatenate(small), return_inverse=True)
+        parent = {int(c): int(c) for c in comp}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        pairs: list[tuple[int, int]] = []
+        mine = np.zeros(len(values), dtype=bool)
+        done_before = np.zeros(len(node), dtype=bool)
         for i in outer:
-            alive, done = np.flatnonzero(comp != comp[i]), 0
+            done_before[i] = True
+            alive, done = np.flatnonzero((comp != comp[i]) & ~done_before), 0
             matches = np.zeros(len(node), np.int64)
             for upto, least in steps:
                 matches[alive] += (sig[alive, done:upto] == sig[i, done:upto]).sum(axis=1)
                 alive, done = alive[matches[alive] >= least], upto
-            if best is not None and len(alive):
-                order = np.lexsort((node[alive], -matches[alive], comp[alive]))
-                alive = alive[order]
-                change = np.flatnonzero(np.append(True, comp[alive][1:] != comp[alive][:-1]))
-                rank = np.arange(len(alive)) - np.repeat(change, np.diff(np.append(change, len(alive))))
-                alive = alive[rank < best]
-            a_out.append(np.maximum(node[alive], node[i]))
-            b_out.append(np.minimum(node[alive], node[i]))
-        a = np.concatenate(a_out) if a_out else np.empty(0, np.int64)
-        b = np.concatenate(b_out) if b_out else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if not len(alive):
+                continue
+            mine[codes[cut[i] : cut[i + 1]]] = True
+            for j in alive[np.argsort(-matches[alive], kind="stable")]:
+                if root(int(comp[i])) == root(int(comp[j])):
+                    continue
+                common = int(mine[codes[cut[j] : cut[j + 1]]].sum())
+                either = int(size[i] + size[j]) - common
+                if common * den >= either * num:
+                    pairs.append((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j]))))
+                    if (common - SLACK) * den >= (either + SLACK) * num:
+                        parent[root(int(comp[i]))] = root(int(comp[j]))
+            mine[codes[cut[i] : cut[i + 1]]] = False
+        a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
 
     return run
 
 
-def _foreign_pairs(live: DataFrame, labels: DataFrame, sig: DataFrame, steps, n_hashes: int, best, block: int) -> DataFrame:
-    """Candidate pairs across components in buckets that hold several."""
+def _foreign_pairs(live: DataFrame, labels: DataFrame, profile: DataFrame, across, block: int) -> DataFrame:
+    """Links across components (on the compact sets) in buckets that hold several."""
     tagged = live.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
     counts = tagged.groupBy("band", "comp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
     buckets = (
@@ -232,9 +268,9 @@ def _foreign_pairs(live: DataFrame, labels: DataFrame, sig: DataFrame, steps, n_
         "band", "node", "comp", "outer", F.explode(F.when(F.col("outer"), F.concat(among, outwards)).otherwise(inwards)).alias("t")
     )
     return (
-        tasks.join(sig.select("node", "sig"), "node")
+        tasks.join(profile, "node")
         .groupBy("band", "t")
-        .applyInArrow(_across(steps, n_hashes, best), "a long, b long")
+        .applyInArrow(across, "a long, b long")
         .distinct()
     )
 
@@ -282,13 +318,13 @@ def near_components(
     # full sets of the nodes that share any bucket
     wanted = live.select("node").distinct().join(classes, "node").select("node", "k1", "k2", "first_id", "size")
     wanted = materialise(wanted, "wanted")
-    near = texts.join(wanted.select("first_id").distinct(), F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+    asked = wanted.select("first_id").filter("first_id is not null")
+    bitmap = docs.sparkSession.sparkContext.broadcast(build_bitmap(asked, asked.count(), bits_each=16))
     sets = (
-        near.select("id", "text")
-        .mapInArrow(_sets(n), "node long, k1 long, k2 long, set array<long>")
+        texts.mapInArrow(_sets(n, bitmap), "node long, k1 long, k2 long, set array<long>, small binary")
         .join(wanted.select(*one), one)
         .dropDuplicates(one)
-        .select("node", "set")
+        .select("node", "set", "small")
     )
     sets = materialise(sets, "sets")
 
@@ -310,19 +346,15 @@ def near_components(
         .mapInArrow(_sequential(steps, n_hashes), "a long, b long")
     )
     tested = materialise(links(candidates), "links")
-    labels = None
-    for best in (4, None):
-        edges = tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = materialise(components(edges), "labels")
-        fresh = _foreign_pairs(live.select("band", "node"), labels, sig, steps, n_hashes, best, block)
-        fresh = materialise(
-            links(fresh.join(tested.select("a", "b"), ["a", "b"], "left_anti")), "links"
-        )
-        if fresh.isEmpty():
-            break
-        tested = tested.union(fresh)
     edges = tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = materialise(components(edges), "labels")
+    across = _across(steps, n_hashes, exact.numerator, exact.denominator)
+    profile = sets.select("node", "small").join(sig, "node")
+    fresh = _foreign_pairs(live.select("band", "node"), labels, profile, across, block)
+    fresh = links(fresh).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # the first links are stars by now, so only they and the new ones go in
+    stars = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    labels = materialise(components(stars.union(fresh)), "labels")
     # a component's id is the smallest id of its classes (classes without any id have none to offer)
     named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     ids = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
