@@ -31,21 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bitmap import MAX_BITS, build_bitmap
 from tessera.llm.common import materialise
 from tessera.llm.words import LETTERS, mix, shingle_hashes, word_hashes
 
-#: Bits of the seed bitmap: so many a seed, and never more than this in all (32 MB).
-BITS_PER_SEED = 64
-MAX_BITS = 1 << 28
-_CHUNK = 16  # log2 of the bits that one group builds
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _places(seeds: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    shift = np.uint64(64 - log_bits)
-    return (seeds >> shift).astype(np.int64), (mix(seeds) >> shift).astype(np.int64)
-
-
 def _items(n: int):
     def run(batches):
         for batch in batches:
@@ -65,52 +57,14 @@ def _items(n: int):
     return run
 
 
-def _bitmap(items: DataFrame, max_bits: int) -> tuple[np.ndarray, int]:
-    """Bits of all seeds, built in chunks by Spark and gathered as at most ``max_bits`` bits."""
-    total = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
-    log_bits = _CHUNK
-    while (1 << log_bits) < min(max_bits, total * BITS_PER_SEED):
-        log_bits += 1
-
-    def places(batches):
-        for batch in batches:
-            seeds = batch.column(0).flatten().to_numpy().view(np.uint64)
-            spots = np.unique(np.concatenate(_places(seeds, log_bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(spots >> _CHUNK), pa.array(spots)], names=["chunk", "spot"])
-
-    def chunk(table: pa.Table) -> pa.Table:
-        spots = table.column("spot").to_numpy() & ((1 << _CHUNK) - 1)
-        bits = np.zeros(1 << _CHUNK, dtype=bool)
-        bits[spots] = True
-        return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    rows = (
-        items.select("seeds")
-        .mapInArrow(places, "chunk long, spot long")
-        .distinct()
-        .groupBy("chunk")
-        .applyInArrow(chunk, "chunk long, bits binary")
-        .collect()
-    )
-    out = np.zeros((1 << log_bits) // 8, np.uint8)
-    for row in rows:
-        at = row.chunk << (_CHUNK - 3)
-        out[at : at + (1 << (_CHUNK - 3))] = np.frombuffer(row.bits, np.uint8)
-    return out, log_bits
-
-
-def _stretches(n: int, bitmap, log_bits: int):
+def _stretches(n: int, bitmap):
     """Per document, the maximal stretches of words under hits of the bitmap."""
 
     def run(batches):
-        bits = bitmap.value
         for batch in batches:
             words, offs = word_hashes(batch.column(1), LETTERS)
             seeds = shingle_hashes(words, n)
-            first, second = _places(seeds, log_bits)
-            hit = (bits[first >> 3] >> (7 - (first & 7)).astype(np.uint8)) & 1 == 1
-            at = np.flatnonzero(hit)
-            at = at[(bits[second[at] >> 3] >> (7 - (second[at] & 7)).astype(np.uint8)) & 1 == 1]
+            at = bitmap.value.find(seeds)
             row = np.searchsorted(offs, at, side="right") - 1
             whole = at + n <= offs[row + 1]  # a seed ends with its document
             at, row = at[whole], row[whole]
@@ -247,11 +201,13 @@ def contaminated_pairs(
     items = materialise(
         asked.mapInArrow(_items(n), f"item_id {item_kind}, item_key long, words array<long>, seeds array<long>"), "items"
     )
-    bits, log_bits = _bitmap(items, max_bits)
-    bitmap = spark.sparkContext.broadcast(bits)
+    total = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    bitmap = spark.sparkContext.broadcast(
+        build_bitmap(items.select(F.explode("seeds")), total, max_bits=max_bits)
+    )
     found = materialise(
         texts.mapInArrow(
-            _stretches(n, bitmap, log_bits), f"id {kind}, start long, words array<long>, seeds array<long>"
+            _stretches(n, bitmap), f"id {kind}, start long, words array<long>, seeds array<long>"
         ),
         "stretches",
     )
