@@ -11,6 +11,7 @@ from tessera.llm.common import table
 from tessera.llm.curriculum import plan_curriculum
 from tessera.llm.decontaminate import contaminated_pairs
 from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.line_quality import fit_quality
 from tessera.llm.near_dedup import near_components
 from tessera.llm.toxicity import fit_toxicity, held_out, score_texts
 
@@ -118,3 +119,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~out)
     scored = score_texts(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~out)
+    scored = score_texts(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
