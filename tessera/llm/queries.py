@@ -13,6 +13,7 @@ from tessera.llm.decontaminate import contaminated_pairs
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.line_quality import fit_quality
 from tessera.llm.near_dedup import near_components
+from tessera.llm.pii import KINDS, find_personal_data, fit_spans
 from tessera.llm.toxicity import fit_toxicity, held_out, score_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +129,36 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(docs, table(spark, sf_dir, "labels"), ~out)
     scored = score_texts(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+def _joined_spans(spans: str):
+    """kind:start:end of an array of spans by kind as listed, then start, comma-joined (kinds are told apart by rank)."""
+    ranked = F.array_sort(
+        F.transform(
+            spans,
+            lambda s: F.struct(
+                F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]).alias("rank"),
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                s["kind"].alias("kind"),
+            ),
+        )
+    )
+    return F.array_join(F.transform(ranked, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = find_personal_data(docs, fit_spans(docs))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [
+        (F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(_joined_spans("base"), 256).alias("base_sha256"),
+        _joined_spans(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
