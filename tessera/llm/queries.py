@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import shared_folder, table
 from tessera.llm.curriculum import plan_curriculum
 from tessera.llm.decontaminate import contaminated_pairs
 from tessera.llm.line_dedup import dedup_lines
@@ -15,6 +15,7 @@ from tessera.llm.line_quality import fit_quality
 from tessera.llm.near_dedup import near_components
 from tessera.llm.pii import KINDS, find_personal_data, fit_spans
 from tessera.llm.toxicity import fit_toxicity, held_out, score_texts
+from tessera.llm.warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,3 +163,32 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         _joined_spans(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
     )
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder, min_bytes=0, shard_bytes=1 << 25, roll_bytes=1 << 23)
+    return read_warc(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+# Base 32: five hexadecimal digits are twenty bits are four characters.
+ORACLES["op10_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), g AS (
+  SELECT html, max(page_id) AS holder FROM p GROUP BY html
+), h AS (
+  SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS hex, holder FROM p JOIN g ON p.html = g.html
+)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform([15, 10, 5, 0],
+         lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                     (((('0x' || substr(hex, (5 * i + 1)::INT, 5))::INT >> s) & 31) + 1)::INT, 1)), 'string_agg', '')),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
+FROM h
+"""
