@@ -12,6 +12,7 @@ from tessera.llm.curriculum import plan_curriculum
 from tessera.llm.decontaminate import contaminated_pairs
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.line_quality import fit_quality
+from tessera.llm.multi_index import search
 from tessera.llm.near_dedup import near_components
 from tessera.llm.pii import KINDS, find_personal_data, fit_spans
 from tessera.llm.toxicity import fit_toxicity, held_out, score_texts
@@ -192,3 +193,8 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
 FROM h
 """
+
+
+@query
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
