@@ -16,6 +16,7 @@ from tessera.llm.multi_index import search
 from tessera.llm.near_dedup import near_components
 from tessera.llm.pii import KINDS, find_personal_data, fit_spans
 from tessera.llm.toxicity import fit_toxicity, held_out, score_texts
+from tessera.llm.url_rules import judge_urls
 from tessera.llm.warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,3 +199,8 @@ FROM h
 @query
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@query
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
