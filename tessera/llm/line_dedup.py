@@ -8,8 +8,10 @@ from every document, and the rest is put together again by position.
 Shuffles carry hashes and positions, never line texts; the text itself moves
 once, in the join that brings the positions to drop back to the documents.
 The count drops repeats of (key, document) first, spread over both, so a line
-of a third of all documents meets one task only as partial sums; the semi join
-on the hash is one that adaptive execution splits.
+of a third of all documents meets one task only as partial sums.  The frequent
+hashes are written as a table of their own, so the semi join that follows is a
+broadcast where the table is below Spark's size limit, and else one with an
+exchange on either side, which adaptive execution can split.
 
 Defined cases: a null or empty text is one empty line; an empty key is never
 counted or dropped below ``min_chars`` = 1.  A document is a distinct id (null
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WHITE, ascii_lower, without
+from tessera.llm.common import WHITE, ascii_lower, materialise, without
 
 
 def _lines(text: Column) -> Column:
@@ -62,8 +64,9 @@ def dedup_lines(
     frequent = (
         lines.select("_h1", "_h2", "_id").distinct().groupBy("_h1", "_h2").count().filter(F.col("count") >= min_docs)
     )
+    frequent = materialise(frequent.select("_h1", "_h2"), "frequent-lines")
     cuts = (
-        lines.join(frequent.select("_h1", "_h2"), ["_h1", "_h2"], "left_semi")
+        lines.join(frequent, ["_h1", "_h2"], "left_semi")
         .groupBy("_id", "_tag")
         .agg(F.array_sort(F.collect_set("_pos")).alias("_cuts"))
     )
@@ -92,10 +95,7 @@ def dedup_lines(
             ),
         )
         .withColumn("n_lines", F.size("_split").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_cuts"), F.lit(0)).cast("long"))
-    )
-    out = out.withColumn(
-        "n_dropped", F.when(F.col("_cuts").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_dropped"))
+        .withColumn("n_dropped", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size("_cuts")).cast("long"))
     )
     columns = [F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns]
     return out.select(*columns, "n_lines", "n_dropped")
