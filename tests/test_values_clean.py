@@ -62,7 +62,7 @@ def test_canonical_values(spark):
     assert _one(spark, "empty", "string", V.canonical_value) == "empty"
     assert _one(spark, "EMPTY", "string", V.canonical_value) == V.EMPTY_KEY
     assert _one(spark, "  ", "string", V.canonical_value) == V.EMPTY_KEY
-    assert V.py_canonical("EMPTY") == V.EMPTY_KEY and V.py_canonical(" Ａb") == "ab"
+    assert V.selection_key("EMPTY") == V.EMPTY_KEY and V.selection_key(" Ａb") == "ab"
 
 
 def test_key_text(spark):
@@ -92,9 +92,33 @@ def test_safe_names(spark):
     df = spark.createDataFrame([("bad:folder*name.",), ("con",), ("  ",), ("a|b  c",)], "v string")
     got = [r["n"] for r in df.select(N.safe_path_name("v").alias("n")).collect()]
     assert got == ["bad_folder_name", "_con", "output", "a_b c"]
-    assert got == [N.py_safe_path_name(v) for v in ["bad:folder*name.", "con", "  ", "a|b  c"]]
-    t = spark.createDataFrame([("a/b[1]:" + "x" * 40,)], "v string").select(N.safe_table_name("v").alias("n")).collect()[0]["n"]
-    assert t.startswith("a_b_1__") and len(t) == 31
+    assert N.safe_table_name("a/b[1]:" + "x" * 40) == "a_b_1__" + "x" * 40  # nothing is cut by default
+    assert N.safe_table_name("'a/b[1]:'" + "x" * 40, max_length=31) == "a_b_1__'" + "x" * 23
+    assert N.safe_table_name("''") == "Sheet"
+
+
+def test_part_numbers_beyond_the_width_stay_whole(spark):
+    df = spark.createDataFrame([(7,), (999,), (1000,), (1002,)], "part_no long")
+    named = df.select(N.render_template("x_{part_no:03d}", {"part_no": "part_no"}).alias("n"))
+    assert [r["n"] for r in named.collect()] == ["x_007", "x_999", "x_1000", "x_1002"]
+
+
+def test_colliding_names_never_coincide(spark):
+    rows = [(i + 1, n) for i, n in enumerate(["a", "A", "a_2", "b", "c", "C", "c", "a_2_2", "a"])]
+    df = spark.createDataFrame(rows, "part_no long, name string")
+    got = [r["out"] for r in N.number_collisions(df, "name", "part_no", out="out").orderBy("part_no").collect()]
+    assert got == ["a", "A_2", "a_2_2", "b", "c", "C_2", "c_3", "a_2_2_2", "a_3"]
+    same = spark.range(1, 25_001).selectExpr("id as part_no", "'part' as name")
+    out = N.number_collisions(same, "name", "part_no", out="out")
+    assert out.select("out").distinct().count() == 25_000
+    assert out.filter("part_no = 12345").first()["out"] == "part_12345"
+
+
+def test_real_text_is_pythons(spark):
+    values = [0.0, 1.5, -2.25, 1e-6, 2.5e-7, 0.0005, 0.00012345, 0.1, 12345678.5, 1e7, 1e15, 123456789012345.6, 1e16, 1.5e20, -3.25e-9, 1e100]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r["t"] for r in df.select("i", V.text_of(df["v"], df.schema["v"].dataType).alias("t")).orderBy("i").collect()]
+    assert got == [str(v) for v in values]
 
 
 def test_template_and_errors(spark):
