@@ -149,9 +149,17 @@ def apply_duplicate_policy(
     return kept
 
 
-def _renamed(df: DataFrame, overlap: set[str], suffix: str) -> DataFrame:
-    mapping = {c: f"{c}{suffix}" for c in df.columns if c in overlap}
-    return df.withColumnsRenamed(mapping) if mapping else df
+def _holds_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_holds_map(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.MapType) or (isinstance(dtype, T.ArrayType) and _holds_map(dtype.elementType))
+
+
+def _salted(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """0 where the key is complete, else a hash of the row."""
+    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    row = [F.col(f"`{f.name}`") for f in df.schema.fields if not _holds_map(f.dataType)]
+    return df.withColumn(name, F.when(complete, F.lit(0).cast("long")).otherwise(F.xxhash64(*row)))
 
 
 def _coalesced(joined: DataFrame, primary_name: str, fallback_name: str) -> Column:
@@ -237,19 +245,27 @@ def key_join(
         left = apply_duplicate_policy(left, mk, spec.duplicate_policy, main_order, left_keys)
 
     overlap = [c for c in main_cols if c in related_cols]
+    # names of the result are new even where the main side is a join's result itself
+    names_used = Names(taken=[c for c in [*main_cols, *related_cols] if c not in overlap])
+    to_main = {c: names_used.take(f"{c}{spec.main_suffix}") for c in overlap}
+    to_related = {c: names_used.take(f"{c}{spec.related_suffix}") for c in overlap}
     conflict = [c for c in overlap if c not in set(left_keys) | set(right_keys)]
-    left = _renamed(left, set(overlap), spec.main_suffix).withColumn(_IN_MAIN, F.lit(True))
-    right = _renamed(right, set(overlap), spec.related_suffix).withColumn(_IN_RELATED, F.lit(True))
+    left = left.withColumnsRenamed(to_main).withColumn(_IN_MAIN, F.lit(True))
+    right = right.withColumnsRenamed(to_related).withColumn(_IN_RELATED, F.lit(True))
     cond = reduce(lambda a, b: a & b, [left[m] == right[r] for m, r in zip(mk, rk)])
+    if how != "inner":
+        # rows without a complete key match nothing: a salt keeps them from meeting in one task
+        left, right = _salted(left, mk, "__salt_main"), _salted(right, rk, "__salt_related")
+        cond = cond & (left["__salt_main"] == right["__salt_related"])
     joined = left.join(right, cond, how)
 
-    out_main = [f"{c}{spec.main_suffix}" if c in overlap else c for c in main_cols]
-    out_related = [f"{c}{spec.related_suffix}" if c in overlap else c for c in related_cols]
+    out_main = [to_main.get(c, c) for c in main_cols]
+    out_related = [to_related.get(c, c) for c in related_cols]
     cols: list[Column] = [F.col(c) for c in out_main] + [F.col(c) for c in out_related]
     names = out_main + out_related
     if spec.conflict_policy != "keep_both":
         for c in conflict:
-            a, b = f"{c}{spec.main_suffix}", f"{c}{spec.related_suffix}"
+            a, b = to_main[c], to_related[c]
             primary, fallback = (a, b) if spec.conflict_policy == "prefer_main" else (b, a)
             keep = [i for i, nm in enumerate(names) if nm not in (a, b)]
             cols = [cols[i] for i in keep] + [_coalesced(joined, primary, fallback).alias(c)]
@@ -273,27 +289,43 @@ def _diagnostics(result: DataFrame, duplicates: DataFrame) -> DataFrame:
     return counts.withColumn("duplicates", duplicates.select("duplicates").scalar())
 
 
-def chain_join(
+def chain_join_steps(
     frames: Sequence[DataFrame],
     spec: JoinSpec,
     orders: Sequence[OrderBy | None] | None = None,
-) -> DataFrame:
-    """Left fold of ``key_join`` over N inputs with the same key names.
+) -> tuple[DataFrame, list[JoinResult]]:
+    """The chained result, and each step's own result with its diagnostics.
 
     The normalised key is carried from step to step (coalesced over both
     sides), so later steps still find it after same-named keys got suffixes.
+    With fuzzy matching the first input's order is carried too: ties go to the
+    key that came first there, keys that only a later input brought come last.
     """
     if len(frames) < 2:
         raise ValueError("A chained join needs at least two inputs")
     orders = list(orders or [None] * len(frames))
-    n = len(spec.left_keys)
-    first = key_join(frames[0], frames[1], spec, orders[0], orders[1], carry_keys=True)
-    result = first.df
-    carried = [f"__carry{i}" for i in range(n)]
-    for frame, order in zip(frames[2:], orders[2:]):
-        step = key_join(result, frame, spec, None, order, carry_keys=True, main_prepared=carried)
-        result = step.df
-    return result.drop(*carried)
+    carried = [f"__carry{i}" for i in range(len(spec.left_keys))]
+    place = "__place"
+    result, main_order, prepared = frames[0], orders[0], None
+    if spec.fuzzy and main_order is not None:
+        result = result.withColumn(place, order_key(main_order))
+        main_order = [F.struct(F.col(place).isNull().alias("late"), F.col(place).alias("place"))]
+    steps: list[JoinResult] = []
+    for frame, order in zip(frames[1:], orders[1:]):
+        steps.append(key_join(result, frame, spec, main_order, order, carry_keys=True, main_prepared=prepared))
+        result, prepared = steps[-1].df, carried
+        if not spec.fuzzy:
+            main_order = None
+    return result.drop(*carried, place), steps
+
+
+def chain_join(
+    frames: Sequence[DataFrame],
+    spec: JoinSpec,
+    orders: Sequence[OrderBy | None] | None = None,
+) -> DataFrame:
+    """Left fold of ``key_join`` over N inputs with the same key names."""
+    return chain_join_steps(frames, spec, orders)[0]
 
 
 def suggest_join_keys(main: DataFrame, related: DataFrame) -> tuple[list[str], list[str]]:

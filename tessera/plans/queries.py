@@ -27,6 +27,7 @@ from tessera.operators import hierarchy as H
 from tessera.operators import joins as J
 from tessera.operators import split as X
 from tessera.operators import stack as U
+from tessera.operators.ordinals import dense_index
 from tessera.sinks.writer import output_names
 from tessera.sources import grid as G
 
@@ -157,12 +158,58 @@ def k9_reconcile_split_skip(spark, sf):
 
 @query(
     "x4_split_fixed_rows",
-    "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1 AS part_no, "
-    "CAST(greatest(1, ceil(count(*) OVER () / 1000.0)) AS BIGINT) AS total_parts FROM orders",
+    "SELECT *, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1 AS VARCHAR) AS split_label, "
+    "(row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1 AS part_no, CAST(greatest(1, ceil(count(*) OVER () / 1000.0)) AS BIGINT) AS total_parts FROM orders",
 )
 def x4_split_fixed_rows(spark, sf):
-    split = X.split_fixed_rows(table(spark, sf, "orders"), 1000, ["o_orderkey"])
-    return split.rows.select("o_orderkey", "part_no", "total_parts")
+    return X.split_fixed_rows(table(spark, sf, "orders"), 1000, ["o_orderkey"]).rows
+
+
+@query(
+    "x4_split_lineitem",
+    "SELECT *, CAST((rn - 1) // 7000 + 1 AS VARCHAR) AS split_label, (rn - 1) // 7000 + 1 AS part_no, "
+    "CAST(greatest(1, ceil(count(*) OVER () / 7000.0)) AS BIGINT) AS total_parts FROM ("
+    "SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem)",
+)
+def x4_split_lineitem(spark, sf):
+    """X4 over whole rows of the largest table, with the row's number."""
+    split = X.split_fixed_rows(table(spark, sf, "lineitem"), 7000, LI_ORDER)
+    numbered = dense_index(split.rows, LI_ORDER, name="rn").withColumn("rn", F.col("rn") + 1)
+    return numbered.select(*table(spark, sf, "lineitem").columns, "rn", "split_label", "part_no", "total_parts")
+
+
+@query(
+    "x1_manifest_many_groups",
+    "SELECT *, 'orders_' || lpad(CAST(part_no AS VARCHAR), greatest(3, length(CAST(part_no AS VARCHAR)))::INT, '0') AS output_name FROM ("
+    + _numbered_sql("SELECT CAST(o_orderkey AS VARCHAR) AS split_label, count(*) AS row_count, min(o_orderkey) AS f FROM orders GROUP BY 1")
+    + ")",
+)
+def x1_manifest_many_groups(spark, sf):
+    """Thousands of groups numbered and named, with part numbers wider than the template's width."""
+    split = X.split_by_fields(table(spark, sf, "orders"), ["o_orderkey"], ["o_orderkey"])
+    named = output_names(split.manifest, "{original_name}_{part_no:03d}", {"original_name": "orders"})
+    return named.select("split_label", "part_no", "total_parts", "row_count", "output_name")
+
+
+@query(
+    "x1_manifest_by_customer",
+    _numbered_sql("SELECT CAST(o_custkey AS VARCHAR) AS split_label, count(*) AS row_count, min(o_orderkey) AS f FROM orders GROUP BY 1"),
+)
+def x1_manifest_by_customer(spark, sf):
+    return _manifest(X.split_by_fields(table(spark, sf, "orders"), ["o_custkey"], ["o_orderkey"]))
+
+
+@query(
+    "x6_written_parts",
+    "SELECT CAST(p AS VARCHAR) AS split_label, count(*) AS row_count, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key "
+    "FROM (SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey) AS p FROM orders) GROUP BY 1",
+)
+def x6_written_parts(spark, sf):
+    """The rows of each part, counted from the labelled rows themselves."""
+    rows = X.split_into_parts(table(spark, sf, "orders"), 7, ["o_orderkey"]).rows
+    return rows.groupBy("split_label").agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key")
+    )
 
 
 _K_BALANCED = "(SELECT CAST(greatest(1, ceil(count(*) / 1000.0)) AS BIGINT) FROM orders)"
@@ -170,22 +217,20 @@ _K_BALANCED = "(SELECT CAST(greatest(1, ceil(count(*) / 1000.0)) AS BIGINT) FROM
 
 @query(
     "x5_split_balanced",
-    f"SELECT o_orderkey, CAST(ntile({_K_BALANCED}) OVER (ORDER BY o_orderkey) AS BIGINT) AS part_no, "
+    f"SELECT *, CAST(ntile({_K_BALANCED}) OVER (ORDER BY o_orderkey) AS VARCHAR) AS split_label, CAST(ntile({_K_BALANCED}) OVER (ORDER BY o_orderkey) AS BIGINT) AS part_no, "
     f"least({_K_BALANCED}, count(*) OVER ()) AS total_parts FROM orders",
 )
 def x5_split_balanced(spark, sf):
-    split = X.split_fixed_rows(table(spark, sf, "orders"), 1000, ["o_orderkey"], balanced=True)
-    return split.rows.select("o_orderkey", "part_no", "total_parts")
+    return X.split_fixed_rows(table(spark, sf, "orders"), 1000, ["o_orderkey"], balanced=True).rows
 
 
 @query(
     "x6_split_parts",
-    "SELECT o_orderkey, CAST(ntile(7) OVER (ORDER BY o_orderkey) AS BIGINT) AS part_no, "
-    "least(7, count(*) OVER ()) AS total_parts FROM orders",
+    "SELECT *, CAST(ntile(7) OVER (ORDER BY o_orderkey) AS VARCHAR) AS split_label, "
+    "CAST(ntile(7) OVER (ORDER BY o_orderkey) AS BIGINT) AS part_no, least(7, count(*) OVER ()) AS total_parts FROM orders",
 )
 def x6_split_parts(spark, sf):
-    split = X.split_into_parts(table(spark, sf, "orders"), 7, ["o_orderkey"])
-    return split.rows.select("o_orderkey", "part_no", "total_parts")
+    return X.split_into_parts(table(spark, sf, "orders"), 7, ["o_orderkey"]).rows
 
 
 @query(
@@ -537,8 +582,7 @@ def u7_same_name(spark, sf):
 
 @query(
     "u7_same_name_dedupe",
-    "SELECT DISTINCT *, 'orders.parquet' AS Source_File, 'Orders_Combined' AS split_label FROM ("
-    "SELECT * FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O'))",
+    "SELECT DISTINCT *, 'orders.parquet' AS Source_File, 'Orders_Combined' AS split_label FROM orders",
 )
 def u7_same_name_dedupe(spark, sf):
     """U7 + D1: tables named alike (case-folded) are stacked and deduplicated
@@ -547,7 +591,7 @@ def u7_same_name_dedupe(spark, sf):
     o = table(spark, sf, "orders")
     sources = [
         U.Source("orders.parquet", "Orders", o.filter(F.col("o_orderstatus") == "F")),
-        U.Source("orders.parquet", "ORDERS", o.filter(F.col("o_orderstatus").isin("F", "O"))),
+        U.Source("orders.parquet", "ORDERS", o),
     ]
     groups = U.consolidate_same_name(sources, dedupe=lambda df: D.dedupe(df, D.ALL), add_sheet=False)
     return U.combine_named(groups)
@@ -710,12 +754,12 @@ def f10_to_number(spark, sf):
 @query(
     "a7_agg_over_stack",
     "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS o_totalprice FROM ("
-    "SELECT DISTINCT * FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O'))"
+    "SELECT DISTINCT * FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT * FROM orders)"
     ") GROUP BY 1",
 )
 def a7_agg_over_stack(spark, sf):
     o = table(spark, sf, "orders")
-    merged = U.stack([o.filter(F.col("o_orderstatus") == "F"), o.filter(F.col("o_orderstatus").isin("F", "O"))], U.ALIGN)
+    merged = U.stack([o.filter(F.col("o_orderstatus") == "F"), o], U.ALIGN)
     agg = A.aggregate(D.dedupe(merged, D.ALL), ["o_orderpriority"], ["o_totalprice"], "sum")
     return agg.select("o_orderpriority", F.round("o_totalprice", 2).alias("o_totalprice"))
 
@@ -724,8 +768,8 @@ def a7_agg_over_stack(spark, sf):
 # J: joins of customer and orders
 
 
-def _building_customers(spark, sf) -> DataFrame:
-    return table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select("c_custkey", "c_name", "c_mktsegment")
+def _all_customers(spark, sf) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
 
 
 def _order_refs(spark, sf) -> DataFrame:
@@ -735,20 +779,20 @@ def _order_refs(spark, sf) -> DataFrame:
     return o.select("o_orderkey", "o_totalprice", ref.alias("cust_ref"))
 
 
-_BUILDING_SQL = "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'"
+_CUSTOMERS_SQL = "SELECT c_custkey, c_name, c_mktsegment FROM customer"
 _REFS_SQL = "SELECT o_orderkey, o_totalprice, ' ' || upper('Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')) || '  ' AS cust_ref FROM orders"
 
 
 def _ref_join_sql(how: str) -> str:
     return (
-        f"SELECT c_custkey, c_name, c_mktsegment, o_orderkey, o_totalprice, cust_ref FROM ({_BUILDING_SQL}) m "
+        f"SELECT c_custkey, c_name, c_mktsegment, o_orderkey, o_totalprice, cust_ref FROM ({_CUSTOMERS_SQL}) m "
         f"{how} JOIN ({_REFS_SQL}) r ON lower(trim(m.c_name)) = lower(trim(r.cust_ref))"
     )
 
 
 def _ref_join(spark, sf, how):
     spec = J.JoinSpec(["c_name"], ["cust_ref"], how=how)
-    return J.key_join(_building_customers(spark, sf), _order_refs(spark, sf), spec)
+    return J.key_join(_all_customers(spark, sf), _order_refs(spark, sf), spec)
 
 
 @query("j1_join_left", _ref_join_sql("LEFT"))
@@ -776,7 +820,7 @@ def j2_join_outer(spark, sf):
     "SELECT count(*) FILTER (WHERE m.c_custkey IS NOT NULL AND r.o_orderkey IS NOT NULL) AS matched, "
     "count(*) FILTER (WHERE r.o_orderkey IS NULL) AS main_only, count(*) FILTER (WHERE m.c_custkey IS NULL) AS related_only, "
     f"(SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM ({_REFS_SQL}) GROUP BY lower(trim(cust_ref)) HAVING count(*) > 1)) "
-    f"AS duplicates FROM ({_BUILDING_SQL}) m FULL OUTER JOIN ({_REFS_SQL}) r ON lower(trim(m.c_name)) = lower(trim(r.cust_ref))",
+    f"AS duplicates FROM ({_CUSTOMERS_SQL}) m FULL OUTER JOIN ({_REFS_SQL}) r ON lower(trim(m.c_name)) = lower(trim(r.cust_ref))",
 )
 def j13_join_diagnostics(spark, sf):
     return _ref_join(spark, sf, "outer").diagnostics.select(
@@ -878,6 +922,38 @@ def j8_dup_aggregate(spark, sf):
     return df.withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
+@query(
+    "j8_dup_aggregate_int",
+    "SELECT c_custkey, k, keys FROM customer LEFT JOIN (SELECT o_custkey AS k, CAST(sum((o_orderkey * 40000) % 2147483647) AS BIGINT) AS keys "
+    "FROM orders GROUP BY 1) ON c_custkey = k",
+)
+def j8_dup_aggregate_int(spark, sf):
+    """J8 over a 32-bit column whose sums do not fit 32 bits."""
+    main = table(spark, sf, "customer").select("c_custkey")
+    o = table(spark, sf, "orders")
+    rel = o.select(
+        F.col("o_custkey").alias("k"), "o_orderkey", ((F.col("o_orderkey") * 40000) % 2147483647).cast("int").alias("keys")
+    )
+    spec = J.JoinSpec(["c_custkey"], ["k"], how="left", duplicate_policy="aggregate")
+    return J.key_join(main, rel, spec, related_order=["o_orderkey"]).df.select("c_custkey", "k", "keys")
+
+
+@query(
+    "j2_join_outer_blank_keys",
+    "SELECT c_custkey, ref AS ref_main, o_orderkey, oref AS ref_related FROM ("
+    "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN ' ' ELSE c_name END AS ref FROM customer) c FULL JOIN ("
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') END AS oref "
+    "FROM orders) o ON nullif(lower(trim(ref)), '') = nullif(lower(trim(oref)), '')",
+)
+def j2_join_outer_blank_keys(spark, sf):
+    """A full outer join of all customers with all orders, many keys blank on either side."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    main = c.select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", F.lit(" ")).otherwise(F.col("c_name")).alias("ref"))
+    name = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    rel = o.select("o_orderkey", F.when(F.col("o_orderstatus") != "F", name).alias("ref"))
+    return J.key_join(main, rel, J.JoinSpec(["ref"], ["ref"], how="outer")).df
+
+
 @query(
     "j9_dup_both",
     "SELECT o_orderkey, o_custkey, o_orderstatus, c_custkey, c_name FROM ("
@@ -966,6 +1042,42 @@ def j14_chained(spark, sf):
     return J.chain_join([n, s, c], spec, [None, ["s_suppkey"], ["c_custkey"]])
 
 
+@query(
+    "j14_chained_four",
+    "SELECT a.k AS k_main, a.v AS v_main, b.k AS k_related, b.v AS v_related, c.k AS k_main_2, c.n_customers, d.k AS k_related_2, "
+    "d.n_suppliers FROM (SELECT n_nationkey AS k, n_name AS v FROM nation) a "
+    "LEFT JOIN (SELECT r_regionkey AS k, r_name AS v FROM region) b ON CAST(a.k AS VARCHAR) = CAST(b.k AS VARCHAR) "
+    "LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n_customers FROM customer GROUP BY 1) c ON CAST(a.k AS VARCHAR) = CAST(c.k AS VARCHAR) "
+    "LEFT JOIN (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier GROUP BY 1) d ON CAST(a.k AS VARCHAR) = CAST(d.k AS VARCHAR)",
+)
+def j14_chained_four(spark, sf):
+    """J14 over four inputs that share one key name: every name in the result is new."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    r = table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("v"))
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n_customers"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n_suppliers"))
+    return J.chain_join([n, r, c, s], J.JoinSpec(["k"], ["k"], how="left"))
+
+
+@query(
+    "j14_chained_fuzzy",
+    "SELECT n_nationkey, n_name AS label_main, c_custkey, CASE WHEN c_acctbal < 0 THEN substr(n_name, 1, 1) || substr(n_name, 3, 1) || "
+    "substr(n_name, 2, 1) || substr(n_name, 4) ELSE n_name END AS label_related, n_suppliers, n_name || '!' AS label FROM nation "
+    "JOIN customer ON c_nationkey = n_nationkey JOIN (SELECT s_nationkey, count(*) AS n_suppliers FROM supplier GROUP BY 1) "
+    "ON s_nationkey = n_nationkey",
+)
+def j14_chained_fuzzy(spark, sf):
+    """J14 with J10: three inputs matched by similar names (swapped letters, a stray mark)."""
+    n = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("label"))
+    c = _perturbed_nations(spark, sf).withColumnRenamed("nation_ref", "label")
+    s = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_suppliers"))
+    s = s.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "n_suppliers", F.concat("n_name", F.lit("!")).alias("label")
+    )
+    spec = J.JoinSpec(["label"], ["label"], how="inner", fuzzy=True, fuzzy_threshold=80)
+    return J.chain_join([n, c, s], spec, [["n_nationkey"], ["c_custkey"], ["label"]])
+
+
 @query(
     "s15_key_suggestion",
     "SELECT c.c_custkey AS c_custkey_main, c_name, o_orderkey, r.c_custkey AS c_custkey_related FROM customer c LEFT JOIN ("
@@ -998,6 +1110,23 @@ def j16_side_by_side(spark, sf):
     )
 
 
+@query(
+    "j16_side_by_side_large",
+    "SELECT o_orderkey, o_custkey, o_totalprice, c_custkey, c_name, l_orderkey, l_linenumber, l_quantity FROM "
+    "(SELECT row_number() OVER (ORDER BY o_orderkey) AS rn, * FROM orders) a FULL JOIN "
+    "(SELECT row_number() OVER (ORDER BY c_custkey DESC) AS rn, * FROM customer) b USING (rn) FULL JOIN "
+    "(SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn, * FROM lineitem) c USING (rn)",
+)
+def j16_side_by_side_large(spark, sf):
+    """J16 over three whole tables of different lengths, one of them in falling order."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
+    return J.side_by_side(
+        [o, c, li], [["o_orderkey"], [-F.col("c_custkey")], LI_ORDER], hidden=["l_partkey", "l_suppkey"]
+    )
+
+
 @query(
     "j17_side_by_side_basic",
     "SELECT a.n_nationkey, a.name, b.r_regionkey, b.name AS name_Source2 FROM "
@@ -1215,10 +1344,16 @@ def f12_json_nested(spark, sf):
     return json_nested(nested)
 
 
-@query("f12_json_text")
+@query(
+    "f12_json_text",
+    "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding, label FROM embeddings",
+)
 def f12_json_text(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", V.json_text(e["embedding"], e.schema["embedding"].dataType).alias("embedding"), "label")
+    text = e.select("vec_id", V.json_text(e["embedding"], e.schema["embedding"].dataType).alias("text"), "label")
+    # the text is parsed again, as numbers, so that SQL can compare them
+    parsed = F.transform(F.from_json("text", "array<float>"), lambda x: x.cast("double"))
+    return text.select("vec_id", parsed.alias("embedding"), "label")
 
 
 # ---------------------------------------------------------------------------
