@@ -1,0 +1,125 @@
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tessera.llm import near_dedup as N
+from tessera.llm.graph import components
+from tessera.llm.words import LETTERS, NOT_WHITE, shingle_set, word_hashes
+
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text, n):
+    words = WORD.findall((text or "").translate(UPPER))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def brute(rows, n, num, den):
+    sets = [shingles(t, n) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and den * common >= num * (len(sets[i]) + len(sets[j]) - common):
+                parent[root(i)] = root(j)
+    smallest = defaultdict(lambda: None)
+    for i, (d, _) in enumerate(rows):
+        r = root(i)
+        if d is not None and (smallest[r] is None or d < smallest[r]):
+            smallest[r] = d
+    return sorted((d, len(s), smallest[root(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+def family(rnd, words, copies, edits):
+    """Copies of copies: chains in which the ends need not be alike."""
+    out = [words]
+    for _ in range(copies):
+        new = list(rnd.choice(out))
+        for _ in range(rnd.randint(0, edits)):
+            new[rnd.randrange(len(new))] = f"e{rnd.randrange(10**6)}"
+        out.append(new)
+    return [" ".join(w) for w in out]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rnd = random.Random(2)
+    texts = []
+    for k in range(12):
+        base = [f"w{rnd.randrange(4000)}" for _ in range(rnd.choice([12, 60, 200]))]
+        texts += family(rnd, base, rnd.choice([1, 5, 40]), 2)
+    texts += [" ".join(f"u{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(60)]
+    texts += ["", None, "   ", "one", "ONE", "one two", "one two", "a a a a a a a a", "A a a a a a", texts[3].upper(), texts[3]]
+    rnd.shuffle(texts)
+    return [(1000 - i, t) for i, t in enumerate(texts)]
+
+
+def test_components_match_brute_force(docs, corpus):
+    got = N.near_components(docs(*corpus), n=3, threshold="0.85", block=16)
+    rows = sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect())
+    assert rows == brute(corpus, 3, 85, 100)
+
+
+def test_repeated_and_null_ids(docs):
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text + " tail"
+    rows = [(5, text), (5, text), (3, near), (None, text), (7, "other words here"), (7, text), (None, "quite alone"), (8, None)]
+    got = N.near_components(docs(*rows), n=3, threshold="0.85").collect()
+    found = sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str)
+    assert found == sorted(
+        [(5, 3, False), (5, 3, False), (3, 3, True), (None, 3, False), (7, 7, True), (7, 3, False), (None, None, True), (8, 8, True)],
+        key=str,
+    )
+
+
+def test_one_of_each_group_stays_and_an_empty_table(docs):
+    text = " ".join(f"w{i}" for i in range(60))
+    kept = N.drop_near_duplicates(docs((4, text), (2, text + " x"), (9, "alone"), (2, text + " x"), (6, None)))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 6, 9]
+    assert N.near_components(docs()).count() == 0
+
+
+def test_sequential_bounds_follow_the_posterior():
+    steps = N.least_matches(120, 0.85, 1e-6)
+    assert steps[-1][0] == 120 and all(a < b for (_, a), (_, b) in zip(steps, steps[1:], strict=False))
+    rng = np.random.default_rng(0)
+    matches = rng.random((20_000, 120)) < 0.85
+    lost = np.zeros(20_000, bool)
+    for n, least in steps:
+        lost |= matches[:, :n].sum(axis=1) < least
+    assert lost.mean() < 1e-3
+    assert (1 - 0.85**5) ** N.plan_bands(0.85, 1e-6) <= 1e-6
+
+
+def test_components_of_paths_stars_and_cycles(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(300, 301), (301, 302), (302, 300)]
+    got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == {**{i: 0 for i in range(51)}, **{100 + i: 100 for i in range(40)}, 300: 300, 301: 300, 302: 300}
+
+
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
+    import tessera.llm.words as words
+
+    texts = ["Ab cd  ab", None, "", " x\t\ny ", "é É z-z", "long " * 300, "w" * 500 + " v"]
+    column = pa.array(texts)
+    whole, offs = word_hashes(column, NOT_WHITE)
+    monkeypatch.setattr(words, "BLOCK", 7)
+    parts, offs2 = word_hashes(column, NOT_WHITE)
+    assert (whole == parts).all() and (offs == offs2).all()
+    assert [int(n) for n in np.diff(offs)] == [len(WORD.findall(t or "")) for t in texts]
+    assert whole[0] == whole[2] and word_hashes(pa.array(["É"]), NOT_WHITE)[0][0] != word_hashes(pa.array(["é"]), NOT_WHITE)[0][0]
+    assert len(word_hashes(pa.array(["z-z"]), LETTERS)[0]) == 2
+    sliced = pa.array(["skip me", *texts]).slice(1)
+    assert (word_hashes(sliced, NOT_WHITE)[0] == whole).all()
+    assert len(shingle_set(whole[:2], 3)) == 1 and len(shingle_set(whole[:0], 3)) == 0
