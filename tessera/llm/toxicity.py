@@ -11,7 +11,8 @@
    a vote shares its evidence with the correlated votes of its row, so that ten
    spellings of one cue count about once.
 3. Classifier.  A logistic regression over the presence of words and prefixes
-   is trained on the posterior labels, and scores every whole text.
+   is trained on the posterior labels and scores every whole text; the labelled
+   sample sets its intercept, so that the best cut lies at ``threshold``.
 
 Bounds (parameters): ``max_labelled`` labelled rows, ``max_sample`` documents
 for the label model and classifier, ``max_voters`` voters, ``max_features``
@@ -173,17 +174,18 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray
         return np.full(n, prior)
     crowd = np.ones((n, m))
     silent = ~votes.any(axis=1)
+    prior = float(np.clip(prior, 1e-4, 1 - 1e-4))  # stays: with few voters the classes' sizes are not identified
+    prior_odds = np.log(prior / (1 - prior))
     post = np.where(silent, prior * 0.1, 0.9)
     for step in range(rounds):
         p1 = (post @ votes + 0.5) / (post.sum() + 1.0)
         p0 = ((1 - post) @ votes + 0.05) / ((1 - post).sum() + 1.0)
         p0 = np.minimum(p0, p1)  # a voter votes for label 1 or says nothing
-        share = np.clip(post.mean(), 1e-4, 1 - 1e-4)
         # silence of one voter is no evidence, silence of all of them together is
         hush = np.log(((post @ silent) + 0.5) / (post.sum() + 1.0)) - np.log(
             ((1 - post) @ silent + 0.5) / ((1 - post).sum() + 1.0)
         )
-        score = np.log(share / (1 - share)) + (votes / crowd) @ np.log(p1 / p0) + silent * hush
+        score = prior_odds + (votes / crowd) @ np.log(p1 / p0) + silent * hush
         post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         if step in (5, 15):  # residual correlations, given the label as it is now believed
             rest = votes - np.outer(post, p1) - np.outer(1 - post, p0)
@@ -209,6 +211,20 @@ def logistic(rows: np.ndarray, cols: np.ndarray, n: int, m: int, y: np.ndarray,
     return w, b
 
 
+def calibrate(z: np.ndarray, label: np.ndarray, threshold: float) -> float:
+    """The shift that puts the cut with the fewest errors on the known labels at ``threshold``.
+
+    Of equally good cuts the middle of the widest gap is taken.
+    """
+    order = np.argsort(z, kind="stable")
+    z, label = z[order], label[order]
+    errors = np.append(0, np.cumsum(label)) + np.append(np.cumsum((1 - label)[::-1])[::-1], 0)
+    low, high = np.append(z[0] - 1.0, z), np.append(z, z[-1] + 1.0)
+    wide = np.where(errors == errors.min(), high - low, -1.0)
+    cut = (low[wide.argmax()] + high[wide.argmax()]) / 2
+    return float(np.log(threshold / (1 - threshold)) - cut)
+
+
 def smallest_by_hash(ids: DataFrame, id_col: str, limit: int) -> DataFrame:
     """The ``limit`` ids with the smallest hash: a sample that reruns repeat."""
     return ids.orderBy(F.xxhash64(F.lit(11), F.col(id_col)), id_col).limit(limit)
@@ -240,8 +256,9 @@ def fit_toxicity(
     max_voters: int = 256,
     max_features: int = 2048,
     min_support: int = 3,
+    threshold: float = 0.3,
 ) -> ToxicityModel:
-    """Fit on rows for which ``may_learn`` (a condition on ``id_col``) holds."""
+    """Fit on rows for which ``may_learn`` (a condition on ``id_col``) holds; ``threshold`` is the score to cut at."""
     texts = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
     known = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & may_learn)
@@ -301,7 +318,9 @@ def fit_toxicity(
         votes[:, len(voters) + k] = (seen["patterns"].to_numpy() >> k) & 1
     post = label_model(votes.astype(np.float64), rate)
     weights, intercept = logistic(rows, cols, n, len(vocabulary.hashes), post)
-    return ToxicityModel(vocabulary, weights, intercept)
+    rows, cols = _pairs(marked["features"])
+    z = np.bincount(rows, weights=weights[cols], minlength=len(marked)) + intercept
+    return ToxicityModel(vocabulary, weights, intercept + calibrate(z, marked["label"].to_numpy(), threshold))
 
 
 def score_texts(docs: DataFrame, model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -324,5 +343,5 @@ def score_texts(docs: DataFrame, model, text_col: str = "text", threshold: float
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, may_learn: Column, threshold: float = 0.3, **options) -> DataFrame:
     """``docs`` without the documents predicted toxic."""
-    model = fit_toxicity(docs, labels, may_learn, **options)
+    model = fit_toxicity(docs, labels, may_learn, threshold=threshold, **options)
     return score_texts(docs, model, threshold=threshold).filter("predicted = 0").drop("score", "predicted")
