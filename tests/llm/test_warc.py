@@ -34,7 +34,7 @@ ROWS = [
 @pytest.mark.parametrize("min_bytes", [0, 7])
 def test_round_trip(spark, tmp_path, min_bytes):
     folder = f"file://{tmp_path}/a"
-    write_warc(spark.createDataFrame(ROWS, PAGES), folder, min_bytes=min_bytes, shard_bytes=50, roll_bytes=200)
+    write_warc(spark.createDataFrame(ROWS, PAGES), folder, min_bytes=min_bytes, shard_bytes=60_000, roll_bytes=200)
     got = read_warc(spark, folder, with_payload=True).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(ROWS, min_bytes)
     for r in got:
