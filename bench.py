@@ -63,7 +63,7 @@ def k1_write_lineitem_by_flags(spark, sf):
     from tessera.sinks.writer import write_split
 
     split = split_by_fields(Q.table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], Q.LI_ORDER)
-    out = tempfile.mkdtemp(prefix="tessera-bench-")
+    out = tempfile.mkdtemp(prefix="tessera-bench-", dir=os.environ.get("BENCH_OUT_DIR"))
     write_split(split.flagged, f"{out}/lineitem_split")
     return spark.read.parquet(f"{out}/lineitem_split").limit(0)
 

@@ -8,7 +8,7 @@ non-missing counts (an action) and then a ``select``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -65,17 +65,28 @@ def clean_strings(
     return df.withColumns(exprs) if exprs else df
 
 
-def drop_empty_rows(df: DataFrame, blanks_are_empty: bool = True) -> DataFrame:
+def drop_empty_rows(df: DataFrame, blanks_are_empty: bool = True, hidden: Sequence[str] = ()) -> DataFrame:
     """P6 (and S7 with ``blanks_are_empty=False``): rows whose every cell is missing go.
 
     With ``blanks_are_empty`` blank strings first become NULL (and stay NULL).
+    ``hidden`` columns (a row's ordinal) are not cells.
     """
+    shown = [c for c in df.columns if c not in hidden]
     if blanks_are_empty:
-        strings = {n: blank_to_null(F.col(n), T.StringType()) for n in _string_columns(df)}
+        strings = {n: blank_to_null(F.col(n), T.StringType()) for n in _string_columns(df) if n in shown}
         if strings:
             df = df.withColumns(strings)
     # na.drop counts NaN as missing too, like pandas
-    return df.na.drop(how="all")
+    return df.na.drop(how="all", subset=shown) if shown else df
+
+
+def drop_duplicate_rows(df: DataFrame, hidden: Sequence[str] = ()) -> DataFrame:
+    """Equal rows become one; of ``hidden`` columns (a row's ordinal) the smallest stays."""
+    hidden = [c for c in df.columns if c in hidden]
+    if not hidden:
+        return df.dropDuplicates()
+    shown = [F.col(f"`{c}`") for c in df.columns if c not in hidden]
+    return df.groupBy(*shown).agg(*[F.min(c).alias(c) for c in hidden]).select(*df.columns)
 
 
 def empty_columns(df: DataFrame) -> list[str]:
@@ -94,15 +105,19 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in gone]) if gone else df
 
 
-def clean(df: DataFrame, options: CleaningOptions) -> DataFrame:
-    """The cleaning pipeline: strings, empty rows, empty columns, duplicate rows."""
+def clean(df: DataFrame, options: CleaningOptions, hidden: Sequence[str] = ()) -> DataFrame:
+    """The cleaning pipeline: strings, empty rows, empty columns, duplicate rows.
+
+    ``hidden`` columns order the rows and are no data: they neither keep an
+    empty row nor tell duplicates apart.
+    """
     df = clean_strings(
         df, options.trim_whitespace, options.collapse_whitespace, options.normalize_width, options.order
     )
     if options.drop_empty_rows:
-        df = drop_empty_rows(df)
+        df = drop_empty_rows(df, hidden=hidden)
     if options.drop_empty_columns:
         df = drop_empty_columns(df)
     if options.drop_duplicate_rows:
-        df = df.dropDuplicates()
+        df = drop_duplicate_rows(df, hidden)
     return df

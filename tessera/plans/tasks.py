@@ -16,7 +16,9 @@ from pathlib import PurePath
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from tessera.functions.values import to_number
 from tessera.operators import aggregate as A
 from tessera.operators import dedupe as D
 from tessera.operators import hierarchy as H
@@ -26,8 +28,9 @@ from tessera.operators import stack as U
 from tessera.operators.cleaning import CleaningOptions, clean, rename_fields
 from tessera.operators.ordinals import with_source_ordinal
 from tessera.plans.reconcile import RunReport, append_report, reconcile_rows
-from tessera.sinks.writer import output_names, write_split
-from tessera.sources.files import read_delimited
+from tessera.sinks.writer import MAX_OUTPUT_COLUMNS, MAX_OUTPUT_ROWS, check_output_size, output_names, write_named, write_split
+from tessera.sources.files import delimited_grid
+from tessera.sources.grid import TableStructure, read_grid_table
 
 ORDINAL = "_ordinal"
 
@@ -37,7 +40,11 @@ class SourceSpec:
     """One input table.  ``format``: parquet, csv, tsv, json or orc.
 
     ``order_by`` gives row order for first/last semantics; Parquet sources
-    default to (file, row in file) through ``_metadata``.
+    default to (file, row in file) through ``_metadata``, delimited ones to the
+    line.  ``structure`` says where a delimited table's header and data stand
+    (the first row by default); ``options`` may hold ``sep`` and ``multiLine``.
+    Columns of a delimited table that are numbers throughout become numbers
+    unless ``infer_types`` is off.
     """
 
     path: str
@@ -45,6 +52,8 @@ class SourceSpec:
     table: str | None = None
     order_by: Sequence[str] | None = None
     options: Mapping[str, str] = field(default_factory=dict)
+    structure: TableStructure | None = None
+    infer_types: bool = True
 
     @property
     def name(self) -> str:
@@ -59,6 +68,8 @@ class OutputSpec:
     existing: str = "rename"
     max_rows_per_file: int | None = None
     name: str = "result"
+    #: Refuse outputs that no spreadsheet could hold.
+    spreadsheet_limits: bool = False
 
 
 @dataclass
@@ -68,6 +79,42 @@ class Loaded:
     order: list
 
 
+def _typed(df: DataFrame) -> DataFrame:
+    """Text columns that hold nothing but numbers as numbers (one aggregate over the table)."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    checks = []
+    for k, name in enumerate(text):
+        cell = F.col(f"`{name}`")
+        checks += [
+            F.count(cell).alias(f"n{k}"),
+            F.count(F.when(cell.rlike("^[+-]?[0-9]{1,18}$"), 1)).alias(f"i{k}"),
+            F.count(to_number(cell, StringType())).alias(f"d{k}"),
+        ]
+    if not checks:
+        return df
+    found = df.agg(*checks).first()
+    changed = {}
+    for k, name in enumerate(text):
+        if found[f"n{k}"] and found[f"i{k}"] == found[f"n{k}"]:
+            changed[name] = F.col(f"`{name}`").try_cast("long")  # rows cut below may hold other text
+        elif found[f"n{k}"] and found[f"d{k}"] == found[f"n{k}"]:
+            changed[name] = to_number(F.col(f"`{name}`"), StringType())
+    return df.withColumns(changed) if changed else df
+
+
+def _delimited(spark: SparkSession, spec: SourceSpec, fmt: str) -> DataFrame:
+    """A delimited file through the grid: header modes, ranges, bottom rows; the line number orders the rows."""
+    sep = spec.options.get("sep") or ("\t" if fmt == "tsv" else None)
+    multi_line = str(spec.options.get("multiLine", "false")).lower() == "true"
+    grid = delimited_grid(spark, spec.path, sep, spec.name, multi_line)
+    files = [r["source_file"] for r in grid.select("source_file").distinct().limit(2).collect()]
+    if len(files) != 1:
+        raise ValueError(f"{spec.path} is not one readable file; list its files one by one")
+    structure = spec.structure or TableStructure(header_mode="row_number")
+    table = read_grid_table(grid, files[0], spec.name, structure, row_no=ORDINAL)
+    return _typed(table) if spec.infer_types else table
+
+
 def load_sources(
     spark: SparkSession, specs: Sequence[SourceSpec], errors: list[str]
 ) -> list[Loaded]:
@@ -76,17 +123,15 @@ def load_sources(
     for spec in specs:
         try:
             fmt = spec.format.lower()
+            order = list(spec.order_by) if spec.order_by else [ORDINAL]
             if fmt in ("csv", "tsv"):
-                df = read_delimited(spark, spec.path, sep="\t" if fmt == "tsv" else None)
+                df = _delimited(spark, spec, fmt)
             else:
                 df = spark.read.options(**dict(spec.options)).format(fmt).load(spec.path)
-            if spec.order_by:
-                order = list(spec.order_by)
-            elif fmt == "parquet":
-                df = with_source_ordinal(df, ORDINAL)
-                order = [ORDINAL]
-            else:
-                raise ValueError("order_by is required for non-Parquet sources")
+                if not spec.order_by and fmt != "parquet":
+                    raise ValueError("order_by is required for sources without row numbers")
+                if fmt == "parquet":
+                    df = with_source_ordinal(df, ORDINAL)
             df.schema  # resolve now so a broken source fails here, not mid-run
             loaded.append(Loaded(spec, df, order))
         except Exception as error:  # noqa: BLE001 - reported, the run goes on
@@ -102,7 +147,7 @@ def _drop_ordinal(df: DataFrame) -> DataFrame:
 class SplitTask:
     sources: Sequence[SourceSpec]
     output: OutputSpec
-    mode: str = "field"  # field | rows | parts | hierarchy
+    mode: str = "field"  # field | rows | parts | hierarchy | sheet
     fields: Sequence[str] = ()
     rows_per_part: int = 0
     balanced: bool = False
@@ -115,6 +160,8 @@ class SplitTask:
     field_mapping: Mapping[str, str] = field(default_factory=dict)
     cleaning: CleaningOptions = field(default_factory=CleaningOptions)
     naming_template: str = "{original_name}_{split_value}"
+    add_source_file: bool = False
+    add_source_sheet: bool = False
     report_path: str | None = None
 
 
@@ -134,38 +181,69 @@ def _split_one(task: SplitTask, df: DataFrame, order) -> X.Split:
 
 
 def run_split(spark: SparkSession, task: SplitTask) -> RunReport:
-    """Split every source; one write job per source holds all of its groups."""
+    """Split every source; one write job per source holds all of its groups, each under its rendered name.
+
+    ``sheet`` mode makes every source table one group of a single dataset.
+    """
     started, errors, outputs, warnings = datetime.now(), [], [], []
-    total_in = total_out = total_excluded = 0
+    totals = dict.fromkeys(("input_rows", "output_rows", "excluded_rows"), 0)
+    jobs = []
     for item in load_sources(spark, task.sources, errors):
         try:
-            df = clean(rename_fields(item.df, task.field_mapping), task.cleaning)
-            split = _split_one(task, df, item.order)
+            df = clean(rename_fields(item.df, task.field_mapping), task.cleaning, hidden=[ORDINAL])
+            source = U.Source(item.spec.path, item.spec.name, df)
+            df = U.with_provenance(source, task.add_source_file, task.add_source_sheet)
+            jobs.append((item, df))
+        except Exception as error:  # noqa: BLE001
+            errors.append(f"{item.spec.path}: {error}")
+    if task.mode == "sheet" and jobs:
+        work = [(task.output.name, ", ".join(i.spec.path for i, _ in jobs), jobs)]
+    else:
+        work = [(i.spec.name, i.spec.path, [(i, df)]) for i, df in jobs]
+    for name, path, members in work:
+        try:
+            raw = sum(i.df.count() for i, _ in members) if _drops_rows(task.cleaning) else None
+            if task.mode == "sheet":
+                split = X.split_by_table([(i.spec.name, _drop_ordinal(df)) for i, df in members])
+            else:
+                split = _split_one(task, members[0][1], members[0][0].order)
+            manifest = output_names(split.manifest, task.naming_template, {"original_name": name})
             flagged = _drop_ordinal(split.flagged)
-            target = f"{task.output.directory}/{item.spec.name}_{task.output.name}"
-            res = write_split(
-                flagged, target, task.output.format, task.output.separate, existing=task.output.existing,
-                max_rows_per_file=task.output.max_rows_per_file,
-            )
+            if task.output.spreadsheet_limits:
+                check_output_size(manifest, len(flagged.columns) - 2, MAX_OUTPUT_ROWS, MAX_OUTPUT_COLUMNS)
+            target = f"{task.output.directory}/{name}_{task.output.name}"
+            if task.output.separate:
+                res, manifest = write_named(
+                    flagged, manifest, target, task.output.format, existing=task.output.existing,
+                    max_rows_per_file=task.output.max_rows_per_file,
+                )
+            else:
+                res = write_split(
+                    flagged, target, task.output.format, False, existing=task.output.existing,
+                    max_rows_per_file=task.output.max_rows_per_file,
+                )
             if res.warning:
                 warnings.append(res.warning)
-            if not res.written:
-                # nothing was written: every input row is excluded (reason skipped_existing)
-                skipped = flagged.agg(F.count(F.lit(1)).cast("long").alias("n")).collect()[0]["n"]
-                total_in += skipped
-                total_excluded += skipped
-                warnings.append(f"{skipped} rows of {item.spec.path} excluded: skipped_existing")
+            counts = res.counts
+            if counts is None:  # one combined output that exists: every row stays out
+                n = flagged.count()
+                counts = {"input_rows": n, "output_rows": 0, "excluded_rows": n}
+            if counts["excluded_rows"] and res.warning:
+                warnings.append(f"{counts['excluded_rows']} rows of {path} excluded: skipped_existing")
+            if raw is not None:  # rows that cleaning took out
+                counts = counts | {
+                    "input_rows": raw, "excluded_rows": counts["excluded_rows"] + raw - counts["input_rows"]
+                }
+            for key in totals:
+                totals[key] += counts[key]
             if res.written:
                 outputs.append(res.path)
                 # K8: the manifest (groups, sizes, output names) next to the data
-                names = output_names(split.manifest, task.naming_template, {"original_name": item.spec.name})
-                names.withColumn("source", F.lit(item.spec.path)).write.mode("overwrite").parquet(f"{res.path}_manifest")
-                total_in += res.counts["input_rows"]
-                total_out += res.counts["output_rows"]
-                total_excluded += res.counts["excluded_rows"]
+                listed = manifest.filter("not _skipped").drop("_skipped") if "_skipped" in manifest.columns else manifest
+                listed.withColumn("source", F.lit(path)).write.mode("overwrite").parquet(f"{res.path}_manifest")
         except Exception as error:  # noqa: BLE001
-            errors.append(f"{item.spec.path}: {error}")
-    rec = reconcile_rows(total_in, total_out, total_excluded)
+            errors.append(f"{path}: {error}")
+    rec = reconcile_rows(*totals.values())
     if rec.warning():
         warnings.append(rec.warning())
     report = RunReport("split", started, datetime.now(), outputs, warnings, errors, dict(task.field_mapping), rec)
@@ -174,6 +252,33 @@ def run_split(spark: SparkSession, task: SplitTask) -> RunReport:
     return report
 
 
+def _drops_rows(options: CleaningOptions) -> bool:
+    return options.drop_empty_rows or options.drop_duplicate_rows
+
+
+def _readable(loaded: list[Loaded], errors: list[str]) -> list[Loaded]:
+    """K12 while running: the sources that can be read to their end; the others become report errors."""
+    out = []
+    for item in loaded:
+        try:
+            item.df.write.format("noop").mode("overwrite").save()
+            out.append(item)
+        except Exception as error:  # noqa: BLE001
+            errors.append(f"{item.spec.path}: {str(error)[:500]}")
+    return out
+
+
+def _isolated(run, loaded: list[Loaded], errors: list[str], least: int = 1):
+    """Run over all sources; if that fails, once more over those that can be read."""
+    try:
+        return run(loaded)
+    except Exception:  # noqa: BLE001
+        good = _readable(loaded, errors)
+        if len(good) == len(loaded) or len(good) < least:
+            raise
+        return run(good)
+
+
 @dataclass
 class MergeTask:
     sources: Sequence[SourceSpec]
@@ -195,26 +300,57 @@ class MergeTask:
 
 def run_merge(spark: SparkSession, task: MergeTask) -> RunReport:
     """U1-U8, D1-D2, A1-A7 as one run: the merged dataset is written once with
-    a label column naming each output table."""
+    a label column naming each output table.
+
+    Rows are counted where they pass: read from each source, stacked, left by
+    the dedupe, written.  What the dedupe or the aggregation removes, or a name
+    conflict leaves out, is excluded by that reason; a row lost anywhere else
+    unbalances the report.
+    """
     started, errors = datetime.now(), []
-    loaded = load_sources(spark, task.sources, errors)
-    observations = []
-    sources = []
+    report = _isolated(
+        lambda loaded: _merge(spark, task, loaded, started, errors), load_sources(spark, task.sources, errors), errors
+    )
+    if task.report_path:
+        append_report(spark, report, task.report_path)
+    return report
+
+
+def _counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def _merge(spark: SparkSession, task: MergeTask, loaded: list[Loaded], started, errors: list[str]) -> RunReport:
+    sources, reads = [], []
     for item in loaded:
-        obs = Observation(f"input_{len(observations)}")
-        observations.append(obs)
-        sources.append(U.Source(item.spec.path, item.spec.name, item.df.observe(obs, F.count(F.lit(1)).alias("rows"))))
+        df, seen = _counted(item.df, f"input_{len(reads)}")
+        reads.append(seen)
+        sources.append(U.Source(item.spec.path, item.spec.name, df))
     order = [ORDINAL] if all(ORDINAL in s.df.columns for s in sources) else None
+    stacked: list[Observation] = []
+    single: list[Observation] = []
 
     def dedupe(df):
+        df, seen = _counted(df, f"stacked_{len(stacked)}")
+        stacked.append(seen)
         if task.dedupe_mode == D.ALL:
             # the row ordinal is not data: identical rows from one file are duplicates
-            return D.dedupe(_drop_ordinal(df), D.ALL)
-        return D.dedupe(df, task.dedupe_mode, task.dedupe_fields, task.dedupe_keep, order)
-
+            df = D.dedupe(_drop_ordinal(df), D.ALL)
+        else:
+            df = D.dedupe(df, task.dedupe_mode, task.dedupe_fields, task.dedupe_keep, order)
+        df, seen = _counted(df, f"single_{len(single)}")
+        single.append(seen)
+        return df
+
+    used = list(range(len(sources)))
     if task.mode == "catalog":
-        merged = U.consolidate_catalog(sources, task.conflict, label="split_label")
+        targets = U.catalog_targets(sources, task.conflict)
+        used = [k for k, s in enumerate(sources) if any(s is kept for _, kept in targets)]
+        merged = U.stack([s.df.withColumn("split_label", F.lit(name)) for name, s in targets], U.ALIGN)
     elif task.mode == "same_name":
+        wanted = task.target_table.casefold() if task.target_table else None
+        used = [k for k, s in enumerate(sources) if wanted in (None, s.table.casefold())]
         groups = U.consolidate_same_name(
             sources, task.strategy, task.target_table, dedupe, task.add_source_file, task.add_source_sheet
         )
@@ -227,22 +363,35 @@ def run_merge(spark: SparkSession, task: MergeTask) -> RunReport:
     merged = _drop_ordinal(merged)
     flagged = merged.withColumn("_excluded", F.lit(None).cast("string"))
     res = write_split(flagged, f"{task.output.directory}/{task.output.name}", task.output.format, task.output.separate, existing=task.output.existing)
-    # source row counts were observed during the write (no extra pass)
-    per_source = [(s.file, s.table, int(obs.get.get("rows", 0))) for s, obs in zip(sources, observations)] if res.written else []
-    input_rows = sum(n for _f, _t, n in per_source)
-    if per_source:
+    excluded: dict[str, int] = {}
+    if res.written:
+        # rows were counted during the write; only a source that a conflict left out is counted by itself
+        rows_of = [
+            int(seen.get.get("rows", 0)) if k in used else loaded[k].df.count() for k, seen in enumerate(reads)
+        ]
+        per_source = [(s.file, s.table, n) for s, n in zip(sources, rows_of)]
+        left_out = sum(n for k, n in enumerate(rows_of) if k not in used)
+        rows_in = [sum(int(o.get.get("rows", 0)) for o in seen) for seen in (stacked, single)]
+        if left_out:
+            excluded["table_left_out"] = left_out
+        if stacked and rows_in[0] > rows_in[1]:
+            excluded["duplicate"] = rows_in[0] - rows_in[1]
+        if task.mode == "aggregate":
+            excluded["aggregated"] = rows_in[1] - res.counts["output_rows"]
         # K8: rows per source next to the merged output
         spark.createDataFrame(per_source, "source_file string, source_table string, rows long").write.mode(
             "overwrite"
         ).parquet(f"{res.path}_sources")
-    warnings = [res.warning] if res.warning else []
-    out = res.counts["output_rows"] if res.counts else 0
-    # dedupe and aggregation remove rows by design: they are the excluded rows
-    rec = reconcile_rows(input_rows, out, input_rows - out)
-    report = RunReport("merge", started, datetime.now(), [res.path] if res.written else [], warnings, errors, {}, rec)
-    if task.report_path:
-        append_report(spark, report, task.report_path)
-    return report
+        rec = reconcile_rows(sum(rows_of), res.counts["output_rows"], sum(excluded.values()))
+    else:
+        n = sum(item.df.count() for item in loaded)
+        excluded["skipped_existing"] = n
+        rec = reconcile_rows(n, 0, n)
+    warnings = [w for w in (res.warning, rec.warning()) if w]
+    return RunReport(
+        "merge", started, datetime.now(), [res.path] if res.written else [], warnings, errors, {}, rec,
+        {f"excluded_{reason}": n for reason, n in excluded.items()},
+    )
 
 
 @dataclass
@@ -259,33 +408,50 @@ class JoinTask:
 
 
 def run_join(spark: SparkSession, task: JoinTask) -> RunReport:
-    """J1-J17 as one run over two or more inputs (left fold or side by side)."""
+    """J1-J17 as one run over two or more inputs (left fold or side by side).
+
+    The report's input is the main table's rows, its output the rows written;
+    a join may make or lose rows by design, which the diagnostics of each step
+    (``details``) explain.
+    """
     started, errors = datetime.now(), []
     loaded = load_sources(spark, task.sources, errors)
-    frames = [clean(rename_fields(item.df, task.field_mapping), task.cleaning) for item in loaded]
-    if len(frames) < 2:
+    if len(loaded) < 2:
         errors.append("A join needs at least two readable inputs")
         return RunReport("join", started, datetime.now(), [], [], errors)
+    report = _isolated(lambda items: _join(spark, task, items, started, errors), loaded, errors, least=2)
+    if task.report_path:
+        append_report(spark, report, task.report_path)
+    return report
+
+
+def _join(spark: SparkSession, task: JoinTask, loaded: list[Loaded], started, errors: list[str]) -> RunReport:
+    frames = [clean(rename_fields(item.df, task.field_mapping), task.cleaning, hidden=[ORDINAL]) for item in loaded]
     orders = [item.order for item in loaded]
-    diag = None
+    diag, steps = None, []
     if task.side_by_side:
         labels = [item.spec.name for item in loaded]
         result = J.side_by_side(frames, orders, labels, task.prefix, task.gap, hidden=(ORDINAL,))
     elif len(frames) == 2:
         # J13 diagnostics are observed during the write
-        result, diag = J.key_join(frames[0], frames[1], task.spec, orders[0], orders[1]).observed()
+        joined = J.key_join(frames[0], frames[1], task.spec, orders[0], orders[1])
+        steps = [joined]
+        result, diag = joined.observed()
         result = result.drop(*[c for c in result.columns if c.startswith(ORDINAL)])
     else:
-        result = J.chain_join(frames, task.spec, orders)
+        result, steps = J.chain_join_steps(frames, task.spec, orders)
         result = result.drop(*[c for c in result.columns if c.startswith(ORDINAL)])
     flagged = result.withColumn("split_label", F.lit(task.output.name)).withColumn("_excluded", F.lit(None).cast("string"))
     res = write_split(flagged, f"{task.output.directory}/{task.output.name}", task.output.format, False, existing=task.output.existing)
-    rec = reconcile_rows(res.counts["output_rows"], res.counts["output_rows"]) if res.counts else None
-    details = dict(diag.get) if res.written and diag is not None else {}
-    report = RunReport(
+    rec, details = None, {}
+    if res.written:
+        rec = reconcile_rows(frames[0].count(), res.counts["output_rows"])
+        if diag is not None:
+            details = dict(diag.get) | {"duplicates": steps[0].duplicates.first()["duplicates"]}
+        elif steps:
+            for k, step in enumerate(steps, 1):
+                details |= {f"step{k}_{name}": n for name, n in step.diagnostics.first().asDict().items()}
+    return RunReport(
         "join", started, datetime.now(), [res.path] if res.written else [], [res.warning] if res.warning else [],
         errors, dict(task.field_mapping), rec, details,
     )
-    if task.report_path:
-        append_report(spark, report, task.report_path)
-    return report

@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.naming import number_collisions, render_template
+from tessera.functions.values import casefold
 from tessera.plans.reconcile import EXCLUDED, observe_flagged
 
 # Largest table a spreadsheet output can hold.
 MAX_OUTPUT_ROWS = 1_048_576
 MAX_OUTPUT_COLUMNS = 16_384
+#: Column (and folder) of an output's name.
+OUTPUT = "output_name"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -122,6 +125,75 @@ def write_split(
     return WriteResult(path, True, dict(obs.get))
 
 
+def _written_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the outputs that ``path`` holds (a listing of folders)."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    unquote = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    folders = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return [unquote(name.partition("=")[2]) for name in folders if name.startswith(f"{OUTPUT}=")]
+
+
+def write_named(
+    flagged: DataFrame,
+    names: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    label: str = "split_label",
+    existing: str = "rename",
+    max_rows_per_file: int | None = None,
+) -> tuple[WriteResult, DataFrame]:
+    """K1, K5, K8: every group under its own output name, the label kept as a column.
+
+    ``names`` is the manifest with ``output_name``.  Group by group: an output
+    that exists gets a new name (``rename``), is replaced (``overwrite``) or is
+    left alone, its rows excluded as ``skipped_existing`` (``skip``); others are
+    written beside it.  Returns the manifest as written.
+    """
+    if existing not in ("rename", "overwrite", "skip"):
+        raise ValueError(f"Unknown existing-output policy: {existing}")
+    if fmt not in ("csv", "parquet"):
+        raise ValueError(f"Unknown output format: {fmt}")
+    spark = flagged.sparkSession
+    there = [] if existing == "overwrite" else _written_names(spark, path)
+    if there:
+        old = spark.createDataFrame([(n, -1 - i) for i, n in enumerate(there)], f"{OUTPUT} string, part_no long")
+        if existing == "rename":  # what exists comes first, so new groups take the next free names
+            both = names.unionByName(old, allowMissingColumns=True)
+            names = number_collisions(both, OUTPUT, "part_no").filter(F.col("part_no") > 0)
+        else:
+            folded = old.select(casefold(F.col(OUTPUT)).alias("_same"), F.lit(True).alias("_skipped")).distinct()
+            marked = names.withColumn("_same", casefold(F.col(OUTPUT))).join(folded, "_same", "left")
+            names = marked.withColumn("_skipped", F.coalesce("_skipped", F.lit(False))).drop("_same")
+    if "_skipped" not in names.columns:
+        names = names.withColumn("_skipped", F.lit(False))
+    warning = f"Outputs that exist were skipped in {path}" if existing == "skip" and there else None
+    if there and names.filter("not _skipped").isEmpty():
+        n = flagged.count()
+        return WriteResult(path, False, {"input_rows": n, "output_rows": 0, "excluded_rows": n}, warning), names
+    # groups with the same label text share one output
+    target = names.groupBy(label).agg(F.min_by(F.struct(OUTPUT, "_skipped"), "part_no").alias("_to"))
+    rows = flagged.join(target.withColumnRenamed(label, "_label"), F.col(label) == F.col("_label"), "left").drop("_label")
+    reason = F.when(F.col(EXCLUDED).isNull() & F.col("_to._skipped"), F.lit("skipped_existing")).otherwise(F.col(EXCLUDED))
+    rows = rows.withColumn(EXCLUDED, reason).withColumn(OUTPUT, F.col(f"_to.{OUTPUT}")).drop("_to")
+    observed, obs = observe_flagged(rows)
+    kept = observed.filter(F.col(EXCLUDED).isNull()).drop(EXCLUDED)
+    if fmt == "csv":
+        kept = json_nested(kept)
+    writer = kept.hint("rebalance", OUTPUT).write.partitionBy(OUTPUT)
+    if max_rows_per_file:
+        writer = writer.option("maxRecordsPerFile", int(max_rows_per_file))
+    if existing == "overwrite":
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = writer.mode("append")
+    if fmt == "csv":
+        writer = writer.option("header", "true")
+    writer.format(fmt).save(path)
+    return WriteResult(path, True, dict(obs.get), warning), names
+
+
 def output_names(
     manifest: DataFrame,
     template: str = "{original_name}_{split_value}",

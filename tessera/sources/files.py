@@ -1,28 +1,56 @@
 """File sources: collection, inventory, delimited scans, grids of delimited
 files, table selection (S1-S3, S10, S12).
 
-Listing uses Spark's ``binaryFile`` source with only ``path, length,
-modificationTime`` selected, so file contents are never read for an
-inventory.  Spark's file index itself skips names starting with ``_`` or
-``.``; the table semantics being reproduced keep ``_x.csv`` — such files must
-be renamed or listed explicitly.
+Listing goes through the Hadoop file system (names and sizes only), because
+Spark's file index skips names starting with ``_`` or ``.``, which the table
+semantics being reproduced keep.  An inventory reads the first bytes of each
+text file, to tell damaged ones.
 """
 
 from __future__ import annotations
 
+import codecs
+import csv
+import io
+import re
 from collections.abc import Sequence
 from pathlib import PurePath
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.sources.grid import CELL
+from tessera.functions.values import casefold
+from tessera.sources.grid import GRID_SCHEMA
 
 # Accepted file extensions.
 SPREADSHEET_EXTENSIONS = (".xlsx", ".xlsm", ".xls", ".xlsb")
 TEXT_EXTENSIONS = (".csv", ".tsv")
 
 
+def _listed(spark: SparkSession, paths: Sequence[str], recursive: bool) -> list[tuple[str, int, int]]:
+    """(path, length, modified in ms) of all files, names with a leading ``_`` or ``.`` too (Spark's own listing hides them)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        given = jvm.org.apache.hadoop.fs.Path(path)
+        store = given.getFileSystem(conf)
+        found = store.globStatus(given)
+        if not found:
+            raise FileNotFoundError(path)
+        waiting = [(status, True) for status in found]
+        while waiting:
+            status, inside = waiting.pop()
+            if status.isFile():
+                out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+            elif inside:
+                waiting += [(s, recursive) for s in store.listStatus(status.getPath())]
+    return out
+
+
 def collect_input_files(
     spark: SparkSession,
     paths: Sequence[str],
@@ -36,12 +64,9 @@ def collect_input_files(
     """(path, name, extension, length, modified) of the accepted files,
     deduped by case-folded path and sorted by it."""
     extensions = list(SPREADSHEET_EXTENSIONS) + (list(TEXT_EXTENSIONS) if include_text_files else [])
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(bool(recursive)).lower())
-        .load(list(paths))
-        .select("path", "length", F.col("modificationTime").alias("modified"))
-    )
+    listing = spark.createDataFrame(
+        _listed(spark, paths, recursive), "path string, length long, modified_ms long"
+    ).select("path", "length", F.timestamp_millis("modified_ms").alias("modified"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     ext = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
     files = listing.withColumn("name", name).withColumn("extension", ext).filter(F.col("extension").isin(extensions))
@@ -49,23 +74,47 @@ def collect_input_files(
         files = files.filter(~F.col("name").startswith("~$"))
     if ignore_hidden:
         files = files.filter(~F.col("name").startswith("."))
-    folded = F.lower(F.col("name"))
+    folded = casefold(F.col("name"))
     if name_contains:
         files = files.filter(folded.contains(name_contains.casefold()))
     if name_excludes:
         files = files.filter(~folded.contains(name_excludes.casefold()))
-    files = files.withColumn("_key", F.lower("path"))
+    files = files.withColumn("_key", casefold(F.col("path")))
     files = files.groupBy("_key").agg(F.max_by(F.struct("path", "name", "extension", "length", "modified"), "path").alias("f"))
     return files.select("_key", "f.*").orderBy("_key").drop("_key")
 
 
+def _probe(batches):
+    """What is wrong with the beginning of each text file (null: nothing)."""
+    for batch in batches:
+        damage = []
+        for path, extension in zip(batch.column("path").to_pylist(), batch.column("extension").to_pylist(), strict=True):
+            problem = None
+            if extension in TEXT_EXTENSIONS:
+                try:
+                    uri = quote(re.sub("^(file):/+", "\\1:///", path), safe="/:")
+                    store, place = fs.FileSystem.from_uri(uri)
+                    with store.open_input_stream(place, compression=None) as stream:
+                        head = stream.read(1 << 16)
+                    codecs.getincrementaldecoder("utf-8")().decode(head)
+                    problem = "damaged: holds null bytes" if b"\0" in head else None
+                except (OSError, ValueError) as error:
+                    problem = f"damaged: {error}"
+            damage.append(problem)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(damage, pa.string())], names=[*batch.schema.names, "damage"])
+
+
 def inventory(spark: SparkSession, files: DataFrame) -> DataFrame:
     """One record per file with its tables and a status.
 
-    Delimited files hold one visible table named after the file stem.
-    Spreadsheet containers have no codec here: they get status ``error`` and a
-    warning instead of failing the scan.
+    Delimited files hold one visible table named after the file stem; one that
+    cannot be opened, or whose first bytes are no UTF-8 text, gets status
+    ``error`` and a warning instead of failing the scan.  So do spreadsheet
+    containers, which have no codec here.
     """
+    kinds = files.schema
+    probed = T.StructType([*kinds.fields, T.StructField("damage", T.StringType())])
+    files = files.mapInArrow(_probe, probed)
     stem = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1)
     text = F.col("extension").isin(*TEXT_EXTENSIONS)
     table = F.struct(stem.alias("name"), F.lit("visible").alias("state"))
@@ -75,9 +124,13 @@ def inventory(spark: SparkSession, files: DataFrame) -> DataFrame:
         "extension",
         "length",
         "modified",
-        F.when(text, F.array(table)).otherwise(F.array().cast("array<struct<name:string,state:string>>")).alias("tables"),
-        F.when(text, F.lit("ready")).otherwise(F.lit("error")).alias("status"),
-        F.when(text, F.lit(None).cast("string")).otherwise(F.lit("no spreadsheet codec: land the cells in the grid schema")).alias("warning"),
+        F.when(text & F.col("damage").isNull(), F.array(table))
+        .otherwise(F.array().cast("array<struct<name:string,state:string>>"))
+        .alias("tables"),
+        F.when(text & F.col("damage").isNull(), F.lit("ready")).otherwise(F.lit("error")).alias("status"),
+        F.when(text, F.col("damage"))
+        .otherwise(F.lit("no spreadsheet codec: land the cells in the grid schema"))
+        .alias("warning"),
     )
 
 
@@ -109,35 +162,73 @@ def read_delimited(
     return df
 
 
-def delimited_grid(spark: SparkSession, path: str, sep: str | None = None, sheet: str | None = None) -> DataFrame:
+def _records(sep: str, multi_line: bool):
+    """Grid rows of text: (source_file, row_no, cells) of whole files or of numbered lines."""
+    cell = pa.struct([("kind", pa.string()), ("text", pa.string())])
+
+    def cells(record):
+        return [None if field == "" else {"kind": "string", "text": field} for field in record]
+
+    def batch_of(files, numbers, rows):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(files, pa.string()), pa.array(numbers, pa.int64()), pa.array(rows, pa.list_(cell))],
+            names=["source_file", "row_no", "cells"],
+        )
+
+    def whole(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig", newline="")
+                rows = list(csv.reader(text, delimiter=sep))
+                for k in range(0, len(rows), 10_000):
+                    part = rows[k : k + 10_000]
+                    yield batch_of([path] * len(part), range(k + 1, k + 1 + len(part)), [cells(r) for r in part])
+
+    def lines(batches):
+        for batch in batches:
+            rows = []
+            for number, line in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                line = line.removeprefix("\ufeff") if number == 1 else line
+                rows.append(cells(next(csv.reader([line], delimiter=sep), [])))
+            yield batch_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), rows)
+
+    return whole if multi_line else lines
+
+
+def delimited_grid(
+    spark: SparkSession, path: str, sep: str | None = None, sheet: str | None = None, multi_line: bool = False
+) -> DataFrame:
     """A delimited file (or folder of them) as grid rows, so header rows, data
     start, ranges and bottom skips apply to delimited files too.
 
-    Files are read whole by one task each (``multiLine``), so the generated
-    id is consecutive within a file; the row number is that id minus the
-    file's first id (a one-row-per-file aggregate joined back).
+    Every record keeps all of its cells, however wide the others are, and blank
+    lines are rows without cells.  Files are split by lines: a line's number is
+    its place within its split plus the lines of the splits before (one count
+    per split).  Records with line feeds inside quotes need ``multi_line``,
+    which reads each file in one task.
     """
-    raw = (
-        spark.read.option("sep", _separator(path, sep))
-        .option("header", "false")
-        .option("multiLine", "true")
-        .option("inferSchema", "false")
-        .csv(path)
-    )
-    cols = raw.columns
-    rows = raw.select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.monotonically_increasing_id().alias("_id"),
-        F.array(*[F.when(F.col(c).isNull(), F.lit(None).cast(CELL)).otherwise(F.struct(F.lit("string").alias("kind"), F.col(c).alias("text"))) for c in cols]).alias("cells"),
-    )
-    firsts = rows.groupBy("source_file").agg(F.min("_id").alias("_first"))
+    schema = T.StructType([f for f in GRID_SCHEMA.fields if f.name != "source_sheet"])
+    sep = _separator(path, sep)
+    if multi_line:
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+        rows = files.mapInArrow(_records(sep, True), schema)
+    else:
+        lines = spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("source_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_id"),
+            "value",
+        )
+        splits = lines.groupBy("source_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+        before = Window.partitionBy("source_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+        splits = splits.select(
+            "source_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        )
+        number = (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("row_no")
+        numbered = lines.join(splits, ["source_file", "_start"]).select("source_file", number, "value")
+        rows = numbered.mapInArrow(_records(sep, False), schema)
     stem = F.regexp_extract("source_file", r"([^/]*?)(\.[^./]*)?$", 1)
-    return rows.join(firsts, "source_file").select(
-        "source_file",
-        (F.lit(sheet) if sheet else stem).alias("source_sheet"),
-        (F.col("_id") - F.col("_first") + 1).alias("row_no"),
-        "cells",
-    )
+    return rows.select("source_file", (F.lit(sheet) if sheet else stem).alias("source_sheet"), "row_no", "cells")
 
 
 def select_tables(
@@ -149,7 +240,7 @@ def select_tables(
     only, named (case-folded; an explicit list wins), or the first per file."""
     if names:
         wanted = [n.casefold() for n in names]
-        return tables.filter(F.lower("table").isin(wanted))
+        return tables.filter(casefold(F.col("table")).isin(wanted))
     if mode == "all":
         return tables
     if mode == "visible":

@@ -16,6 +16,7 @@ orders groups by label.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,14 +63,18 @@ def split_stream(
     flagged = _flag(stream, list(fields), empty_label, blank_policy, label_style)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # rows and counts come from one evaluation
         kept = batch.filter(F.col(EXCLUDED).isNull()).drop(EXCLUDED)
         kept.hint("rebalance", LABEL).write.mode("overwrite").partitionBy(LABEL).parquet(
             f"{output_dir}/data/batch_id={batch_id}"
         )
         counts = batch.groupBy(LABEL, EXCLUDED).agg(F.count(F.lit(1)).alias("rows"))
         counts.write.mode("overwrite").parquet(f"{output_dir}/manifest_log/batch_id={batch_id}")
+        batch.unpersist()
 
-    location = checkpoint or f"{checkpoint_dir(spark)}/split_stream/{abs(hash((source_dir, output_dir)))}"
+    # the same folders always get the same state, in any process
+    place = hashlib.sha256(f"{source_dir}\n{output_dir}".encode()).hexdigest()[:32]
+    location = checkpoint or f"{checkpoint_dir(spark)}/split_stream/{place}"
     writer = flagged.writeStream.foreachBatch(write_batch).option("checkpointLocation", location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -182,3 +182,44 @@ def test_csv_with_title_row_through_the_grid(spark):
     table = G.read_grid_table(grid, files[0], "report")
     assert table.columns == ["ID", "Name", "Amount"]
     assert sorted(tuple(r) for r in table.collect()) == [("1", "North", "10"), ("2", "South", "20")]
+
+
+def test_ragged_and_blank_lines_survive(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('Report\n\nid,name,amount\n1,"x, y",5\n2,z,6,more\n', encoding="utf-8")
+    rows = S.delimited_grid(spark, str(tmp_path / "r.csv")).orderBy("row_no").collect()
+    cells = [[c and c["text"] for c in r["cells"]] for r in rows]
+    assert cells == [["Report"], [], ["id", "name", "amount"], ["1", "x, y", "5"], ["2", "z", "6", "more"]]
+    assert [r["row_no"] for r in rows] == [1, 2, 3, 4, 5]
+
+
+def test_line_numbers_across_splits_and_records_over_lines(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("".join(f"{i},{'x' * 40}\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        grid = S.delimited_grid(spark, str(tmp_path / "big.csv"))
+        assert grid.rdd.getNumPartitions() > 1
+        off = grid.filter("cells[0].text <> string(row_no - 1)")
+        assert off.count() == 0 and grid.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "q.csv").write_text('a,"two\nlines"\nb,c\n')
+    rows = S.delimited_grid(spark, str(tmp_path / "q.csv"), multi_line=True).orderBy("row_no").collect()
+    assert [[c["text"] for c in r["cells"]] for r in rows] == [["a", "two\nlines"], ["b", "c"]]
+
+
+def test_hidden_looking_names_are_listed_and_damage_is_told(spark, tmp_path):
+    (tmp_path / "_x.csv").write_text("a,b\n")
+    (tmp_path / "bad.csv").write_bytes(b"a,\xff\xfe\x00b\n")
+    (tmp_path / "ẞ.CSV").write_text("a\n")
+    files = S.collect_input_files(spark, [str(tmp_path)])
+    assert {r["name"] for r in files.collect()} == {"_x.csv", "bad.csv", "ẞ.CSV"}
+    assert [r["name"] for r in S.collect_input_files(spark, [str(tmp_path)], name_contains="SS").collect()] == ["ẞ.CSV"]
+    status = {r["name"]: (r["status"], len(r["tables"])) for r in S.inventory(spark, files).collect()}
+    assert status == {"_x.csv": ("ready", 1), "bad.csv": ("error", 0), "ẞ.CSV": ("ready", 1)}
+
+
+def test_headers_that_look_numbered_stay_apart(spark):
+    grid = _grid(spark, [["A", "A", "A_2", None, "A"], [1, 2, 3, 4, 5]])
+    got = [r["name"] for r in G.unique_headers(G.header_parts(grid, 1)).orderBy("pos").collect()]
+    assert got == ["A", "A_2", "A_2_2", "Column_4", "A_3"]

@@ -1,3 +1,4 @@
+import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -70,7 +71,8 @@ def test_join_task_and_side_by_side(spark, frame):
     rep = T.run_join(spark, T.JoinTask([T.SourceSpec(a), T.SourceSpec(b)], T.OutputSpec(out, name="j"), JoinSpec(["ID"], ["ID"])))
     df = spark.read.parquet(rep.outputs[0])
     assert df.count() == 2 and not [c for c in df.columns if "ordinal" in c]
-    assert rep.details == {"matched": 1, "main_only": 1, "related_only": 0}
+    assert rep.details == {"matched": 1, "main_only": 1, "related_only": 0, "duplicates": 0}
+    assert (rep.reconciliation.input_rows, rep.reconciliation.output_rows) == (2, 2)
     rep2 = T.run_join(spark, T.JoinTask([T.SourceSpec(a), T.SourceSpec(b)], T.OutputSpec(out, name="s"), side_by_side=True, gap=1))
     s = spark.read.parquet(rep2.outputs[0])
     assert [c for c in s.columns if c != "split_label"] == ["ID", "Name", "__gap_1_1", "ID_2", "Amount"]
@@ -86,3 +88,123 @@ def test_skipped_existing_output_is_reconciled(spark):
     r = again.reconciliation
     assert not again.outputs and r.output_rows == 0 and r.excluded_rows == r.input_rows > 0 and r.balanced
     assert any("skipped_existing" in w for w in again.warnings)
+
+
+def _csv(folder, name, text):
+    with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
+        f.write(text)
+    return f"{folder}/{name}"
+
+
+def test_delimited_sources_keep_line_order_header_and_every_cell(spark):
+    out = _out()
+    path = _csv(out, "report.csv", "Report\n\nid,name,amount\n2,x,5\n1,y,6,late\n,,\n2,x,5\ntotal,,11\n")
+    from tessera.sources.grid import TableStructure
+
+    spec = T.SourceSpec(path, "csv", structure=TableStructure(header_mode="auto", skip_bottom_rows=1))
+    task = T.SplitTask(
+        [spec], T.OutputSpec(out), fields=["id"], cleaning=T.CleaningOptions(drop_duplicate_rows=True, drop_empty_rows=True),
+        add_source_file=True, add_source_sheet=True,
+    )
+    rep = T.run_split(spark, task)
+    assert not rep.errors and rep.reconciliation.balanced
+    got = spark.read.parquet(rep.outputs[0])
+    rows = {(r["id"], r["name"], r["amount"], r["Source_File"], r["Source_Sheet"], r["output_name"]) for r in got.collect()}
+    assert rows == {(2, "x", 5, "report.csv", "report", "report_2"), (1, "y", 6, "report.csv", "report", "report_1")}
+    manifest = [r["split_label"] for r in spark.read.parquet(f"{rep.outputs[0]}_manifest").orderBy("part_no").collect()]
+    assert manifest == ["2", "1"]  # by line
+
+
+def test_cleaning_looks_at_data_and_not_at_the_row_number(spark, frame):
+    out = _out()
+    src = f"{out}/d.parquet"
+    frame([("a", 1), ("a", 1), (None, None), ("b", 2), (" ", None)], "k string, v long").write.parquet(src)
+    options = T.CleaningOptions(drop_empty_rows=True, drop_duplicate_rows=True)
+    rep = T.run_split(spark, T.SplitTask([T.SourceSpec(src)], T.OutputSpec(out), fields=["k"], cleaning=options))
+    r = rep.reconciliation
+    assert (r.input_rows, r.output_rows, r.excluded_rows) == (5, 2, 3)
+    assert spark.read.parquet(rep.outputs[0]).count() == 2
+
+
+def test_sheet_mode_makes_each_table_an_output(spark, frame):
+    out = _out()
+    for name in ("north", "south"):
+        frame([(1, name)], "id long, region string").write.parquet(f"{out}/{name}.parquet")
+    specs = [T.SourceSpec(f"{out}/{n}.parquet") for n in ("north", "south")]
+    rep = T.run_split(spark, T.SplitTask(specs, T.OutputSpec(out), mode="sheet", naming_template="{split_value}"))
+    got = spark.read.parquet(rep.outputs[0])
+    assert sorted((r["output_name"], r["region"]) for r in got.collect()) == [("north", "north"), ("south", "south")]
+
+
+def test_existing_outputs_are_handled_one_by_one(spark, frame):
+    out = _out()
+    src = f"{out}/t.parquet"
+    frame([("001", 1), ("B", 2)], "k string, v long").write.parquet(src)
+    task = lambda how: T.SplitTask(
+        [T.SourceSpec(src)], T.OutputSpec(out, existing=how), fields=["k"], naming_template="{split_value}"
+    )
+    first = T.run_split(spark, task("rename"))
+    read = lambda: sorted((r["output_name"], r["k"], r["v"]) for r in spark.read.option("recursiveFileLookup", "false").parquet(first.outputs[0]).selectExpr("string(output_name) output_name", "k", "v").collect())
+    assert [k for _, k, _ in read()] == ["001", "B"]  # labels keep their zeros
+    frame([("B", 3), ("C", 4)], "k string, v long").write.mode("overwrite").parquet(src)
+    skipped = T.run_split(spark, task("skip"))
+    assert (skipped.reconciliation.output_rows, skipped.reconciliation.excluded_rows) == (1, 1) and skipped.reconciliation.balanced
+    assert [x for x in read() if x[0] in ("B", "C")] == [("B", "B", 2), ("C", "C", 4)]
+    T.run_split(spark, task("overwrite"))
+    assert [x for x in read() if x[0] in ("B", "C")] == [("B", "B", 3), ("C", "C", 4)]
+    T.run_split(spark, task("rename"))
+    assert [x for x in read() if x[0].startswith("B")] == [("B", "B", 3), ("B_2", "B", 3)]
+
+
+def test_spreadsheet_limits_are_checked_on_request(spark, frame, monkeypatch):
+    out = _out()
+    src = f"{out}/t.parquet"
+    frame([("a", i) for i in range(5)], "k string, v long").write.parquet(src)
+    monkeypatch.setattr(T, "MAX_OUTPUT_ROWS", 4)
+    rep = T.run_split(spark, T.SplitTask([T.SourceSpec(src)], T.OutputSpec(out, spreadsheet_limits=True), fields=["k"]))
+    assert rep.status == "failed" and "limit is 4" in rep.errors[0]
+
+
+def test_merge_counts_what_leaves_by_reason(spark, frame):
+    out = _out()
+    for name, rows in (("a", [(1, 5), (1, 5)]), ("b", [(1, 5), (2, 5)])):
+        frame(rows, "k long, v long").write.parquet(f"{out}/{name}.parquet")
+    specs = [T.SourceSpec(f"{out}/{n}.parquet") for n in "ab"]
+    plain = dict(add_source_file=False, add_source_sheet=False)
+    rep = T.run_merge(spark, T.MergeTask(specs, T.OutputSpec(out, name="m"), dedupe_mode="all", **plain))
+    assert rep.details == {"excluded_duplicate": 2} and rep.reconciliation.balanced
+    agg = T.run_merge(
+        spark, T.MergeTask(specs, T.OutputSpec(out, name="g"), mode="aggregate", group_fields=["k"], value_fields=["v"], method="count", **plain)
+    )
+    assert agg.details == {"excluded_aggregated": 2} and agg.reconciliation.output_rows == 2
+    same = [T.SourceSpec(f"{out}/a.parquet", table="T"), T.SourceSpec(f"{out}/a.parquet", table="t")]
+    left = T.run_merge(spark, T.MergeTask(same, T.OutputSpec(out, name="c"), mode="catalog", conflict="skip"))
+    assert left.details == {"excluded_table_left_out": 2} and left.reconciliation.balanced
+
+
+def test_an_unreadable_file_does_not_stop_a_merge(spark, frame):
+    out = _out()
+    for name in "ab":
+        frame([(i, "x" * 50) for i in range(100)], "v long, t string").coalesce(1).write.parquet(f"{out}/{name}.parquet")
+    part = next(n for n in os.listdir(f"{out}/b.parquet") if n.startswith("part-"))
+    path = f"{out}/b.parquet/{part}"
+    data = bytearray(open(path, "rb").read())
+    data[4:400] = bytes(396)  # pages are damaged, the footer is not
+    open(path, "wb").write(data)
+    for crc in [n for n in os.listdir(f"{out}/b.parquet") if n.endswith(".crc")]:
+        os.unlink(f"{out}/b.parquet/{crc}")
+    rep = T.run_merge(spark, T.MergeTask([T.SourceSpec(f"{out}/{n}.parquet") for n in "ab"], T.OutputSpec(out, name="m")))
+    assert rep.status == "partial" and len(rep.errors) == 1 and "b.parquet" in rep.errors[0]
+    assert spark.read.parquet(rep.outputs[0]).count() == 100
+
+
+def test_chained_join_reports_every_step(spark, frame):
+    out = _out()
+    for name, rows in (("a", [(1,), (2,)]), ("b", [(1,)]), ("c", [(2,), (3,)])):
+        frame(rows, "id long").write.parquet(f"{out}/{name}.parquet")
+    specs = [T.SourceSpec(f"{out}/{n}.parquet") for n in "abc"]
+    rep = T.run_join(spark, T.JoinTask(specs, T.OutputSpec(out, name="j"), JoinSpec(["id"], ["id"])))
+    assert not rep.errors, rep.errors
+    assert {k: v for k, v in rep.details.items() if v} == {
+        "step1_matched": 1, "step1_main_only": 1, "step2_matched": 1, "step2_main_only": 1
+    }
