@@ -1396,7 +1396,7 @@ def _fields_sql() -> str:
             parts.append(
                 f"SELECT '{name}' AS source_sheet, {pos} AS position, '{col}' AS field, string_agg(v, ' | ' ORDER BY o) AS samples "
                 f"FROM (SELECT v, min(o) AS o FROM (SELECT trim(CAST({col} AS VARCHAR)) AS v, {key} AS o FROM "
-                f"(SELECT * FROM {name} ORDER BY {key} LIMIT 20)) WHERE v IS NOT NULL AND v <> '' GROUP BY v ORDER BY o LIMIT 3)"
+                f"{name}) WHERE v IS NOT NULL AND v <> '' GROUP BY v ORDER BY o LIMIT 3)"
             )
     return " UNION ALL ".join(parts)
 
