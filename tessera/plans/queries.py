@@ -1149,7 +1149,11 @@ def _perturbed_nations(spark, sf) -> DataFrame:
     )
 
 
-@query("j10_fuzzy_join")
+@query(
+    "j10_fuzzy_join",
+    "SELECT n_nationkey, n_name, c_custkey, CASE WHEN c_acctbal < 0 THEN substr(n_name, 1, 1) || substr(n_name, 3, 1) || "
+    "substr(n_name, 2, 1) || substr(n_name, 4) ELSE n_name END AS nation_ref FROM nation JOIN customer ON c_nationkey = n_nationkey",
+)
 def j10_fuzzy_join(spark, sf):
     main = table(spark, sf, "nation").select("n_nationkey", "n_name")
     spec = J.JoinSpec(["n_name"], ["nation_ref"], how="inner", fuzzy=True, fuzzy_threshold=80)
@@ -1484,6 +1488,31 @@ def s5_header_names(spark, sf):
     return names.select("source_sheet", "pos", "name")
 
 
+def _header_rows_sql() -> str:
+    parts = []
+    for name, key, cols in (
+        ("nation", "n_nationkey", ["n_nationkey", "n_name"]),
+        ("customer", "c_custkey", ["c_custkey", "c_name", "c_mktsegment"]),
+    ):
+        for pos, col in enumerate(cols):
+            parts.append(
+                f"SELECT '{name}' AS source_sheet, {pos} AS pos, string_agg(CAST({col} AS VARCHAR), '_' ORDER BY {key}) AS name "
+                f"FROM (SELECT * FROM {name} ORDER BY {key} LIMIT 3)"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query("s5_header_rows", _header_rows_sql())
+def s5_header_rows(spark, sf):
+    """S5, S6 with header cells from table rows: the first three rows of each table, joined column by column."""
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    grid = G.table_to_grid(n, "t.parquet", "nation", ["n_nationkey"], header=False).unionByName(
+        G.table_to_grid(c, "t.parquet", "customer", ["c_custkey"], header=False)
+    )
+    return G.unique_headers(G.header_parts(grid, 1, 3)).select("source_sheet", "pos", "name")
+
+
 def all_queries() -> dict[str, Query]:
     return dict(QUERIES)
 
