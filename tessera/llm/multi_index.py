@@ -8,8 +8,9 @@
    it has met hold a share of all vectors.  The share is measured on the sample:
    the one at which ``recall`` of the exact neighbours have been met.
 3. Cells are packed into blocks of about ``block`` vectors (a larger cell is cut
-   into several).  A query's blocks are reranked by the exact inner product, in
-   double precision, and the ``k`` best stay; ties go to the smaller id.
+   into several), which are what tasks work on.  The entries of a query's cells
+   are reranked by the exact inner product, in double precision, and the ``k``
+   best stay; ties go to the smaller id.
 
 Queries meet blocks in groups of ``block`` by ``block`` at most, so a crowded
 cell is spread over many tasks and memory stays bounded.  Of equal vectors only
@@ -140,7 +141,7 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 20,
-    recall: float = 0.95,
+    recall: float = 0.97,
     cell_rows: int = 100,
     max_codes: int = 256,
     sample: int = 20_000,
@@ -190,9 +191,13 @@ def search(
                 cells = np.array(multi_sequence(first[i], second[i], sizes, enough), np.int64)
                 counts = n_blocks[cells]
                 inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                blocks.append(np.unique(np.repeat(first_block[cells], counts) + inner))
+                at, own = np.repeat(first_block[cells], counts) + inner, np.repeat(cells, counts)
+                order = np.lexsort((own, at))
+                at, own = at[order], own[order]
+                cut = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+                blocks.append([np.append(b, part) for b, part in zip(at[cut], np.split(own, cut[1:]), strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(blocks, pa.list_(pa.int64()))], names=["qid", "q", "blocks"]
+                [*batch.columns, pa.array(blocks, pa.list_(pa.list_(pa.int64())))], names=["qid", "q", "blocks"]
             )
 
     def place(batches):
@@ -201,28 +206,31 @@ def search(
             cell = batch.column(2).to_numpy()
             spread = batch.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
             at = first_block[cell] + (spread % n_blocks[cell].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(at, pa.int64())], names=["id", "v", "block"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=["id", "v", "cell", "block"])
 
     queries = (
         vectors.filter(is_query)
         .groupBy(F.col("id").alias("qid"))
         .agg(F.min(F.struct("h1", "h2", "v")).alias("s"))
         .select("qid", F.col("s.v").alias("q"))
-        .mapInArrow(walk, "qid long, q array<double>, blocks array<long>")
+        .mapInArrow(walk, "qid long, q array<double>, blocks array<array<long>>")
     )
     queries = materialise(queries, "queries")
-    visits = queries.select("qid", "q", F.explode("blocks").alias("block"))
+    # a visit is a block and the query's cells in it
+    visits = queries.select("qid", "q", F.explode("blocks").alias("visit")).select(
+        "qid", "q", F.get("visit", F.lit(0)).alias("block"), F.slice("visit", F.lit(2), F.size("visit")).alias("cells")
+    )
     # where many queries meet a block they are cut into groups
     groups = materialise(
         visits.groupBy("block").agg(F.ceil(F.count("*") / block).cast("int").alias("groups")), "blocks"
     )
     right = (
-        index.mapInArrow(place, "id long, v array<double>, block long")
+        index.mapInArrow(place, "id long, v array<double>, cell long, block long")
         .join(groups, "block")
-        .select("block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "id", "v")
+        .select("block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "id", "v", "cell")
     )
     left = visits.join(groups, "block").select(
-        "block", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int").alias("group"), "qid", "q"
+        "block", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int").alias("group"), "qid", "q", "cells"
     )
 
     def rerank(asked: pa.Table, stored: pa.Table) -> pa.Table:
@@ -230,16 +238,22 @@ def search(
             return pa.table({c: pa.array([], t) for c, t in (("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64()))})
         q, x = _matrix(asked.column("q"), dim), _matrix(stored.column("v"), dim)
         qid, ids = asked.column("qid").to_numpy(), stored.column("id").to_numpy()
+        cells, own = np.unique(stored.column("cell").to_numpy(), return_inverse=True)
+        met = asked.column("cells").to_pylist()
         rough = q @ x.T
         out_q, out_id, out_s = [], [], []
         for i in range(len(q)):
-            line = np.where(ids == qid[i], -np.inf, rough[i])
+            here = np.zeros(len(cells) + 1, dtype=bool)
+            place_of = np.searchsorted(cells, met[i])
+            here[place_of[cells[np.minimum(place_of, len(cells) - 1)] == met[i]]] = True
+            out_of_reach = (ids == qid[i]) | ~here[own]
+            line = np.where(out_of_reach, -np.inf, rough[i])
             if len(line) > k:
                 bar = np.partition(line, len(line) - k)[len(line) - k]
                 at = np.flatnonzero(line >= bar - 1e-9 * max(1.0, abs(bar)))
             else:
                 at = np.arange(len(line))
-            at = at[ids[at] != qid[i]]
+            at = at[~out_of_reach[at]]
             exact = (q[i] * x[at]).sum(axis=1)  # one order of addition for equal vectors wherever they are
             at_order = np.lexsort((ids[at], -exact))[: k + 1]
             out_q.append(np.full(len(at_order), qid[i]))
