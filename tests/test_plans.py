@@ -3,6 +3,7 @@ row-at-a-time Python, and scans must be pruned."""
 
 import pytest
 
+from tessera.operators.split import split_by_fields
 from tessera.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -20,13 +21,15 @@ def test_no_all_pairs_or_row_udfs(spark, name):
         assert bad not in plan, f"{name} plans a {bad}"
 
 
-def test_split_manifest_scan_is_pruned(spark):
-    plan = _plan(QUERIES["x1_split_by_field"](spark, SF))
-    schemas = [line for line in plan.splitlines() if "ReadSchema" in line]
+def test_split_scan_is_pruned_and_the_manifest_scans_no_more(spark):
+    lineitem = spark.read.parquet(f"{SF}/lineitem.parquet")
+    split = split_by_fields(lineitem, ["l_returnflag"], ["l_orderkey", "l_linenumber"])
+    schemas = [line for line in _plan(split.rows.select("split_label")).splitlines() if "ReadSchema" in line]
     assert schemas
     for line in schemas:
         read = line.split("ReadSchema: ", 1)[1]
         assert "l_extendedprice" not in read and "l_shipdate" not in read
+    assert "FileScan parquet" not in _plan(split.manifest)  # numbered from its checkpoint
 
 
 def test_filters_reach_the_scan(spark):

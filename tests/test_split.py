@@ -1,3 +1,6 @@
+import os
+from pyspark.sql import Window
+from tessera.operators.ordinals import dense_index
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +151,23 @@ def test_empty_input_gives_one_empty_part(spark):
     assert [(r["part_no"], r["row_count"]) for r in X.split_fixed_rows(empty, 10, ["ID"]).manifest.collect()] == [(1, 0)]
     assert X.split_into_parts(empty, 3, ["ID"]).manifest.count() == 1
     assert _sizes(X.split_fixed_rows(spark.range(5).withColumnRenamed("id", "ID"), 2, ["ID"])) == [2, 2, 1]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+@pytest.mark.parametrize("files", [1, 16])
+def test_dense_index_over_whole_rows(spark, tmp_path, files):
+    orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
+    if files > 1:
+        orders.repartition(files).write.parquet(str(tmp_path / "orders"))
+        orders = spark.read.parquet(str(tmp_path / "orders"))
+    indexed = dense_index(orders, ["o_orderdate", "o_orderkey"], name="i", total="n")
+    n = orders.count()
+    got = indexed.agg(F.count("*"), F.count_distinct("i"), F.min("i"), F.max("i"), F.min("n"), F.max("n")).first()
+    assert tuple(got) == (n, n, 0, n - 1, n, n)
+    misplaced = indexed.withColumn("w", F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")) - 1).filter("w <> i")
+    assert misplaced.count() == 0
+    split = X.split_into_parts(orders, 7, ["o_orderkey"])
+    split.rows.write.parquet(str(tmp_path / "parts"))
+    written = dict(spark.read.parquet(str(tmp_path / "parts")).groupBy("part_no").count().collect())
+    assert written == {r["part_no"]: r["row_count"] for r in split.manifest.collect()}
+    assert max(written.values()) - min(written.values()) <= 1
