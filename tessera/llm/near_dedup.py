@@ -100,8 +100,8 @@ def _sketch(n: int, n_hashes: int):
                 k2.append(key[1])
                 sigs.append(signature(values, odd).tobytes() if len(values) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary())],
-                names=["id", "size", "k1", "k2", "sig"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.binary())],
+                names=["id", "tag", "size", "k1", "k2", "sig"],
             )
 
     return run
@@ -119,20 +119,20 @@ def _sets(n: int, bitmap):
             some = batch.filter(pa.array(asked))
             words, offs = word_hashes(some.column(1), NOT_WHITE)
             ids = some.column(0).to_pylist()
-            node, k1, k2, sets, small = [], [], [], [], []
+            rid, k1, k2, sets, small = [], [], [], [], []
             for i in range(some.num_rows):
                 values = shingle_set(words[offs[i] : offs[i + 1]], n)
                 if len(values):
                     key = _set_key(values)
-                    node.append(key[0] if ids[i] is None else ids[i])
+                    rid.append(key[0] if ids[i] is None else ids[i])
                     k1.append(key[0])
                     k2.append(key[1])
                     sets.append(values.view(np.int64))
                     small.append(values.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (node, k1, k2)]
+                [pa.array(x, pa.int64()) for x in (rid, k1, k2)]
                 + [pa.array(sets, pa.list_(pa.int64())), pa.array(small, pa.binary())],
-                names=["node", "k1", "k2", "set", "small"],
+                names=["rid", "k1", "k2", "set", "small"],
             )
 
     return run
@@ -275,7 +275,7 @@ def _foreign_pairs(live: DataFrame, labels: DataFrame, profile: DataFrame, acros
     )
 
 
-def near_components(
+def _grouped(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -284,29 +284,37 @@ def near_components(
     miss: float = 1e-6,
     block: int = 512,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``."""
+    """One row per row: ``id``, ``tag`` (hash of the text), ``size``, ``comp`` (null: no words) and ``component_id``."""
     exact = Fraction(str(threshold))
     t = float(exact)
     n_bands = plan_bands(t, miss)
     n_hashes = n_bands * ROWS
     steps = least_matches(n_hashes, t, miss)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    tagged = texts.withColumn("tag", F.xxhash64("text"))
     sketch = materialise(
-        texts.mapInArrow(_sketch(n, n_hashes), "id long, size long, k1 long, k2 long, sig binary"), "sketch"
+        tagged.mapInArrow(_sketch(n, n_hashes), "id long, tag long, size long, k1 long, k2 long, sig binary"), "sketch"
     )
     classes = (
         sketch.filter("size > 0")
         .groupBy("k1", "k2")
         .agg(F.min("id").alias("first_id"), F.max("size").alias("size"))
-        .withColumn("node", F.coalesce("first_id", "k1"))
+        .withColumn("rid", F.coalesce("first_id", "k1"))
     )
     classes = materialise(classes, "classes")
+    # a class is named by its smallest id, or by its key where several classes share that id
+    shared_ids = classes.groupBy("rid").agg(F.count("*").alias("n")).filter("n > 1")
+    shared_ids = shared_ids.select(own_exchange(F.col("rid")).alias("rid"), F.lit(True).alias("again"))
+    classes = classes.join(shared_ids, "rid", "left").withColumn(
+        "node", F.when(F.col("again"), F.col("k1")).otherwise(F.col("rid"))
+    )
+    classes = materialise(classes.drop("again"), "named-classes")
     # one signature per class: that of a row with the class's smallest id
-    one = ["k1", "k2", "node"]
+    one = ["k1", "k2", "rid"]
     sig = (
         sketch.filter("size > 0")
-        .select("k1", "k2", F.coalesce("id", "k1").alias("node"), "sig")
-        .join(classes.select(*one), one)
+        .select("k1", "k2", F.coalesce("id", "k1").alias("rid"), "sig")
+        .join(classes.select(*one, "node"), one)
         .dropDuplicates(one)
         .select("node", "sig")
     )
@@ -316,13 +324,13 @@ def near_components(
     shared = shared.select(own_exchange(F.col("band")).alias("band"), "pivot")
     live = materialise(bands.join(shared, "band"), "buckets")
     # full sets of the nodes that share any bucket
-    wanted = live.select("node").distinct().join(classes, "node").select("node", "k1", "k2", "first_id", "size")
+    wanted = live.select("node").distinct().join(classes, "node").select("node", "rid", "k1", "k2", "first_id")
     wanted = materialise(wanted, "wanted")
     asked = wanted.select("first_id").filter("first_id is not null")
     bitmap = docs.sparkSession.sparkContext.broadcast(build_bitmap(asked, asked.count(), bits_each=16))
     sets = (
-        texts.mapInArrow(_sets(n, bitmap), "node long, k1 long, k2 long, set array<long>, small binary")
-        .join(wanted.select(*one), one)
+        texts.mapInArrow(_sets(n, bitmap), "rid long, k1 long, k2 long, set array<long>, small binary")
+        .join(wanted.select(*one, "node"), one)
         .dropDuplicates(one)
         .select("node", "set", "small")
     )
@@ -358,11 +366,16 @@ def near_components(
     # a component's id is the smallest id of its classes (classes without any id have none to offer)
     named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     ids = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    keyed = named.join(ids, "comp").select(own_exchange(F.col("k1")).alias("k1"), "k2", "component_id")
+    keyed = named.join(ids, "comp").select(own_exchange(F.col("k1")).alias("k1"), "k2", "comp", "component_id")
     out = sketch.join(keyed, ["k1", "k2"], "left").withColumn(
         "component_id", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id"))
     )
-    return out.select(
+    return out.select("id", "tag", "size", "comp", "component_id")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept`` (options: see ``_grouped``)."""
+    return _grouped(docs, id_col, text_col, **options).select(
         F.col("id").alias(id_col),
         F.col("size").alias("n_shingles"),
         "component_id",
@@ -371,8 +384,21 @@ def near_components(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id (one row of those that repeat it)."""
-    groups = near_components(docs, id_col, text_col, **options)
-    kept = groups.filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    """``docs`` with one row of each group: one that has the group's smallest id.
+
+    Of several texts under that id the one with the smallest hash stays, and
+    rows equal in id and text become one.  Texts without words are no group and
+    all stay.
+    """
+    rows = _grouped(docs, id_col, text_col, **options).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    one = rows.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("id", "tag")).alias("r"))
+    wordless = rows.filter("comp is null").select("id", "tag").distinct()
+    kept = one.select("r.id", "r.tag", F.lit(True).alias("single")).union(wordless.select("id", "tag", F.lit(False)))
+    kept = kept.select(F.col("id").alias("_kept_id"), F.col("tag").alias("_kept_tag"), F.col("single").alias("_single"))
+    tagged = docs.withColumn("_tag", F.xxhash64(F.col(f"`{text_col}`")))
+    found = tagged.join(
+        kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_tag") == F.col("_kept_tag"))
+    )
+    # wordless rows stay whatever this number is; it only tells them apart
+    found = found.withColumn("_row", F.when(~F.col("_single"), F.monotonically_increasing_id()))
+    return found.dropDuplicates(["_kept_id", "_kept_tag", "_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -85,8 +85,17 @@ def test_repeated_and_null_ids(docs):
 
 def test_one_of_each_group_stays_and_an_empty_table(docs):
     text = " ".join(f"w{i}" for i in range(60))
-    kept = N.drop_near_duplicates(docs((4, text), (2, text + " x"), (9, "alone"), (2, text + " x"), (6, None)))
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 6, 9]
+    rows = [(4, text), (2, text + " x"), (9, "alone"), (2, text + " x"), (2, text + " y"), (6, None), (None, ""), (None, "")]
+    rows += [(None, "no id but words"), (None, "and other words"), (None, "and other words"), (9, "another text of the same id")]
+    kept = N.drop_near_duplicates(docs(*rows))
+    assert kept.columns == docs().columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    two = [t for i, t in got if i == 2]
+    assert len(two) == 1 and two[0] in (text + " x", text + " y")
+    assert [g for g in got if g[0] != 2] == sorted(
+        [(9, "alone"), (9, "another text of the same id"), (6, None), (None, ""), (None, ""), (None, "no id but words"), (None, "and other words")],
+        key=str,
+    )
     assert N.near_components(docs()).count() == 0
 
 
