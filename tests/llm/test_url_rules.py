@@ -42,6 +42,13 @@ def test_parts_and_fixed_rules(spark):
     assert by_id[None].rule == "net/"
 
 
+def test_the_first_scheme_mark_decides_where_the_path_is_empty(spark):
+    urls = ["http://example.com?u=http://other.com/de/x", "https://a.org#x://y/fr/z"]
+    got = judge_urls(spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], PAGES)).collect()
+    for r in got:
+        assert (r.host, r.path, r.rule) == expected(urls[r.page_id]) == (("example.com", "a.org")[r.page_id], "", None)
+
+
 def test_mined_rules_have_their_support_and_confidence(spark):
     rnd = random.Random(4)
     rows = []
