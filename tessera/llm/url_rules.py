@@ -3,12 +3,13 @@
 1. Fixed rules (``host`` plus a path beginning) decide the URLs they fit; the
    longest wins.
 2. Every URL becomes a small set of tokens: the ends of its host, the labels in
-   front, its first path segments, its extension and its query keys.  Numbers
-   count as one token.
+   front, its path segments, its extension and its query keys, all of them.
+   Numbers count as one token.
 3. FP-growth mines combinations that go with a label from the labelled URLs (by
    default those that a fixed rule decides).  Rules must reach ``support`` and
    ``confidence``; a rule is dropped if one with fewer tokens says the same at no
-   less confidence.
+   less confidence.  Tokens that occur in just the same labelled URLs are mined
+   as one and told apart again in the rules, which gives the same rules.
 4. The rest of the URLs is matched through an inverted index from token to
    rules: a rule fits where all its tokens are met.  The most confident, then
    best supported, then longest rule decides (at a tie, block).  A URL that no
@@ -16,8 +17,8 @@
 
 URLs with equal token sets are judged once, so a host with a third of all pages
 is one row in the index join; the verdict joins back to the pages on a hash
-with an exchange of its own, which adaptive execution can split.  The number of
-tokens of a URL is bounded by the positions that are looked at.
+with an exchange of its own, which adaptive execution can split.  A URL has as
+many tokens as its length gives; those below ``support`` leave before mining.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 fits no rule and is allowed.  Without labelled URLs of any label nothing is
@@ -42,7 +43,6 @@ RULES = (
     ("example.com/de/", "block"),
     ("org/fr/", "allow"),
 )
-MAX_LABELS, MAX_SEGMENTS, MAX_KEYS = 4, 3, 4
 
 
 def host_of(url: Column) -> Column:
@@ -70,11 +70,11 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     labels = F.reverse(F.split(F.regexp_replace(host, r":[0-9]*$", ""), r"\.", -1))
     top = F.get(labels, F.lit(0))
     site = F.concat_ws(".", F.get(labels, F.lit(1)), top)
-    front = F.slice(labels, 3, MAX_LABELS)
-    segments = F.slice(F.filter(F.split(path, "/", -1), lambda s: s != ""), 1, MAX_SEGMENTS)
+    front = F.slice(labels, 3, F.greatest(F.size(labels), F.lit(0)))
+    segments = F.filter(F.split(path, "/", -1), lambda s: s != "")
     extension = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
     query = F.coalesce(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), F.lit(""))
-    keys = F.slice(F.filter(F.split(query, "[&;]", -1), lambda s: s != ""), 1, MAX_KEYS)
+    keys = F.filter(F.split(query, "[&;]", -1), lambda s: s != "")
     tokens = F.concat(
         F.array(F.concat(F.lit("top:"), top), F.concat(F.lit("site:"), site)),
         F.transform(front, lambda s: F.concat(F.lit("host:"), number(s))),
@@ -85,10 +85,36 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(tokens, lambda t: t.isNotNull())))
 
 
+def _twins(labelled: DataFrame, support: float) -> DataFrame:
+    """``token, rep``: the tokens that reach ``support``, and the first of those in just the same rows."""
+    sets = labelled.groupBy("tokens").agg(F.count("*").alias("n"))
+    mark = lambda k: F.sum(F.xxhash64(F.lit(k), "tokens").cast("decimal(38,0)")).alias(f"x{k}")
+    tokens = sets.select("tokens", "n", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.sum("n").alias("n"), mark(0), mark(1)
+    )
+    # a little below the support, so that rounding never takes what FP-growth would keep
+    tokens = materialise(tokens.filter(F.col("n") >= support * labelled.count() - 1), "frequent-tokens")
+    reps = tokens.groupBy("n", "x0", "x1").agg(F.min("token").alias("rep"))
+    return materialise(tokens.join(reps, ["n", "x0", "x1"]).select("token", "rep"), "twin-tokens")
+
+
 def mine_rules(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
-    """``rule_id, tokens, verdict, confidence, support`` from rows with ``tokens`` and ``label``."""
+    """``rule_id, tokens, verdict, confidence, support`` from rows with ``tokens`` and ``label``.
+
+    Twin tokens (in just the same rows) would double the frequent sets one by
+    one, and a rule that holds two of them is always redundant.
+    """
     label = lambda x: F.concat(F.lit("="), x)  # noqa: E731  no token begins like this
-    baskets = labelled.select(F.concat("tokens", F.array(label(F.col("label")))).alias("items"))
+    twins = _twins(labelled, support)
+    # rows over the support bound the frequent tokens: tokens a row / support
+    first = F.broadcast(twins.agg(F.map_from_entries(F.collect_list(F.struct("token", "rep"))).alias("first")))
+    short = labelled.crossJoin(first).select(
+        "label",
+        F.array_distinct(
+            F.filter(F.transform("tokens", lambda t: F.element_at("first", t)), lambda t: t.isNotNull())
+        ).alias("tokens"),
+    )
+    baskets = short.select(F.concat("tokens", F.array(label(F.col("label")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = (
         model.associationRules.filter(F.startswith(F.get("consequent", F.lit(0)), F.lit("=")))
@@ -111,7 +137,22 @@ def mine_rules(labelled: DataFrame, support: float, confidence: float) -> DataFr
         .count()
         .filter("count = less_n")
     )
-    return rules.join(inside.select("rule_id").distinct(), "rule_id", "left_anti")
+    rules = rules.join(inside.select("rule_id").distinct(), "rule_id", "left_anti")
+    # every choice of one twin for each token is a rule of its own
+    twins = twins.groupBy("rep").agg(F.array_sort(F.collect_list("token")).alias("twins"))
+    places = rules.select("rule_id", F.explode("tokens").alias("rep")).join(twins, "rep").groupBy("rule_id").agg(
+        F.collect_list("twins").alias("choices")
+    )
+    none = F.array(F.array().cast("array<string>"))
+    told = F.aggregate(
+        "choices",
+        none,
+        lambda done, twin: F.flatten(F.transform(done, lambda d: F.transform(twin, lambda t: F.concat(d, F.array(t))))),
+    )
+    rules = rules.drop("tokens").join(places, "rule_id").withColumn("tokens", F.explode(told)).select(
+        F.array_sort("tokens").alias("tokens"), "verdict", "confidence", "support"
+    )
+    return rules.withColumn("rule_id", F.xxhash64(F.to_json(F.struct("tokens", "verdict"))))
 
 
 def match_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:

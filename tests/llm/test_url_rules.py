@@ -95,6 +95,32 @@ def test_index_matches_as_a_scan_does(spark):
         assert got.get(key) == (max(fits)[3] if fits else None)
 
 
+@pytest.mark.parametrize(
+    "url",
+    [
+        "https://x{i}.com/a/b/c/{w}/1",
+        "https://x{i}.com/?a=1&b=1&c=1&d=1&{w}=1",
+        "https://{w}.d.c.b.a.x{i}.com/",
+    ],
+)
+def test_tokens_far_behind_tell(spark, url):
+    """Segment 4, key 5 and host label 5 in front of the site."""
+    make = lambda a, n: [url.format(i=a + i, w="bad" if i % 2 else "good") for i in range(n)]
+    labels = [(u, "block" if i % 2 else "allow") for i, u in enumerate(make(0, 40))]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(make(500, 20))], PAGES)
+    got = judge_urls(pages, rules=(), labels=spark.createDataFrame(labels, "url string, label string")).collect()
+    assert {(r.page_id % 2, r.verdict) for r in got} == {(0, "allow"), (1, "block")}
+
+
+def test_many_keys_of_one_template_are_mined_and_told_apart(spark):
+    keys = "&".join(f"k{j}=1" for j in range(30))  # 2**30 frequent sets if mined one by one
+    labels = [(f"http://a{i}.com/?{keys}", "block") for i in range(30)] + [(f"http://b{i}.com/", "allow") for i in range(30)]
+    labels = spark.createDataFrame(labels, "url string, label string")
+    pages = spark.createDataFrame([(j, f"http://c.com/?k{j}=2", None) for j in range(30)] + [(30, "http://c.com/", None)], PAGES)
+    got = {r.page_id: r.verdict for r in judge_urls(pages, rules=(), labels=labels, support=0.05).collect()}
+    assert got == {j: "block" if j < 30 else "allow" for j in range(31)}
+
+
 def test_labels_teach_and_the_unlabelled_are_allowed(spark):
     pages = [(i, f"http://site{i % 7}.com/{'spam' if i % 2 else 'news'}/{i}", None) for i in range(80)]
     df = spark.createDataFrame(pages, PAGES)
