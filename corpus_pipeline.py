@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which no benchmark item is four fifths covered."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), n=5, coverage=0.8)
+    """Documents of which no benchmark item is four fifths covered; rows that share an id are judged one by one."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), by_row=True, n=5, coverage=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ document share; every tile therefore lies within stretches of shared seeds.
 
 Defined cases: null or empty texts share nothing; an item of fewer than ``n``
 words has no seed and matches nothing.  Rows that repeat a document id are one
-document, whose stretches are pooled; a null id is an id like any other.  Rows
+document, whose stretches are pooled, and a null id is an id like any other;
+``decontaminate(by_row=True)`` judges each text of an id alone instead.  Rows
 that repeat an item id (and null item ids) are items of their own, told apart
 by their words.  Extra columns are not looked at.  Empty tables yield no pair.
 """
@@ -188,11 +189,13 @@ def contaminated_pairs(
     n: int = 5,
     coverage: float = 0.8,
     max_bits: int = MAX_BITS,
+    pooled: bool = True,
 ) -> DataFrame:
     """One row per document and item whose tiles cover ``coverage`` of the item's words or more.
 
     Columns: the document's id, the item's id, ``item_size``, ``tiles``,
-    ``covered`` (words) and ``coverage``.
+    ``covered`` (words) and ``coverage``.  Without ``pooled`` the id must tell
+    texts apart: rows that share it are copies, whose stretches count once.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -229,11 +232,10 @@ def contaminated_pairs(
     )
     pairs = materialise(pairs, "pairs")
     wanted = pairs.select("pair_id").distinct()
-    runs = (
-        found.join(wanted, F.col("id").eqNullSafe(F.col("pair_id")), "left_semi")
-        .groupBy("id")
-        .agg(F.collect_list("words").alias("runs"))
-    )
+    runs = found.join(wanted, F.col("id").eqNullSafe(F.col("pair_id")), "left_semi")
+    if not pooled:
+        runs = runs.dropDuplicates(["id", "start"])
+    runs = runs.groupBy("id").agg(F.collect_list("words").alias("runs"))
     ready = (
         pairs.join(runs, F.col("id").eqNullSafe(F.col("pair_id")))
         .join(distinct.select("item_key", F.col("words").alias("item_words")), "item_key")
@@ -252,7 +254,21 @@ def contaminated_pairs(
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    bad = contaminated_pairs(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_bad_id")).distinct()
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False, **options
+) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item.
+
+    ``by_row``: rows are told apart by id and text, so that each text is judged
+    alone; otherwise rows that repeat an id are one document.
+    """
+    if by_row:
+        text = F.col(f"`{text_col}`")
+        key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tag"))
+        texts = docs.select(key.alias("key"), text.alias("text"))
+        bad = contaminated_pairs(texts, benchmark, "key", "text", pooled=False, **options).select("key.id", "key.tag").distinct()
+        bad = bad.select(F.col("id").alias("_bad_id"), F.col("tag").alias("_bad_tag"))
+        same = F.col(f"`{id_col}`").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text) == F.col("_bad_tag"))
+        return docs.join(bad, same, "left_anti")
+    bad = contaminated_pairs(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_bad_id")).distinct()
     return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_bad_id")), "left_anti")

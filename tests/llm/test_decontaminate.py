@@ -79,6 +79,29 @@ def test_copies_reordered_passages_and_clean_documents(docs, bench):
     assert left.columns == docs().columns
 
 
+def test_the_pipeline_stage_judges_each_text_of_an_id_alone(spark, bench, docs, tmp_path):
+    import corpus_pipeline
+
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    q = [f"q{i}" for i in range(40)]
+    dirty, junk = " ".join(q), " ".join(f"j{i}" for i in range(50))
+    rows = [
+        (None, dirty), (None, junk), (None, None), (7, junk + " x"), (7, junk + " " + dirty), (7, junk + " " + dirty),
+        (9, " ".join(q[:20])), (9, " ".join(q[20:])),  # parts of an item, none of which reaches the threshold
+    ]
+    left = corpus_pipeline.decontamination(spark, docs(*rows), str(tmp_path))
+    gone = {(None, dirty), (7, junk + " " + dirty)}
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(str(r) for r in rows if r not in gone)
+    assert left.columns == docs().columns
+
+
+def test_copies_of_a_text_do_not_add_up(spark, docs):
+    once = " ".join(f"p{i}" for i in range(10))
+    twice = spark.createDataFrame([(1, once + " " + once)], "item_id long, text string")
+    rows = [(None, once), (None, once)]  # each covers one half of the item
+    assert decontaminate(docs(*rows), twice, by_row=True).count() == 2
+
+
 def test_empty_tables_and_extra_columns(spark, docs, bench):
     assert contaminated_pairs(docs(), bench).count() == 0
     assert contaminated_pairs(docs((1, "a b c d e f")), bench.filter("item_id > 99")).count() == 0
