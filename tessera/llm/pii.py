@@ -2,10 +2,12 @@
 
 Base spans are found by fixed rules over the whole text: leftmost and
 non-overlapping for each kind, matches that fail a kind's check dropped.  The
-method then looks at what is left around digits and ``@``.  The text there is
-cut into atoms (runs of digits, runs of letters, single other characters); any
-stretch of up to ``MAX_ATOMS`` atoms may be one segment of a kind, and whole-span
-features score it: digit and group counts, checksum, separators, enclosing
+method then looks at what is left around digits, ``@`` and a spelled-out at or
+dot, whole tokens up to white space.  The text there is cut into atoms (runs of
+digits, runs of letters, single other characters); any stretch of up to
+``MAX_ATOMS`` atoms may be one segment of a kind, beyond that any digits and
+separators up to the most digits of a kind, and any well-formed address.
+Whole-span features score it: digit and group counts, checksum, separators, enclosing
 characters, words in front.  Dynamic programming over segment ends chooses
 boundaries and kinds jointly.  Base spans stay; the segments between them that
 score above the empty labelling are added.
@@ -24,6 +26,7 @@ linear in the text's length.  An empty table yields an empty table.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from dataclasses import dataclass
@@ -34,13 +37,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: Any shape up to so many atoms; longer segments must have the shape of their kind.
 MAX_ATOMS = 24
+#: 19 digits written singly, with up to four separators after each.
+MAX_NUMERIC = 19 * 5
+#: A local part of 64 and a domain of 255, with all its dots and the at-sign spelled out.
+MAX_CHARS = 64 + 255 + 127 * 6 + 6
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")  # starts only where a run of digits does
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?[aA][tT] ?[\])]")
+_DOT = r"(?:\.| ?[\[(] ?[dD][oO][tT] ?[\])] ?| [dD][oO][tT] )"
+_TRIGGER = re.compile(r"[0-9@]|[\[(] ?(?:[aA][tT]|[dD][oO][tT]) ?[\])]| [aA][tT] (?=[A-Za-z0-9-]{1,63}" + _DOT + "[A-Za-z0-9])")
+_AT = re.compile(r"@| ?[\[(] ?[aA][tT] ?[\])] ?| [aA][tT] ")
+_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:" + _DOT + r"[A-Za-z0-9-]{1,63})+")
+_SPELLED_DOT = re.compile(r"[\[( ]dot[\]) ]", re.I)
+_NUMERIC = frozenset("0123456789+() .-")
+_WHITE = re.compile(r"\s")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 _FRONT = {
     "email": re.compile(r"mail|contact|write|@", re.I),
@@ -60,6 +74,9 @@ PLAIN = (
     "look @ this, 5 of 10",
     "10 000 000 - 20 000 000",
     "2019-2020 2021-2022",
+    "look at example.com for more",
+    "we met at noon.Then all left",
+    "she is good at dot painting",
 )
 
 
@@ -106,16 +123,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def regions(text: str, reach: int = 24) -> list[tuple[int, int]]:
-    """Stretches around digits and at-signs, within lines, merged where they meet."""
+    """Stretches around digits and at-signs, within lines and up to white space, merged where they meet."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        line = text.rfind("\n", lo, m.start())
-        lo = line + 1 if line >= 0 else lo
+        hi = min(len(text), m.end() + reach)
         line = text.find("\n", m.end(), hi)
         hi = line if line >= 0 else hi
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
+        if out and m.start() < out[-1][1] and hi <= out[-1][1]:
+            continue  # every character is passed once, however many triggers a token has
+        if not text[hi - 1].isspace():
+            white = _WHITE.search(text, hi)
+            hi = white.start() if white else len(text)
+        lo = max(0, m.start() - reach)
+        line = text.rfind("\n", lo, m.start())
+        lo = line + 1 if line >= 0 else lo
+        done = out[-1][1] if out else 0
+        while lo > done and not text[lo - 1].isspace():
+            lo -= 1
+        if out and lo <= done:
+            out[-1][1] = max(done, hi)
         else:
             out.append([lo, hi])
     return [(a, b) for a, b in out]
@@ -129,14 +155,14 @@ def _plausible(kind: str, s: str) -> bool:
     if kind == "ip":
         parts = s.split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
-    if any(c not in "0123456789+() .-" for c in s):
+    if any(c not in _NUMERIC for c in s):
         return False
     if kind == "card":
         return "+" not in s and "(" not in s and 13 <= len(digits) <= 19 and luhn(digits)
     return 9 <= len(digits) <= 15 and "+" not in s[1:]
 
 
-N_FEATURES = 40
+N_FEATURES = 41
 
 
 def span_features(kind: str, text: str, a: int, b: int) -> list[int]:
@@ -167,10 +193,12 @@ def span_features(kind: str, text: str, a: int, b: int) -> list[int]:
         out.append(29)
     if kind == "email":
         out.append(30 if s.count("@") == 1 else 31)
-        if re.fullmatch(r"[\w.%+-]+ ?(?:@|[\[(] ?at ?[\])]| at ) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\.| ?[\[(]? ?dot ?[\])]? ?)[A-Za-z]{2,}", s, re.I):
+        if re.fullmatch(r"[\w.%+-]+ ?(?:@|[\[(] ?at ?[\])]| at ) ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(] ?dot ?[\])] ?| dot )[A-Za-z0-9-]+)*(?:\.| ?[\[(]? ?dot ?[\])]? ?)[A-Za-z]{2,}", s, re.I):
             out.append(32)
         if " " in s and not re.search(r"[\[(] ?at ?[\])]", s, re.I):
             out.append(33)
+        if _SPELLED_DOT.search(s):
+            out.append(40)
     elif re.search(r"[ .()-]{3,}", s):
         out.append(34)
     if s.count("(") == 1 and re.search(r"\([0-9]{2,4}\)", s):
@@ -191,20 +219,53 @@ def _candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int,
     cuts = [m.start() for m in _ATOM.finditer(text, lo, hi)] + [hi]
     n = len(cuts) - 1
     out = []
+
+    def numeric(a: int, b: int) -> bool:
+        return b - a <= MAX_NUMERIC and _NUMERIC.issuperset(text[a:b]) and len(_digits(text[a:b])) <= 19
+
     for i in range(n):
         head = text[cuts[i]]
         if not (head.isalnum() or head in "+("):
             continue
-        for j in range(i + 1, min(n, i + MAX_ATOMS) + 1):
+        for j in range(i + 1, min(n, i + MAX_NUMERIC) + 1):
+            if cuts[j] - cuts[i] > MAX_CHARS:
+                break
+            if j - i > MAX_ATOMS and not (set(text[cuts[j - 1] : cuts[j]]) <= _NUMERIC and numeric(cuts[i], cuts[j])):
+                break
             if cuts[j] - cuts[i] < 6 or not text[cuts[j] - 1].isalnum():
                 continue
             s = text[cuts[i] : cuts[j]]
             for k, kind in enumerate(KINDS):
                 if _plausible(kind, s):
                     out.append((i, j, k, span_features(kind, text, cuts[i], cuts[j])))
+    place = {c: x for x, c in enumerate(cuts)}
+    long = set()
+    for a, b in _addresses(text, lo, hi):
+        i, j = place.get(a), place.get(b)
+        if i is not None and j is not None and j - i > MAX_ATOMS:
+            long.add((i, j))
+    if long:
+        out += [(i, j, 0, span_features("email", text, cuts[i], cuts[j])) for i, j in long]
+        out.sort(key=lambda x: x[:3])
     return cuts, out
 
 
+def _addresses(text: str, lo: int, hi: int):
+    """Whole addresses, as far as they go to both sides of an at-sign or its spelling."""
+    for m in _AT.finditer(text, lo, hi):
+        a = m.start()
+        while a > max(lo, m.start() - 64) and text[a - 1] in _LOCAL:
+            a -= 1
+        while a < m.start() and not text[a].isalnum():
+            a += 1
+        domain = _SPELLED_DOMAIN.match(text, m.end(), min(hi, m.end() + MAX_CHARS))
+        if a < m.start() and domain:
+            b = domain.end()
+            while not text[b - 1].isalnum():
+                b -= 1
+            yield a, b
+
+
 @dataclass
 class SpanModel:
     weights: np.ndarray  # kinds x features
@@ -236,7 +297,12 @@ class SpanModel:
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Segments outside the base spans."""
-        taken = sorted((a, b) for _, a, b in base)
+        taken: list[tuple[int, int]] = []  # disjoint
+        for a, b in sorted((a, b) for _, a, b in base):
+            if taken and a <= taken[-1][1]:
+                taken[-1] = taken[-1][0], max(b, taken[-1][1])
+            else:
+                taken.append((a, b))
         out = []
         for lo, hi in regions(text):
             free = lo
@@ -248,12 +314,10 @@ class SpanModel:
 
 
 def _within(spans: list[tuple[int, int]], lo: int, hi: int):
-    import bisect
-
-    k = bisect.bisect_left(spans, (max(0, lo - 400), 0))
+    """Those of the disjoint ``spans`` that meet ``lo`` to ``hi``."""
+    k = bisect.bisect_right(spans, lo, key=lambda s: s[1])
     while k < len(spans) and spans[k][0] < hi:
-        if spans[k][1] > lo:
-            yield spans[k]
+        yield spans[k]
         k += 1
 
 
@@ -283,7 +347,13 @@ def _spellings(kind: str, span: str) -> list[str]:
         bare = span.lstrip("+")
         return [bare, re.sub(r"^[0-9]{1,3} ", "", bare), re.sub(r"[ ()-]+", "-", bare), re.sub(r"[ ()-]+", ".", bare)]
     if kind == "email":
-        return [span.replace("@", " [at] "), span.replace("@", "(at)")]
+        name, _, domain = span.partition("@")
+        return [
+            f"{name} [at] {domain}",
+            f"{name}(at){domain}",
+            f"{name} at {domain.replace('.', ' dot ')}",
+            f"{name} [at] {domain.replace('.', ' [dot] ')}",
+        ]
     if kind == "card":
         digits = _digits(span)
         return ["-".join(digits[i : i + 4] for i in range(0, len(digits), 4)), " ".join(digits[i : i + 4] for i in range(0, len(digits), 4))]

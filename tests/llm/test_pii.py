@@ -73,6 +73,55 @@ def test_base_spans_stay_and_plain_numbers_are_left_alone(model):
         assert model.added(text, pii.base_spans(text)) == [], text
 
 
+@pytest.fixture(scope="module")
+def varied():
+    """Taught by addresses without digits, of one to four labels in front of the site."""
+    rnd = random.Random(2)
+    names, hosts = ["anna", "john", "mary.lee", "j.von-berg", "info", "x"], ["uni", "mail", "dept.uni", "cs.dept.uni"]
+    texts = [
+        f"please write to {rnd.choice(names)}@{rnd.choice(hosts)}.example.{rnd.choice(['org', 'com', 'edu'])} soon"
+        for _ in range(200)
+    ]
+    return pii.train_spans(texts, most=120, steps=60)
+
+
+@pytest.mark.parametrize(
+    "kind, span",
+    [
+        ("email", "anna-maria.von-der-heide [at] uni.example.org"),
+        ("email", "x [at] research.department.university.example.edu"),
+        ("email", "john at example dot com"),
+        ("email", "a.b.c.d.e.f.g.h.i.j.k.l.m.n.o.p [at] mail.example.com"),
+        ("phone", "1 2 1 2 5 5 5 0 1 8 7 3 4"),
+        ("phone", "1 2 1 2 5 5 5 0 1 8 7 3 4 6 2"),
+        ("card", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"),
+    ],
+)
+def test_whole_long_spans_are_candidates_of_a_region(varied, kind, span):
+    text = f"please write or call: {span} thanks"
+    a, b = text.index(span), text.index(span) + len(span)
+    assert any(lo <= a and b <= hi for lo, hi in pii.regions(text))
+    found = set()
+    for lo, hi in pii.regions(text):
+        cuts, segments = pii._candidates(text, lo, hi)
+        found |= {(pii.KINDS[k], cuts[i], cuts[j]) for i, j, k, _ in segments}
+    assert (kind, a, b) in found
+    if kind == "email":
+        assert varied.added(text, pii.base_spans(text)) == [(kind, a, b)]
+        assert all(varied.added(t, pii.base_spans(t)) == [] for t in pii.PLAIN)
+
+
+def test_a_base_span_that_starts_early_stays_taken(model):
+    text = "a" * 450 + "@example.com 5"
+    assert list(pii._within([(0, 462)], 440, 464)) == [(0, 462)]
+    assert model.added(text, pii.base_spans(text)) == []
+
+
+def test_regions_of_long_runs_are_linear(model):
+    for text in ("9" * 300_000, "a" * 300_000 + "@", "1." * 20_000, "@" * 100_000, "(" * 20_000 + "1", "a at b.c " * 2_000):
+        model.added(text, pii.base_spans(text))
+
+
 def test_decoding_is_the_best_segmentation(model):
     """Dynamic programming against all segmentations of a short region."""
     text = "x 1 (212) 555-0187 4111111111111111"
