@@ -18,6 +18,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round materialises the edge list, so its length is bounded by the
     input's and the lineage stays short.  The minimum per node is a partial
     aggregate; a hub's edges meet it in a join that adaptive execution splits.
+    An edge list that does not settle in ``max_rounds`` is an error.
     """
     current = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     current = materialise(current, "cc")
@@ -42,6 +43,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

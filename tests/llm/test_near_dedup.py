@@ -132,3 +132,12 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
     sliced = pa.array(["skip me", *texts]).slice(1)
     assert (word_hashes(sliced, NOT_WHITE)[0] == whole).all()
     assert len(shingle_set(whole[:2], 3)) == 1 and len(shingle_set(whole[:0], 3)) == 0
+
+
+def test_components_that_have_not_settled_are_an_error(spark):
+    from tessera.llm.graph import components
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components(path, max_rounds=1)
+    assert {(r.node, r.component) for r in components(path).collect()} == {(i, 0) for i in range(41)}
