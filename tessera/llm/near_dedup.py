@@ -45,7 +45,7 @@ from tessera.llm.words import NOT_WHITE, mix, shingle_set, word_hashes
 
 ROWS = 5
 BATCH = 20
-#: Coinciding 32-bit values that a sure link between two compact sets must survive.
+#: Coinciding 32-bit values that a sure link between two compact sets must survive, besides three times as many as chance gives.
 SLACK = 4
 
 
@@ -179,8 +179,9 @@ def _across(steps: list[tuple[int, int]], n_hashes: int, num: int, den: int):
 
     Signatures rule out most pairs; what survives is counted on the compact
     sets.  Compact values may coincide, which can only raise a count, so a
-    pass by a margin of ``SLACK`` is sure and ends the search between the two
-    components, while a narrower one is passed on and the search continues.
+    pass by a margin of ``SLACK`` and more for long texts is sure and ends the
+    search between the two components, while a narrower one is passed on and the
+    search continues.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -219,7 +220,8 @@ def _across(steps: list[tuple[int, int]], n_hashes: int, num: int, den: int):
                 either = int(size[i] + size[j]) - common
                 if common * den >= either * num:
                     pairs.append((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j]))))
-                    if (common - SLACK) * den >= (either + SLACK) * num:
+                    slack = SLACK + (3 * int(size[i]) * int(size[j]) >> 32)
+                    if (common - slack) * den >= (either + slack) * num:
                         parent[root(int(comp[i]))] = root(int(comp[j]))
             mine[codes[cut[i] : cut[i + 1]]] = False
         a, b = (pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))

@@ -135,9 +135,23 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
 
 
 def test_components_that_have_not_settled_are_an_error(spark):
-    from tessera.llm.graph import components
-
     path = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
     with pytest.raises(RuntimeError):
         components(path, max_rounds=1)
     assert {(r.node, r.component) for r in components(path).collect()} == {(i, 0) for i in range(41)}
+
+
+def test_a_narrow_link_of_long_texts_does_not_end_the_search():
+    """A million shingles each, 100 over the threshold: chance alone may give as many."""
+    size, common = 1_000_000, 888_889 + 100
+    one = np.arange(size, dtype=np.uint32)
+    other = np.arange(size - common, 2 * size - common, dtype=np.uint32)
+    rows = {
+        "sig": pa.array([b"\0\0\0\0"] * 3, pa.binary()),
+        "node": pa.array([1, 2, 3], pa.int64()),
+        "comp": pa.array([1, 2, 2], pa.int64()),
+        "outer": pa.array([True] * 3),
+        "small": pa.array([one.tobytes(), other.tobytes(), other.tobytes()], pa.binary()),
+    }
+    got = N._across([], 1, 4, 5)(pa.table(rows))
+    assert set(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True)) == {(2, 1), (3, 1)}
