@@ -6,38 +6,36 @@ takes ``order_by``: column names or Columns forming a *total* order.
 
 ``dense_index`` numbers rows 0..n-1 in that order without a global window:
 
-1. a sample of the order columns gives split points; they are collected once
-   (a bounded number) and become literals of the plan, so every later use
-   sees the same ones, whatever Spark samples, reuses or recomputes;
-2. a row's bucket is the number of split points at or below its key;
-3. the rows of each bucket are counted (one row per bucket, so the broadcast
-   is bounded by the number of buckets, not by the data), which gives each
-   bucket's offset;
-4. a window numbers the rows inside each bucket.
-
-Sampling only shapes the buckets' sizes; the numbers are right for any split
-points.  For a total order they do not depend on partitioning or recomputation.
+1. the rows are range-partitioned on the order columns and sorted, and each one
+   is written to the shared checkpoint folder with its partition's number and
+   its place in it;
+2. the rows of each partition are counted from that column alone, and a prefix
+   sum over the counts (one row a partition) gives each partition's offset;
+3. a row's index is its offset plus its place.
+
+The plan does not grow with the number of partitions, and no key comes to the
+driver.  The places are part of the written rows, so later uses agree on them
+whatever is recomputed; for a total order they do not depend on partitioning.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, materialise
 
 OrderBy = Sequence[str | Column] | str | Column
 
-_BUCKET = "_tessera_bucket"
+_PART = "_tessera_part"
+_PLACE = "_tessera_place"
 _KEY = "_tessera_key"
 _OFF = "_tessera_off"
 _TOTAL = "_tessera_total"
-#: Sampled keys per bucket.
-_SAMPLED = 20
+#: Up to so many groups (rows of a manifest) are numbered by one sorted task.
+FEW_GROUPS = 100_000
 
 
 def order_columns(order_by: OrderBy) -> list[Column]:
@@ -71,52 +69,6 @@ def with_source_ordinal(df: DataFrame, name: str = "_ordinal") -> DataFrame:
     )
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _literal(value: object, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.StructType) and value is not None:
-        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in dtype.fields])
-    return F.lit(value).cast(dtype)
-
-
-def _split_points(keyed: DataFrame, buckets: int) -> list[list[Column]]:
-    """At most ``buckets`` - 1 split points in order, as literals, cut into about as many lists as each is long."""
-    wanted = _SAMPLED * buckets
-    keys = keyed.select(_KEY)
-    rows = keys.count()
-    if rows <= 1 or buckets <= 1:
-        return []
-    drawn = keys.sample(min(1.0, 1.2 * wanted / rows), seed=42) if rows > wanted else keys
-    ordered = drawn.limit(2 * wanted).groupBy(_KEY).count().orderBy(_KEY).collect()
-    weights = [r["count"] for r in ordered]
-    per_bucket, held, points = max(1, sum(weights) // buckets), 0, []
-    dtype = keyed.schema[_KEY].dataType
-    for row, weight in zip(ordered, weights):
-        if held >= per_bucket:
-            points.append(_literal(row[_KEY], dtype))
-            held = 0
-        held += weight
-    width = max(1, math.isqrt(len(points)))
-    return [points[i : i + width] for i in range(0, len(points), width)]
-
-
-def _bucket(points: list[list[Column]]) -> Column:
-    """How many split points are at or below the key: first by whole lists, then inside one."""
-    if not points:
-        return F.lit(0)
-    key = F.col(_KEY)
-    width = len(points[0])
-    heads = F.array(*[p[0] for p in points])
-    lists = F.array(*[F.array(*p) for p in points])
-    whole = F.size(F.filter(heads, lambda p: p <= key))
-    inside = F.size(F.filter(F.element_at(lists, whole), lambda p: p <= key))
-    return F.when(whole == 0, F.lit(0)).otherwise((whole - 1) * width + inside)
-
-
 def dense_index(
     df: DataFrame,
     order_by: OrderBy,
@@ -126,25 +78,29 @@ def dense_index(
 ) -> DataFrame:
     """Add a 0-based dense row index in ``order_by`` order (and the row total if asked).
 
-    Sampling the split points is a job over the order columns, run at once.
+    The rows are sorted and written at once, by one job.
     """
-    cols = order_columns(order_by)
-    keyed = df.withColumn(_KEY, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)]))
-    points = _split_points(keyed, _partitions(df, num_partitions))
-    bucketed = keyed.withColumn(_BUCKET, _bucket(points))
-    counts = bucketed.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [c.alias(f"{_KEY}{i}") for i, c in enumerate(order_columns(order_by))]
+    keyed = df.select("*", *keys)
+    by = [f"{_KEY}{i}" for i in range(len(keys))]
+    ranged = keyed.repartitionByRange(int(num_partitions), *by) if num_partitions else keyed.repartitionByRange(*by)
+    # the low 33 bits of the increasing id count the rows of a partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = ranged.sortWithinPartitions(*by).drop(*by).select(
+        "*", F.spark_partition_id().alias(_PART), place.alias(_PLACE)
+    )
+    rows = materialise(placed, "ordered")
+    counts = rows.groupBy(_PART).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        _BUCKET,
+        _PART,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(_OFF),
         F.sum("_n").over(Window.partitionBy()).alias(_TOTAL),
     )
-    inside = F.row_number().over(Window.partitionBy(_BUCKET).orderBy(_KEY))
-    out = bucketed.withColumn(name, inside).join(F.broadcast(offsets), _BUCKET)
-    out = out.withColumn(name, (F.col(name) + F.col(_OFF) - 1).cast("long"))
+    out = rows.join(F.broadcast(offsets), _PART).withColumn(name, (F.col(_OFF) + F.col(_PLACE)).cast("long"))
     if total:
         out = out.withColumn(total, F.col(_TOTAL))
-    return out.drop(_BUCKET, _KEY, _OFF, _TOTAL)
+    return out.drop(_PART, _PLACE, _OFF, _TOTAL)
 
 
 def first_appearance_numbers(
@@ -152,14 +108,20 @@ def first_appearance_numbers(
 ) -> DataFrame:
     """Number groups 1..k by their first ordinal.
 
-    The number of groups depends on the data (a split by a customer id has
-    millions), so this uses the distributed ``dense_index`` rather than a
-    window that would put every group in one task.  The groups are checkpointed
-    first (to the shared ``spark.checkpoint.dir``), so that the rows behind them
-    are read and grouped once, whatever numbering needs.
+    The groups are checkpointed first (to the shared ``spark.checkpoint.dir``), so
+    that the rows behind them are read and grouped once.  Up to ``FEW_GROUPS`` of them, by their
+    measured count, are numbered by a window in one task; more (a split by a
+    customer id has millions) by ``dense_index``.
     """
     checkpoint_dir(groups.sparkSession)
     groups = groups.checkpoint(eager=True)
+    count = groups.count()
+    if count <= FEW_GROUPS:
+        return groups.select(
+            "*",
+            F.row_number().over(Window.orderBy(first)).cast("long").alias(name),
+            F.lit(count).cast("long").alias(total),
+        )
     numbered = dense_index(groups, [first], name="_gidx", total=total)
     return numbered.withColumn(name, (F.col("_gidx") + 1).cast("long")).withColumn(
         total, F.col(total).cast("long")

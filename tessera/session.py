@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -55,3 +57,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.sparkContext.setCheckpointDir(folder)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
+
+    This cuts the lineage as a checkpoint does (a lost executor re-reads files),
+    but keeps columns prunable.  Columns of the void type, which Parquet cannot
+    hold, are put back as NULL.  The files go when the folder is cleaned.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    void = {f.name for f in df.schema.fields if f.dataType.simpleString() == "void"}
+    held = df.drop(*void)
+    held.write.parquet(path)
+    back = spark.read.schema(held.schema).parquet(path)
+    if not void:
+        return back
+    return back.select(*[F.lit(None).alias(c) if c in void else F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
