@@ -18,6 +18,7 @@ from tessera.llm.pii import KINDS, find_personal_data, fit_spans
 from tessera.llm.toxicity import fit_toxicity, held_out, score_texts
 from tessera.llm.url_rules import judge_urls
 from tessera.llm.warc import read_warc, write_warc
+from tessera.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,3 +205,9 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(table(spark, sf_dir, "embeddings"), scale=64.0, shift=1_000_000, wanted=16)
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))

@@ -1,0 +1,85 @@
+import numpy as np
+import pytest
+
+from tessera.llm.whitening import bidiagonalise, whiten
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def plain(rows, wanted=16, kind=np.float32):
+    """{(vec_id, component): (n, deviation, |whitened|, explained)} by an eigenvalue solver, and the covariance's eigenvalues."""
+    kept = [(i, [int(np.floor(64 * float(kind(c)))) + 1_000_000 for c in v]) for i, v, *_ in rows if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    fit = np.array(sorted({tuple(v) for _, v in kept}), dtype=object)
+    n = len(fit)
+    s = fit.sum(axis=0)
+    c = np.array([[float(n * int(a) - int(t)) / n for a, t in zip(r, s)] for r in fit])
+    e, q = np.linalg.eigh(c.T @ c / n)
+    e, q = e[::-1], q[:, ::-1]
+    out = []
+    for i, v in kept:
+        far = [n * a - int(t) for a, t in zip(v, s)]
+        y = np.array([f / n for f in far]) @ q / np.sqrt(np.maximum(e, 1e-300))
+        out += [(i, k + 1, n, sum(f * f for f in far), y[k], e[k] / e.sum()) for k in range(min(wanted, int(np.sum(e > 1e-12 * e[0]))))]
+    return out, e
+
+
+def compare(spark, rows, schema=VECTORS, wanted=16, apart=True):
+    want, e = plain(rows, wanted, np.float64 if "double" in schema else np.float32)
+    got = whiten(spark.createDataFrame(rows, schema), wanted=wanted).collect()
+    assert len(got) == len(want)
+    key = lambda r: (str(r[0]), r[1], r[3])
+    signs = {}
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert (g[0], g.component, g.n, int(g.deviation)) == w[:4]
+        assert g.explained == pytest.approx(w[5], rel=1e-9) and g.identity_error < 1e-9
+        if apart:
+            if g.component not in signs and abs(w[4]) > 1e-3:
+                signs[g.component] = np.sign(w[4] * g.whitened)
+            assert g.whitened * signs.get(g.component, 1) == pytest.approx(w[4], abs=1e-7)
+    return got
+
+
+def test_against_an_eigenvalue_solver(spark):
+    rng = np.random.default_rng(1)
+    mix = rng.standard_normal((24, 24))
+    rows = [(i, [float(c) for c in rng.standard_normal(24) @ mix], 1) for i in range(700)]
+    rows += [(i + 1000, rows[3][1], 2) for i in range(400)]  # a third of the rows are one vector
+    rows += [(None, rows[5][1], 1), (5, rows[9][1], 1), (9001, None, 1), (9002, [None] + [0.0] * 23, 1)]
+    rows += [(9003, [float("nan")] + [0.0] * 23, 1), (9004, [float("inf")] + [0.0] * 23, 1)]
+    compare(spark, rows)
+
+
+def test_fewer_dimensions_and_no_variance(spark):
+    rng = np.random.default_rng(2)
+    compare(spark, [(i, [float(a), 7.0, float(-2 * a)], 1) for i, a in enumerate(rng.standard_normal(60).round(2))], wanted=2)
+    assert whiten(spark.createDataFrame([(1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)], VECTORS)).count() == 0
+    assert whiten(spark.createDataFrame([], VECTORS)).columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    assert whiten(spark.createDataFrame([(1, [], 1), (2, None, 1)], VECTORS)).count() == 0
+
+
+def test_equal_variances_are_all_found(spark):
+    rows = [(i, [1.0 if j == i else 0.0 for j in range(6)], 1) for i in range(6)]
+    got = compare(spark, rows, apart=False)
+    assert {r.component for r in got} == {1, 2, 3, 4, 5}
+
+
+def test_large_entries_text_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i}", [float(c) for c in (rng.standard_normal(5) * 1e9).round()], i, i) for i in range(80)]
+    compare(spark, rows, "vec_id string, embedding array<double>, _wh_x int, component int")
+    # lengths other than the commonest take no part, nor does what whole numbers cannot hold
+    odd = rows[:10] + [("short", [1.0], 1, 1), ("huge", [1e300] + [0.0] * 4, 1, 1)]
+    assert {r.vec_id for r in whiten(spark.createDataFrame(odd, "vec_id string, embedding array<double>, _id int, n int")).collect()} == {r[0] for r in rows[:10]}
+
+
+def test_bidiagonal_form(spark):
+    x = np.random.default_rng(4).standard_normal((50, 12)) @ np.diag(np.logspace(0, -6, 12))
+
+    def pass_over(v, r, z, take):
+        u = x @ v @ np.linalg.inv(r) if r.size else np.zeros((50, 0))
+        w = x @ z - u @ take
+        return x.T @ w, u.T @ w, float(w @ w)
+
+    v, b = bidiagonalise(pass_over, 12, 12, 512, 1e-13, 5)
+    assert np.allclose(v.T @ v, np.eye(12), atol=1e-13) and np.allclose(b, np.triu(np.tril(b, 1)))
+    assert np.allclose(np.linalg.svd(b)[1], np.linalg.svd(x)[1], rtol=1e-8)
