@@ -15,6 +15,7 @@ from tessera.llm.line_quality import fit_quality
 from tessera.llm.multi_index import search
 from tessera.llm.near_dedup import near_components
 from tessera.llm.pii import KINDS, find_personal_data, fit_spans
+from tessera.llm.token_store import read_tokens, write_tokens
 from tessera.llm.toxicity import fit_toxicity, held_out, score_texts
 from tessera.llm.url_rules import judge_urls
 from tessera.llm.warc import read_warc, write_warc
@@ -211,3 +212,13 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whiten(table(spark, sf_dir, "embeddings"), scale=64.0, shift=1_000_000, wanted=16)
     return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = shared_folder(spark, "tokens")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary, end_id=2, roll_ids=1 << 24)
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
