@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_folder, table
+from tessera.llm.conversation_trie import conversation_trie
 from tessera.llm.curriculum import plan_curriculum
 from tessera.llm.decontaminate import contaminated_pairs
 from tessera.llm.line_dedup import dedup_lines
@@ -222,3 +223,57 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary, end_id=2, roll_ids=1 << 24)
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+# CRC-32 bit by bit: each byte is followed by seven zeros, and every entry shifts once.  A node is a prefix (a list
+# of role and text pairs); what hangs below it is found on the paths of the nodes' smallest members.
+ORACLES["op13_conversation_trie"] = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, role, text) AS r
+  FROM conversations WHERE conv_id IS NOT NULL
+), h AS (
+  SELECT c, n, c - c % 20 AS b,
+         (xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''),
+            lambda d: [ascii(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda a, x: CASE WHEN xor(a, x) % 2 = 1 THEN xor(xor(a, x) // 2, 3988292384) ELSE xor(a, x) // 2 END),
+            4294967295::BIGINT)) % 4 AS h
+  FROM (SELECT c, count(*) AS n FROM t GROUP BY c)
+), q AS (
+  SELECT h.c, h.b, h.h, least(h.h, coalesce(o.n, 0)) AS q FROM h LEFT JOIN h o ON o.c = h.b
+), z AS (
+  SELECT q.c, t.r AS pos, t.role, t.text FROM q JOIN t ON t.c = q.b AND t.r <= q.h
+  UNION ALL
+  SELECT q.c, q.q + t.r - q.h, t.role, t.text FROM q JOIN t ON t.c = q.c AND t.r > q.h
+), p AS (
+  SELECT c, pos AS d, len(regexp_extract_all(text, '[^ 	-]+')) AS words,
+         sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '|')
+                OVER (PARTITION BY c ORDER BY pos)) AS k
+  FROM z
+  UNION ALL SELECT c, 0, 0, '' FROM h
+), e AS (
+  SELECT c, max(d) AS d FROM p GROUP BY c
+), n AS (
+  SELECT p.d, p.k, min(p.c) AS m, count(*) AS n, any_value(words) AS words,
+         coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (WHERE e.d = p.d), '') AS ends
+  FROM p JOIN e ON p.c = e.c GROUP BY p.d, p.k
+), u AS (
+  SELECT n.*, o.k AS pk, o.m AS pm
+  FROM n LEFT JOIN p a ON a.c = n.m AND a.d = n.d - 1 LEFT JOIN n o ON o.d = a.d AND o.k = a.k
+), f AS (
+  SELECT d - 1 AS d, pk AS k, count(*) AS children FROM u WHERE d > 0 GROUP BY ALL
+), s AS (
+  SELECT p.d, p.k, sum(CASE WHEN f.k IS NULL THEN 1 ELSE 0 END) AS leaves,
+         sum(CASE WHEN u.d = 0 THEN 0 ELSE (u.n - 1) * u.words END) AS saved
+  FROM u LEFT JOIN f ON f.d = u.d AND f.k = u.k JOIN p ON p.c = u.m AND p.d <= u.d GROUP BY p.d, p.k
+)
+SELECT u.m AS conv_id, u.d::BIGINT AS depth, u.pm AS parent_conv_id, u.n::BIGINT AS n_convs,
+       coalesce(f.children, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens,
+       sha256(u.ends) AS ends_sha256
+FROM u JOIN s ON s.d = u.d AND s.k = u.k LEFT JOIN f ON f.d = u.d AND f.k = u.k
+"""
