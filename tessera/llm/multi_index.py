@@ -13,9 +13,12 @@
    best stay; ties go to the smaller id.
 
 Queries meet blocks in groups of ``block`` by ``block`` at most, so a crowded
-cell is spread over many tasks and memory stays bounded.  Of equal vectors only
-the ``k + 1`` smallest ids can be among anyone's ``k`` nearest, and only they
-are indexed; the others are never returned by the exact search either.
+cell is spread over many tasks and memory stays bounded.  Rows that repeat both
+id and vector count once.  Of equal vectors only the ``k + 1`` smallest ids can be
+among anyone's ``k`` nearest, and only they are indexed; the others are never
+returned by the exact search either.  Places are for ids, not rows: a block gives
+its best ``k`` ids, and a walk meets more vectors than any ``k`` ids have, so that
+one id's many vectors never push others out.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do vectors of another length than the most common
@@ -156,6 +159,7 @@ def search(
         return spark.createDataFrame([], schema)
     dim = lengths.d
     vectors = vectors.filter(F.size("v") == dim).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(2), "v")})
+    vectors = vectors.groupBy("id", "h1", "h2").agg(F.first("v").alias("v"))
     copies = Window.partitionBy("h1", "h2").orderBy("id")
     distinct = vectors.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).select("id", "v")
     distinct = materialise(distinct, "vectors")
@@ -165,7 +169,8 @@ def search(
     drawn = _matrix(drawn.column("v"), dim)
     codes = max(1, min(max_codes, round(math.sqrt(n / cell_rows))))
     pair = (kmeans(drawn[:, :half], codes, seed=1), kmeans(drawn[:, half:], codes, seed=2))
-    enough = math.ceil(share_to_meet(drawn, half, pair, k, recall) * n)
+    most = [r["count"] for r in distinct.groupBy("id").count().orderBy(F.desc("count")).limit(k).collect()]
+    enough = max(math.ceil(share_to_meet(drawn, half, pair, k, recall) * n), min(n, sum(most) + 1))
     books = spark.sparkContext.broadcast(pair)
     width = len(pair[1])
 
@@ -240,6 +245,7 @@ def search(
         qid, ids = asked.column("qid").to_numpy(), stored.column("id").to_numpy()
         cells, own = np.unique(stored.column("cell").to_numpy(), return_inverse=True)
         met = asked.column("cells").to_pylist()
+        names, name = np.unique(ids, return_inverse=True)
         rough = q @ x.T
         out_q, out_id, out_s = [], [], []
         for i in range(len(q)):
@@ -248,14 +254,22 @@ def search(
             here[place_of[cells[np.minimum(place_of, len(cells) - 1)] == met[i]]] = True
             out_of_reach = (ids == qid[i]) | ~here[own]
             line = np.where(out_of_reach, -np.inf, rough[i])
-            if len(line) > k:
-                bar = np.partition(line, len(line) - k)[len(line) - k]
+            if len(names) == len(ids):
+                of_id = line
+            else:
+                of_id = np.full(len(names), -np.inf)
+                np.maximum.at(of_id, name, line)
+            if len(of_id) > k:
+                bar = np.partition(of_id, len(of_id) - k)[len(of_id) - k]
                 at = np.flatnonzero(line >= bar - 1e-9 * max(1.0, abs(bar)))
             else:
                 at = np.arange(len(line))
             at = at[~out_of_reach[at]]
             exact = (q[i] * x[at]).sum(axis=1)  # one order of addition for equal vectors wherever they are
-            at_order = np.lexsort((ids[at], -exact))[: k + 1]
+            at_order = np.lexsort((ids[at], -exact))
+            if len(names) < len(ids):  # the best row of each id
+                at_order = at_order[np.sort(np.unique(ids[at][at_order], return_index=True)[1])]
+            at_order = at_order[:k]
             out_q.append(np.full(len(at_order), qid[i]))
             out_id.append(ids[at][at_order])
             out_s.append(exact[at_order])

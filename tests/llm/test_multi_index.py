@@ -95,3 +95,15 @@ def test_cells_are_packed_into_bounded_blocks():
         for b in range(first[c], first[c] + count[c]):
             load[b] = load.get(b, 0) + s / count[c]
     assert max(load.values()) <= 10 and count[3] == 3
+
+
+def test_repeated_ids_take_one_place_each(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n, at: [(at + i, [float(x) for x in rng.integers(-3, 4, 3)], 0) for i in range(n)]
+    near = [3.0, 3.0, 3.0]
+    rows = [(5, near, 0)] * 30 + [(7, near, 0)] + some(60, 11)
+    check(spark, rows, 5, 1, recall=1.0, cell_rows=10, block=8)
+    # an id with many vectors, all better than anyone else's, and the same rows again
+    rows += [(8, [3.0 + i, 3.0, 3.0], 0) for i in range(30)] * 2 + [(9, [4.0 - i / 8, 3.0, 3.0], 0) for i in range(25)]
+    check(spark, rows, 5, 1, recall=1.0, cell_rows=10, block=8)
+    check(spark, rows, 5, 0, recall=0.1, cell_rows=10, block=8)  # however short the walk, k ids are found
