@@ -8,8 +8,10 @@
 3. FP-growth mines combinations that go with a label from the labelled URLs (by
    default those that a fixed rule decides).  Rules must reach ``support`` and
    ``confidence``; a rule is dropped if one with fewer tokens says the same at no
-   less confidence.  Tokens that occur in just the same labelled URLs are mined
-   as one and told apart again in the rules, which gives the same rules.
+   less confidence.  A token that always goes with one label is a rule by itself,
+   found by a plain count, and leaves before mining: every longer rule with it
+   says no more.  Tokens that occur in just the same labelled URLs are mined as
+   one and told apart again in the rules, which gives the same rules.
 4. The rest of the URLs is matched through an inverted index from token to
    rules: a rule fits where all its tokens are met.  The most confident, then
    best supported, then longest rule decides (at a tie, block).  A URL that no
@@ -98,6 +100,17 @@ def _twins(labelled: DataFrame, support: float) -> DataFrame:
     return materialise(tokens.join(reps, ["n", "x0", "x1"]).select("token", "rep"), "twin-tokens")
 
 
+def _sure_tokens(labelled: DataFrame, support: float) -> DataFrame:
+    """``token, verdict, support`` of the tokens that reach ``support`` and go with one label only."""
+    n = labelled.count()
+    sets = labelled.groupBy("tokens", "label").agg(F.count("*").alias("n"))
+    tokens = sets.select("label", "n", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.sum("n").alias("n"), F.min("label").alias("verdict"), F.max("label").alias("other")
+    )
+    sure = tokens.filter((F.col("verdict") == F.col("other")) & (F.col("n") >= F.ceil(F.lit(support) * F.lit(n))))
+    return materialise(sure.select("token", "verdict", F.round(F.col("n") / F.lit(n), 12).alias("support")), "sure-tokens")
+
+
 def mine_rules(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
     """``rule_id, tokens, verdict, confidence, support`` from rows with ``tokens`` and ``label``.
 
@@ -105,6 +118,13 @@ def mine_rules(labelled: DataFrame, support: float, confidence: float) -> DataFr
     one, and a rule that holds two of them is always redundant.
     """
     label = lambda x: F.concat(F.lit("="), x)  # noqa: E731  no token begins like this
+    sure = _sure_tokens(labelled, support)
+    alone = sure.select(F.array("token").alias("tokens"), "verdict", F.lit(1.0).alias("confidence"), "support")
+    taken = sure.select(F.array(F.col("token")).alias("t"))
+    # rows over the support bound the tokens that reach it
+    gone = F.broadcast(taken.agg(F.flatten(F.collect_list("t")).alias("gone")))
+    labelled = labelled.crossJoin(gone).select(F.array_except("tokens", "gone").alias("tokens"), "label")
+    labelled = materialise(labelled, "unsure-urls")
     twins = _twins(labelled, support)
     # rows over the support bound the frequent tokens: tokens a row / support
     first = F.broadcast(twins.agg(F.map_from_entries(F.collect_list(F.struct("token", "rep"))).alias("first")))
@@ -152,6 +172,7 @@ def mine_rules(labelled: DataFrame, support: float, confidence: float) -> DataFr
     rules = rules.drop("tokens").join(places, "rule_id").withColumn("tokens", F.explode(told)).select(
         F.array_sort("tokens").alias("tokens"), "verdict", "confidence", "support"
     )
+    rules = rules.unionByName(alone)
     return rules.withColumn("rule_id", F.xxhash64(F.to_json(F.struct("tokens", "verdict"))))
 
 

@@ -134,3 +134,14 @@ def test_labels_teach_and_the_unlabelled_are_allowed(spark):
     assert judge_urls(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(1, "http://a.net/", "x", "y")], "page_id long, url string, host string, verdict string")
     assert judge_urls(odd).first().verdict == "block"
+
+
+def test_many_frequent_keys_that_go_with_one_label(spark):
+    """Forty keys, each in most of the URLs but not in the same ones: 2**40 frequent sets, forty rules."""
+    rnd = random.Random(8)
+    keys = lambda: "&".join(f"k{j}=1" for j in range(40) if rnd.random() < 0.85)
+    pages = [(i, f"http://h.net/p{i % 5}?{keys()}", None) for i in range(300)]
+    pages += [(1000 + j, f"http://c.com/?k{j}=2", None) for j in range(40)] + [(2000, "http://example.net/en/a", None), (2001, "http://c.com/z", None)]
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame(pages, PAGES)).collect()}
+    assert all(got[i] == ("net/", "block") for i in range(300)) and all(got[1000 + j] == (None, "block") for j in range(40))
+    assert got[2000] == ("example.net/en/", "allow") and got[2001] == (None, "allow")
