@@ -221,7 +221,7 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = shared_folder(spark, "tokens")
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary, end_id=2, roll_ids=1 << 24)
+    write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary, end_id=2, roll_ids=1 << 24, pieces="letters")
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -251,7 +251,8 @@ WITH t AS (
   UNION ALL
   SELECT q.c, q.q + t.r - q.h, t.role, t.text FROM q JOIN t ON t.c = q.c AND t.r > q.h
 ), p AS (
-  SELECT c, pos AS d, len(regexp_extract_all(text, '[^ 	-]+')) AS words,
+  SELECT c, pos AS d, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words,
          sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '|')
                 OVER (PARTITION BY c ORDER BY pos)) AS k
   FROM z

@@ -18,10 +18,13 @@
    valid.  It also holds each file's first position, a prefix sum over files (one
    row a file).  Readers open what it lists and nothing else.
 
-White space never enters a token of tokenizers that drop it, so their ids of a
-text are those of its words one after the other: words are encoded once and kept
-in a bounded table (``word_table`` words; 0 encodes whole texts, as tokenizers
-that keep white space need).
+A word tokenizer's ids of a text are those of its pieces one after the other, so
+pieces are encoded once and kept in a bounded table, which tasks of one Python
+worker share.  ``pieces`` says what the tokenizer allows: ``texts`` (nothing: whole
+texts are encoded), ``words`` (white space enters no token) or ``letters`` (besides,
+case makes no difference and no token holds letters and anything else; words with
+an apostrophe, a ``<`` or a character that is neither ASCII nor a Latin letter stay
+whole).
 
 The vocabulary travels as a broadcast of its file, whose size is that of the
 vocabulary.  Files go through ``pyarrow.fs``, so the folder must be one that every
@@ -34,9 +37,13 @@ columns are not written.  An empty table gives a store without files.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import struct
+import sys
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -72,12 +79,20 @@ def pack(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarra
         grid[full, : n - full * block] = ids[full * block :]
     length = np.full(rows, block)
     length[-1] = n - (rows - 1) * block
-    choice = np.zeros((rows, block), np.uint8)
-    for s in range(14, 0, -1):
-        count, width = int(COUNTS[s]), int(WIDTHS[s])
-        over = np.zeros((rows, block + _PAD + 1), np.int16)
-        np.cumsum(grid >= np.uint64(1 << width), axis=1, dtype=np.int16, out=over[:, 1:])
-        choice[over[:, count : count + block] == over[:, :block]] = s
+    # the narrowest selector that holds an id by itself: 1 to 14, or 15
+    least = np.ones(grid.shape, np.uint8)
+    small = grid.astype(np.uint32) if not n or int(ids.max()) < 1 << 32 else grid
+    for s in range(1, 15):
+        if int(WIDTHS[s]) < 8 * small.itemsize:
+            least += small >= small.dtype.type(1 << int(WIDTHS[s]))
+    # what fits a narrow selector from some place on fits all wider ones
+    choice = np.full((rows, block), 15, np.uint8)
+    over = np.zeros((rows, block + _PAD + 1), np.int16)
+    for s in range(1, 15):
+        count = int(COUNTS[s])
+        np.cumsum(least > s, axis=1, dtype=np.int16, out=over[:, 1:])
+        choice -= over[:, count : count + block] == over[:, :block]
+    choice[choice == 15] = 0
     step = COUNTS[choice]
     starts = np.zeros((rows, block), bool)
     row, at = np.arange(rows), np.zeros(rows, np.int64)
@@ -243,36 +258,92 @@ class TokenFile:
             yield doc_id, np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
-class _Words(dict):
-    """The ids of a word as bytes, encoded when first met."""
+#: Words that fall into pieces: ASCII without apostrophe and ``<``, and Latin letters beyond it (in UTF-8).
+_PLAIN = re.compile(rb"(?:[!-&(-;=-~]|[\xc3-\xc8][\x80-\xbf])+")
+_PIECE = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
+
+
+def _as_bytes(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+class _Pieces(dict):
+    """The ids of a piece as bytes, encoded when first met."""
 
     def __init__(self, tokenizer, most: int):
         super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+        self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        got = np.array(ids, "<u4").tobytes()
-        if len(word) <= 64:
+    def encode(self, piece: bytes) -> bytes:
+        return _as_bytes(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def __missing__(self, piece: bytes) -> bytes:
+        got = self.encode(piece)
+        if len(piece) <= 64:
             if len(self) >= self.most:
                 self.clear()
-            self[word] = got
+            self[piece] = got
         return got
 
 
-def text_encoder(vocabulary: str, word_table: int):
+class _Letters(_Pieces):
+    """Runs of letters, digits and runs of other characters; the model alone knows lower-case ASCII letters."""
+
+    def encode(self, piece: bytes) -> bytes:
+        if piece.isalpha():
+            return _as_bytes([t.id for t in self.model.tokenize(piece.decode())])
+        return super().encode(piece)
+
+
+class _Words(_Pieces):
+    """Words between white space, put together from their pieces where they have such."""
+
+    def __init__(self, tokenizer, most: int):
+        super().__init__(tokenizer, most)
+        self.letters = _Letters(tokenizer, most)
+
+    def encode(self, piece: bytes) -> bytes:
+        if piece.isalpha():
+            return self.letters[piece.lower()]
+        if _PLAIN.fullmatch(piece) and (piece.isascii() or _latin(piece)):
+            return b"".join(map(self.letters.__getitem__, _PIECE.findall(piece.lower())))
+        return super().encode(piece)
+
+
+def _latin(word: bytes) -> bool:
+    """Whether all that is not ASCII is letters (the two signs among U+00C0 to U+023F are not)."""
+    return b"\xc3\x97" not in word and b"\xc3\xb7" not in word
+
+
+_ENCODERS: dict = {}
+
+
+def text_encoder(vocabulary: str, pieces: str = "texts", table: int = 1 << 20):
     """A function from the bytes of a text to its ids; ``vocabulary`` is the text of a tokenizer file."""
+    if pieces not in ("texts", "words", "letters"):
+        raise ValueError(f"Unknown pieces: {pieces}")
+    key = hashlib.sha256(vocabulary.encode()).digest(), pieces, table
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = _make_encoder(vocabulary, pieces, table)
+    return _ENCODERS[key]
+
+
+def _make_encoder(vocabulary: str, pieces: str, table: int):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(vocabulary)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    if not word_table:
+    if pieces == "texts":
         return lambda text: np.array(tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
-    words = _Words(tokenizer, word_table)
+    known = (_Pieces if pieces == "words" else _Words)(tokenizer, table)
     # bytes are split at ASCII white space only
-    return lambda text: np.frombuffer(b"".join(map(words.__getitem__, text.split())), "<u4")
+    return lambda text: np.frombuffer(b"".join(map(known.__getitem__, text.split())), "<u4")
 
 
 def write_tokens(
@@ -283,7 +354,8 @@ def write_tokens(
     text_col: str = "text",
     end_id: int = 2,
     roll_ids: int = 1 << 26,
-    word_table: int = 1 << 18,
+    pieces: str = "texts",
+    table: int = 1 << 20,
     num_shards: int | None = None,
 ) -> DataFrame:
     """Encode ``docs`` into a store in ``folder`` (which must not hold one) and return its manifest.
@@ -309,7 +381,7 @@ def write_tokens(
     ready = ranged.sortWithinPartitions(*by).select("doc_id", "text")
 
     def run(batches):
-        encode = text_encoder(vocabulary.value, word_table)
+        encode = text_encoder(vocabulary.value, pieces, table)
         end = np.array([end_id], "<u4")
         target, base = fs.FileSystem.from_uri(folder)
         shard, part, writer, done = TaskContext.get().partitionId(), 0, None, []

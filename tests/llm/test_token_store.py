@@ -95,14 +95,25 @@ def test_files_random_access_and_long_documents():
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0  'stσΣ́É<|>"))))
-def test_words_one_by_one_give_the_ids_of_the_text(text):
+def test_pieces_one_by_one_give_the_ids_of_the_text(text):
     want = TOKENIZER.encode(text, add_special_tokens=False).ids
-    assert ENCODE(text.encode()).tolist() == want
+    for encode in ENCODERS:
+        assert encode(text.encode()).tolist() == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_pieces_give_the_ids_of_the_test_documents():
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist():
+        want = TOKENIZER.encode(text or "", add_special_tokens=False).ids
+        assert ENCODERS[1]((text or "").encode()).tolist() == want
 
 
 TOKENIZER = Tokenizer.from_file(PATH)
 with open(PATH, encoding="utf-8") as _f:
-    ENCODE = text_encoder(_f.read(), 50)
+    _V = _f.read()
+ENCODERS = [text_encoder(_V, "words", 50), text_encoder(_V, "letters", 80), text_encoder(_V)]
 
 
 def expected(rows):
@@ -120,12 +131,12 @@ def digest(spark, folder):
     return sorted((tuple(r) for r in rows), key=lambda r: r[1])
 
 
-@pytest.mark.parametrize("word_table", [0, 1 << 18])
-def test_round_trip(spark, tmp_path, word_table):
+@pytest.mark.parametrize("pieces", ["texts", "words", "letters"])
+def test_round_trip(spark, tmp_path, pieces):
     rows = [(i * 3 % 101 - 20, f"Word{i} it's <|endoftext|> ÉÜ {'ab ' * (i % 9)}\x0b\x0c{i}") for i in range(101)]
     rows += [(900, None), (901, ""), (902, " \n\t "), (903, "x" * 5000), (904, "véry long " * 40_000), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    manifest = write_tokens(df, f"file://{tmp_path}/a", PATH, roll_ids=500, word_table=word_table)
+    manifest = write_tokens(df, f"file://{tmp_path}/a", PATH, roll_ids=500, pieces=pieces)
     assert digest(spark, f"file://{tmp_path}/a") == expected(rows)
     listed = manifest.orderBy("start").collect()
     assert len(listed) > 3 and [r.name for r in listed] == sorted(r.name for r in listed)
