@@ -4,21 +4,23 @@
    counted by label; the ones that stand clearly for label 1 become lexicon
    voters.  A few fixed patterns (insulting address, masked swearing)
    vote as well.  A voter votes 1 or abstains.
-2. Label model.  On a bounded sample of documents, labels unseen, expectation
-   maximisation estimates each voter's rates in either class and the posterior
-   of the hidden label.  Voters that agree beyond what the label explains are
-   correlated; by the residual correlations, estimated from the same posteriors,
-   a vote shares its evidence with the correlated votes of its row, so that ten
-   spellings of one cue count about once.
+2. Label model.  The votes of all documents, labels unseen, are counted by
+   pattern of votes; expectation maximisation over these counts estimates each
+   voter's rates in either class and the posterior of the hidden label.  Voters
+   that agree beyond what the label explains are correlated; by the residual
+   correlations, estimated from the same posteriors, a vote shares its evidence
+   with the correlated votes of its row, so that ten spellings of one cue count
+   about once.  Tasks add up the expectations; sums over voters come back.
 3. Classifier.  A logistic regression over the presence of words and prefixes
-   is trained on the posterior labels and scores every whole text; the labelled
-   sample sets its intercept, so that the best cut lies at ``threshold``.
+   is trained on the posterior labels of the labelled sample's texts and scores
+   every whole text; the known labels set its intercept, so that the best cut
+   lies at ``threshold``.
 
-Bounds (parameters): ``max_labelled`` labelled rows, ``max_sample`` documents
-for the label model and classifier, ``max_voters`` voters, ``max_features``
-weights.  Samples are the rows with the smallest hash of their id, so reruns
-agree.  Only rows for which ``may_learn`` holds are learned from; labels,
-language, source and id are never inputs of a score.
+Bounds (parameters): ``max_labelled`` labelled rows (distinct ids, one text of
+each), ``max_voters`` voters, ``max_features`` weights.  The sample is the rows
+with the smallest hash of their id, so reruns agree.  Only rows for which
+``may_learn`` holds are learned from; labels, language, source and id are never
+inputs of a score.
 
 Defined cases: null and empty texts have no feature and get the score of the
 intercept.  Null labels are not learned from; an id with several labels counts
@@ -39,16 +41,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import materialise
 from tessera.llm.words import LETTERS, word_kinds
 
 PREFIXES = (4, 5)
-#: Votes of fixed patterns, cheap enough for the sample only.
+#: Votes of fixed patterns, and texts (case folded) one of which each needs.
 PATTERNS = (
     re.compile(r"\b(?:you|u)(?:'re| are| r)? (?:an? )?(?:such an? )?(?:idiot|moron|loser|clown|pig|fool)", re.I),
     re.compile(r"\b(?:shut up|get lost|go to hell|drop dead)\b", re.I),
     re.compile(r"\b[a-z]\*{2,}[a-z]+\b", re.I),
     re.compile(r"\bi hate (?:you|them|those)\b", re.I),
 )
+NEEDED = (
+    ("idiot", "moron", "loser", "clown", "pig", "fool"),
+    ("shut up", "get lost", "go to hell", "drop dead"),
+    ("**",),
+    ("i hate ",),
+)
+
+
+def pattern_votes(text: str | None) -> int:
+    """A bit for each pattern that the text holds."""
+    folded = (text or "").casefold()
+    return sum(
+        1 << k
+        for k, (pattern, needed) in enumerate(zip(PATTERNS, NEEDED, strict=True))
+        if any(x in folded for x in needed) and pattern.search(text)
+    )
 
 
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
@@ -115,9 +134,7 @@ def _observe(vocabulary: Vocabulary):
         for batch in batches:
             row, index = vocabulary.find(batch.column(0))
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            votes = [
-                sum(1 << k for k, p in enumerate(PATTERNS) if p.search(t or "")) for t in batch.column(0).to_pylist()
-            ]
+            votes = [pattern_votes(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([index[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64())),
@@ -167,37 +184,100 @@ def choose_voters(
     return np.array(out, np.int64)
 
 
+@dataclass
+class LabelModel:
+    """Rates of the voters in both classes, what silence says, and how votes share evidence."""
+
+    prior: float
+    p1: np.ndarray | None = None
+    p0: np.ndarray | None = None
+    hush: float = 0.0
+    pull: np.ndarray | None = None
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Of label 1, for each row of a 0/1 matrix of votes (rows x voters)."""
+        silent = ~votes.any(axis=1)
+        if self.p1 is None:  # before the first step
+            return np.where(silent, self.prior * 0.1, 0.9)
+        crowd = 1.0 if self.pull is None else 1 + votes @ self.pull
+        score = np.log(self.prior / (1 - self.prior)) + (votes / crowd) @ np.log(self.p1 / self.p0) + silent * self.hush
+        return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+
+    def expectations(self, votes: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Rows, rows of label 1, silent ones of both, and votes of both, as sums."""
+        post, silent = count * self.posterior(votes), ~votes.any(axis=1)
+        return np.concatenate([[count.sum(), post.sum(), count @ silent, post @ silent], count @ votes, post @ votes])
+
+    def residuals(self, votes: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The products of what the label leaves of each two votes, as sums."""
+        post = self.posterior(votes)
+        rest = votes - np.outer(post, self.p1) - np.outer(1 - post, self.p0)
+        return (rest.T @ (rest * count[:, None])).ravel()
+
+
+def estimate_labels(sums, voters: int, prior: float, rounds: int = 25) -> LabelModel:
+    """Expectation maximisation; ``sums(f)`` is the sum of ``f(votes, counts)`` over all patterns of votes."""
+    # the prior stays: with few voters the classes' sizes are not identified
+    model, pull = LabelModel(float(np.clip(prior, 1e-4, 1 - 1e-4))), None
+    for step in range(rounds):
+        got = sums(model.expectations)
+        n, ones, quiet, quiet_ones = got[:4]
+        said, said_ones = got[4 : 4 + voters], got[4 + voters :]
+        p1 = (said_ones + 0.5) / (ones + 1.0)
+        p0 = np.minimum((said - said_ones + 0.05) / (n - ones + 1.0), p1)  # a voter votes for label 1 or says nothing
+        # silence of one voter is no evidence, silence of all of them together is
+        hush = np.log((quiet_ones + 0.5) / (ones + 1.0)) - np.log((quiet - quiet_ones + 0.5) / (n - ones + 1.0))
+        model = LabelModel(model.prior, p1, p0, float(hush), pull)
+        if step in (5, 15):  # residual correlations, given the label as it is now believed
+            cross = sums(model.residuals).reshape(voters, voters)
+            spread = np.sqrt(np.diag(cross) / n) + 1e-9
+            corr = cross / n / np.outer(spread, spread)
+            np.fill_diagonal(corr, 0.0)
+            pull = np.where(corr > 0.1, corr, 0.0)
+    return model
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
     """Posterior of label 1 for each row of a 0/1 matrix of votes (rows x voters)."""
     n, m = votes.shape
     if not n or not m:
         return np.full(n, prior)
-    crowd = np.ones((n, m))
-    silent = ~votes.any(axis=1)
-    prior = float(np.clip(prior, 1e-4, 1 - 1e-4))  # stays: with few voters the classes' sizes are not identified
-    prior_odds = np.log(prior / (1 - prior))
-    post = np.where(silent, prior * 0.1, 0.9)
-    for step in range(rounds):
-        p1 = (post @ votes + 0.5) / (post.sum() + 1.0)
-        p0 = ((1 - post) @ votes + 0.05) / ((1 - post).sum() + 1.0)
-        p0 = np.minimum(p0, p1)  # a voter votes for label 1 or says nothing
-        # silence of one voter is no evidence, silence of all of them together is
-        hush = np.log(((post @ silent) + 0.5) / (post.sum() + 1.0)) - np.log(
-            ((1 - post) @ silent + 0.5) / ((1 - post).sum() + 1.0)
-        )
-        score = prior_odds + (votes / crowd) @ np.log(p1 / p0) + silent * hush
-        post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if step in (5, 15):  # residual correlations, given the label as it is now believed
-            rest = votes - np.outer(post, p1) - np.outer(1 - post, p0)
-            spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            corr = (rest.T @ rest) / n / np.outer(spread, spread)
-            np.fill_diagonal(corr, 0.0)
-            # a vote shares its evidence with the correlated votes of the same row
-            crowd = 1 + votes @ np.where(corr > 0.1, corr, 0.0)
-    return post
+    return estimate_labels(lambda f: f(votes, np.ones(n)), m, prior, rounds).posterior(votes)
+
+
+def _vote_matrix(lists, patterns: np.ndarray, place: np.ndarray, voters: int) -> np.ndarray:
+    """0/1 votes (rows x voters and patterns) from lists of features and bits of patterns."""
+    rows, cols = _pairs(lists)
+    votes = np.zeros((len(lists), voters + len(PATTERNS)))
+    mine = place[cols] >= 0
+    votes[rows[mine], place[cols[mine]]] = 1
+    for k in range(len(PATTERNS)):
+        votes[:, voters + k] = (patterns >> k) & 1
+    return votes
+
+
+def pattern_sums(counted: DataFrame, voters: int):
+    """``sums`` for ``estimate_labels`` over rows (voted array<long>, patterns long, n long), added up in Spark."""
+
+    def sums(f):
+        def run(batches):
+            total = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096).to_pandas()
+                    votes = _vote_matrix(part["voted"], part["patterns"].to_numpy(), np.arange(voters), voters)
+                    got = f(votes, part["n"].to_numpy(float))
+                    total = got if total is None else total + got
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
+
+        added = counted.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+        return added.sort_values("i")["v"].to_numpy()
+
+    return sums
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, n: int, m: int, y: np.ndarray, ridge: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, cols: np.ndarray, n: int, m: int, y: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression on sparse 0/1 features and soft labels (Adam, full batch)."""
     w, b = np.zeros(m), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     g1, g2 = np.zeros(m + 1), np.zeros(m + 1)
@@ -252,7 +332,6 @@ def fit_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     max_labelled: int = 12000,
-    max_sample: int = 12000,
     max_voters: int = 256,
     max_features: int = 2048,
     min_support: int = 3,
@@ -266,15 +345,16 @@ def fit_toxicity(
         .agg(F.max(F.col(label_col).cast("long")).alias("label"))
     )
     known = smallest_by_hash(known, id_col, max_labelled)
+    # at most max_labelled rows: one text of each id
+    labelled = texts.join(F.broadcast(known), id_col).groupBy(id_col).agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    labelled = materialise(labelled.select("text", "label"), "labelled-texts")
     counts = (
-        texts.join(F.broadcast(known), id_col)  # at most max_labelled rows
-        .select("text", "label")
-        .mapInArrow(_count, "feature long, n long, n1 long")
+        labelled.mapInArrow(_count, "feature long, n long, n1 long")
         .groupBy("feature")
         .agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
         .filter(F.col("n") >= min_support)
     )
-    sizes = known.agg(F.count("*").alias("n"), F.sum("label").alias("n1")).first()
+    sizes = labelled.agg(F.count("*").alias("n"), F.sum("label").alias("n1")).first()
     total, ones = sizes.n or 0, sizes.n1 or 0
     base = (ones + 1) / (total + 20)
     empty = ToxicityModel(Vocabulary(np.empty(0, np.uint64)), np.empty(0), float(np.log(base / (1 - base))))
@@ -289,36 +369,30 @@ def fit_toxicity(
     hashes = chosen["feature"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     chosen, vocabulary = chosen.iloc[order], Vocabulary(hashes[order])
-    marked = (
-        texts.join(F.broadcast(known), id_col)
-        .select("text", "label")
-        .mapInArrow(_observe(vocabulary), "features array<long>, patterns long, label long")
-        .toPandas()
-    )
+    marked = labelled.mapInArrow(_observe(vocabulary), "features array<long>, patterns long, label long").toPandas()
     voters = choose_voters(
         *_pairs(marked["features"]), marked["label"].to_numpy(), chosen["gain"].to_numpy(), rate, max_voters
     )
-    sample = smallest_by_hash(texts.select(id_col).filter(F.col(id_col).isNotNull() & may_learn), id_col, max_sample)
-    seen = (
-        texts.join(F.broadcast(sample.distinct()), id_col)  # at most max_sample rows
+    # the voters alone, by their place among themselves, over all documents
+    ranked = np.sort(vocabulary.hashes[voters])
+    place = np.full(len(vocabulary.hashes), -1)
+    place[voters] = np.searchsorted(ranked, vocabulary.hashes[voters])
+    counted = (
+        texts.filter(may_learn)
         .select("text", F.lit(None).cast("long").alias("label"))
-        .mapInArrow(_observe(vocabulary), "features array<long>, patterns long, label long")
-        .toPandas()
+        .mapInArrow(_observe(Vocabulary(ranked)), "features array<long>, patterns long, label long")
+        .withColumnRenamed("features", "voted")
+        .groupBy("voted", "patterns")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    n = len(seen)
-    if not n:
+    counted = materialise(counted, "vote-patterns")
+    if counted.isEmpty():
         return empty
-    rows, cols = _pairs(seen["features"])
-    place = np.full(len(vocabulary.hashes), -1)
-    place[voters] = np.arange(len(voters))
-    votes = np.zeros((n, len(voters) + len(PATTERNS)), np.float32)
-    mine = place[cols] >= 0
-    votes[rows[mine], place[cols[mine]]] = 1
-    for k in range(len(PATTERNS)):
-        votes[:, len(voters) + k] = (seen["patterns"].to_numpy() >> k) & 1
-    post = label_model(votes.astype(np.float64), rate)
-    weights, intercept = logistic(rows, cols, n, len(vocabulary.hashes), post)
+    model = estimate_labels(pattern_sums(counted, len(voters)), len(voters) + len(PATTERNS), rate)
+    post = model.posterior(_vote_matrix(marked["features"], marked["patterns"].to_numpy(), place, len(voters)))
     rows, cols = _pairs(marked["features"])
+    n = len(marked)
+    weights, intercept = logistic(rows, cols, n, len(vocabulary.hashes), post)
     z = np.bincount(rows, weights=weights[cols], minlength=len(marked)) + intercept
     return ToxicityModel(vocabulary, weights, intercept + calibrate(z, marked["label"].to_numpy(), threshold))
 

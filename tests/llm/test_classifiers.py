@@ -91,6 +91,81 @@ def test_label_model_finds_accuracies_and_shares_correlated_votes():
     assert np.mean((again > 0.5) == y) > 0.9 and np.abs(again - post).mean() < 0.05
 
 
+def plain_label_model(votes, prior, rounds):
+    """Row by row and voter by voter, in plain Python."""
+    n, m = len(votes), len(votes[0])
+    post = [0.9 if any(v) else prior * 0.1 for v in votes]
+    share = [[1.0] * m for _ in range(n)]
+    for step in range(rounds):
+        ones, zeros = sum(post), n - sum(post)
+        p1 = [(sum(p * v[j] for p, v in zip(post, votes)) + 0.5) / (ones + 1) for j in range(m)]
+        p0 = [min((sum((1 - p) * v[j] for p, v in zip(post, votes)) + 0.05) / (zeros + 1), p1[j]) for j in range(m)]
+        quiet = [p for p, v in zip(post, votes) if not any(v)]
+        hush = np.log((sum(quiet) + 0.5) / (ones + 1)) - np.log((len(quiet) - sum(quiet) + 0.5) / (zeros + 1))
+        odds = [
+            np.log(prior / (1 - prior)) + (0 if any(v) else hush) + sum(v[j] / share[i][j] * np.log(p1[j] / p0[j]) for j in range(m))
+            for i, v in enumerate(votes)
+        ]
+        post = [1 / (1 + np.exp(-x)) for x in odds]
+        if step in (5, 15):
+            rest = [[v[j] - p * p1[j] - (1 - p) * p0[j] for j in range(m)] for p, v in zip(post, votes)]
+            size = [np.sqrt(sum(r[j] ** 2 for r in rest) / n) + 1e-9 for j in range(m)]
+            corr = [[sum(r[j] * r[k] for r in rest) / n / size[j] / size[k] if j != k else 0.0 for k in range(m)] for j in range(m)]
+            share = [[1 + sum(v[k] * corr[k][j] for k in range(m) if corr[k][j] > 0.1) for j in range(m)] for v in votes]
+    return post
+
+
+def test_label_model_equals_the_plain_steps_and_the_counts_in_spark(spark):
+    rng = np.random.default_rng(6)
+    y = rng.random(300) < 0.3
+    votes = np.stack([rng.random(300) < np.where(y, r, 0.03) for r in (0.7, 0.5, 0.6)] + [y & (rng.random(300) < 0.5)] * 2, axis=1).astype(float)
+    post = X.label_model(votes, 0.3, rounds=18)
+    assert np.allclose(post, plain_label_model(votes.tolist(), 0.3, 18))
+    # the same as counted patterns, with the last columns as fixed patterns
+    most = 1
+    every = np.concatenate([votes[:, :most], votes[:, most:], np.zeros((300, 0))], axis=1)
+    rows = {}
+    for v in every.astype(int).tolist():
+        key = (tuple(j for j in range(most) if v[j]), sum(x << k for k, x in enumerate(v[most:])))
+        rows[key] = rows.get(key, 0) + 1
+    counted = spark.createDataFrame([(list(a), b, c) for (a, b), c in rows.items()], "voted array<long>, patterns long, n long")
+    model = X.estimate_labels(X.pattern_sums(counted.repartition(3), most), 5, 0.3, rounds=18)
+    assert np.allclose(model.posterior(votes), post)
+
+
+def test_logistic_regression_reaches_the_minimum():
+    rng = np.random.default_rng(7)
+    x = (rng.random((400, 6)) < 0.4).astype(float)
+    y = 1 / (1 + np.exp(-(x @ rng.normal(size=6) * 2 - 0.5)))
+    rows, cols = np.nonzero(x)
+    w, b = X.logistic(rows, cols, 400, 6, y, ridge=1e-3, steps=3000)
+    error = 1 / (1 + np.exp(-(x @ w + b))) - y
+    assert np.abs(x.T @ error / 400 + 1e-3 * w).max() < 3e-3 and abs(error.mean()) < 3e-3
+    weights, shift = np.zeros(6), 0.0  # plain Newton steps
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(x @ weights + shift)))
+        full = np.column_stack([x, np.ones(400)])
+        hess = full.T @ (full * (p * (1 - p))[:, None]) / 400 + np.diag([1e-3] * 6 + [0.0])
+        move = np.linalg.solve(hess, full.T @ (p - y) / 400 + 1e-3 * np.append(weights, 0.0))
+        weights, shift = weights - move[:-1], shift - move[-1]
+    assert np.allclose(w, weights, atol=0.1) and abs(b - shift) < 0.1
+
+
+def test_an_id_in_half_of_all_rows_is_one_labelled_row(spark, docs, toxic_rows):
+    rows = [(i, t) for i, t, _ in toxic_rows]
+    df = docs(*rows, *[(6, "calm words only " + str(k)) for k in range(900)])
+    labels = spark.createDataFrame([(i, y) for i, _, y in toxic_rows], "doc_id long, toxic int")
+    model = X.fit_toxicity(df, labels, F.lit(True), max_labelled=700)
+    scored = {r.doc_id: r.predicted for r in X.score_texts(docs(*rows), model).collect()}
+    assert np.mean([scored[i] == y for i, _, y in toxic_rows]) > 0.9
+
+
+def test_patterns_need_their_texts():
+    texts = ["You are an idiot", "u loser", "SHUT UP now", "f**k", "a ** b", "I hate them", "i hate it", "PIG", "ſhut up", None]
+    for t in texts:
+        assert X.pattern_votes(t) == sum(1 << k for k, p in enumerate(X.PATTERNS) if p.search(t or ""))
+
+
 @pytest.fixture(scope="module")
 def quality_rows():
     rnd = random.Random(9)
