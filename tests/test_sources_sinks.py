@@ -87,6 +87,27 @@ def test_profile_and_fields(spark):
     assert fields[1]["samples"] == ["p", "q"]
 
 
+@pytest.mark.parametrize("head", [1, 3, 500])
+def test_first_distinct_values_of_whole_columns(spark, head):
+    rows = [(i, "same", None if i % 4 else " ", f" v{i // 40} ", i % 2 == 0, 1.5 if i < 190 else 2.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "o long, a string, b string, c string, d boolean, e double").repartition(5)
+    got = G.first_distinct(df, ["a", "b", "c", "d", "e", "o"], ["o"], 3, head=head)
+    assert got == {"a": ["same"], "b": [], "c": ["v0", "v1", "v2"], "d": ["True", "False"], "e": ["1.5", "2.0"], "o": ["0", "1", "2"]}
+    assert G.first_distinct(df.limit(0), ["a"], ["o"], 3) == {"a": []}
+
+
+def test_a_bad_source_is_a_warning_of_field_discovery(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "ID long, V string")
+    gone = lambda: spark.read.parquet(str(tmp_path / "gone"))
+    bad = df.withColumn("V", F.raise_error(F.lit("unreadable cell")))
+    warnings = []
+    out = G.discover_fields([("a", "a", df, ["ID"]), ("b", "b", gone, ["ID"]), ("c", "c", bad, ["ID"])], warnings=warnings)
+    assert [(r.source_file, r.field, r.samples) for r in out.orderBy("position").collect()] == [("a", "ID", ["1"]), ("a", "V", ["x"])]
+    assert len(warnings) == 2 and warnings[0].startswith("b / b") and "unreadable cell" in warnings[1]
+    with pytest.raises(Exception, match="unreadable cell"):
+        G.discover_fields([("c", "c", bad, ["ID"])])
+
+
 def _write(path, text):
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w", encoding="utf-8") as fh:
