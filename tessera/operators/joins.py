@@ -7,7 +7,9 @@ part stays unmatched without any token tricks.
 
 The join itself is a plain ``DataFrame.join`` on the key columns: Catalyst +
 AQE pick broadcast / shuffled-hash / sort-merge at run time from real sizes,
-and AQE splits skewed key partitions.  Duplicate-key policies are aggregates
+and AQE splits skewed key partitions.  It cannot split those of a full outer
+join, so there the keys with many rows go a way of their own (``outer_join``).
+Duplicate-key policies are aggregates
 combined map-side, so a repeated key never sends all its rows to one task.
 """
 
@@ -25,7 +27,7 @@ from tessera.functions.values import is_blank, key_text, text_of
 from tessera.operators.dedupe import keep_one_per_key
 from tessera.functions.unique import Names
 from tessera.operators.ordinals import OrderBy, dense_index, order_key
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, materialise
 
 HOW = {"left": "left", "right": "right", "inner": "inner", "outer": "full_outer", "full_outer": "full_outer"}
 DUPLICATE_POLICIES = ("expand", "reject", "first", "last", "aggregate")
@@ -49,6 +51,8 @@ class JoinSpec:
     fuzzy: bool = False
     fuzzy_threshold: float = 85
     dedupe_sides: str = "related"
+    #: Rows of one key on one side from which a full outer join spreads it over tasks.
+    heavy_rows: int = 1_000_000
 
 
 @dataclass
@@ -162,6 +166,79 @@ def _salted(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return df.withColumn(name, F.when(complete, F.lit(0).cast("long")).otherwise(F.xxhash64(*row)))
 
 
+def _heavy_keys(left: DataFrame, right: DataFrame, mk: Sequence[str], rk: Sequence[str], heavy_rows: int) -> DataFrame | None:
+    """Keys with about ``heavy_rows`` rows or more on a side: ``__hk{i}``, rows of both sides, pieces, and which side is cut.
+
+    Candidates come from a count (of a twentieth of the rows, where keys are
+    that heavy); their rows are then counted in full.  None without such a key.
+    """
+    names = [f"__hk{i}" for i in range(len(mk))]
+    share = 1.0 if heavy_rows <= 20_000 else 0.05
+
+    def keys(df, own):
+        complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in own])
+        return df.filter(complete).select(*[F.col(k).alias(n) for k, n in zip(own, names)])
+
+    def many(df, own):
+        some = keys(df, own) if share == 1.0 else keys(df, own).sample(share, seed=11)
+        return some.groupBy(*names).count().filter(F.col("count") >= heavy_rows * share).select(*names)
+
+    found = materialise(many(left, mk).union(many(right, rk)).distinct(), "heavy-keys")
+    if found.isEmpty():
+        return None
+    out = found
+    for df, own, name in ((left, mk, "__n_main"), (right, rk, "__n_related")):
+        out = out.join(keys(df, own).join(found, names).groupBy(*names).agg(F.count(F.lit(1)).alias(name)), names, "left")
+    n_main, n_related = [F.coalesce(c, F.lit(0)).cast("long") for c in ("__n_main", "__n_related")]
+    pieces = F.greatest(F.lit(1), F.ceil(F.greatest(n_main, n_related) / F.lit(heavy_rows))).cast("long")
+    out = out.select(
+        *names,
+        ((n_main > 0) & (n_related > 0)).alias("__both"),
+        pieces.alias("__pieces"),
+        (n_main >= n_related).alias("__cut_main"),
+    )
+    return materialise(out, "heavy-counts")
+
+
+def outer_join(left: DataFrame, right: DataFrame, mk: Sequence[str], rk: Sequence[str], on: Column, heavy_rows: int) -> DataFrame:
+    """Full outer join on ``on`` (equal keys, by column name), heavy keys apart.
+
+    A heavy key that both sides have leaves no row unmatched, so an inner join
+    does: its larger side is cut by a hash of the row and its task, the other is
+    repeated once for each piece.  A heavy key that one side alone has matches
+    nothing: its rows pass without a join.  All other keys are joined as usual.
+    """
+    heavy = _heavy_keys(left, right, mk, rk, heavy_rows)
+    if heavy is None:
+        return left.join(right, on, "full_outer")
+    names = [f"__hk{i}" for i in range(len(mk))]
+    extra = [*names, "__both", "__pieces", "__cut_main", "__piece"]
+
+    def told(df, own):
+        match = reduce(lambda a, b: a & b, [F.col(k) == F.col(n) for k, n in zip(own, names)])
+        return df.join(heavy, match, "left")
+
+    def pieces(df, cut):
+        row = [F.col(f"`{f.name}`") for f in df.schema.fields if not _holds_map(f.dataType)]
+        one = F.array(F.pmod(F.xxhash64(*row, F.spark_partition_id()), F.col("__pieces")))
+        every = F.sequence(F.lit(0).cast("long"), F.col("__pieces") - 1)
+        both = df.filter("__both").withColumn("__slots", F.when(cut, one).otherwise(every))
+        return both.withColumn("__piece", F.explode("__slots")).drop("__slots")
+
+    main, related = told(left, mk), told(right, rk)
+    cut_main = F.col("__cut_main")
+    usual = main.filter(F.col("__both").isNull()).drop(*extra).join(
+        related.filter(F.col("__both").isNull()).drop(*extra), on, "full_outer"
+    )
+    cut = pieces(main, cut_main).drop(*extra[:-1])
+    other = pieces(related, ~cut_main).drop(*extra[:-1]).withColumnRenamed("__piece", "__piece_related")
+    inner = cut.join(other, on & (F.col("__piece") == F.col("__piece_related")), "inner").drop("__piece", "__piece_related")
+    out = usual.unionByName(inner)
+    for side in (main, related):
+        out = out.unionByName(side.filter(~F.col("__both")).drop(*extra), allowMissingColumns=True)
+    return out
+
+
 def _coalesced(joined: DataFrame, primary_name: str, fallback_name: str) -> Column:
     """F11 over two joined columns; differing types meet as text."""
     tp, tf = joined.schema[primary_name].dataType, joined.schema[fallback_name].dataType
@@ -252,12 +329,15 @@ def key_join(
     conflict = [c for c in overlap if c not in set(left_keys) | set(right_keys)]
     left = left.withColumnsRenamed(to_main).withColumn(_IN_MAIN, F.lit(True))
     right = right.withColumnsRenamed(to_related).withColumn(_IN_RELATED, F.lit(True))
-    cond = reduce(lambda a, b: a & b, [left[m] == right[r] for m, r in zip(mk, rk)])
+    cond = reduce(lambda a, b: a & b, [F.col(m) == F.col(r) for m, r in zip(mk, rk)])
     if how != "inner":
         # rows without a complete key match nothing: a salt keeps them from meeting in one task
         left, right = _salted(left, mk, "__salt_main"), _salted(right, rk, "__salt_related")
-        cond = cond & (left["__salt_main"] == right["__salt_related"])
-    joined = left.join(right, cond, how)
+        cond = cond & (F.col("__salt_main") == F.col("__salt_related"))
+    if how == "full_outer":
+        joined = outer_join(left, right, mk, rk, cond, spec.heavy_rows)
+    else:
+        joined = left.join(right, cond, how)
 
     out_main = [to_main.get(c, c) for c in main_cols]
     out_related = [to_related.get(c, c) for c in related_cols]

@@ -954,6 +954,24 @@ def j2_join_outer_blank_keys(spark, sf):
     return J.key_join(main, rel, J.JoinSpec(["ref"], ["ref"], how="outer")).df
 
 
+@query(
+    "j2_join_outer_hot_key",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, k, o_orderkey, o_custkey, rk FROM ("
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey % 3 = 0 THEN -1 ELSE l_orderkey END AS k "
+    "FROM lineitem) l FULL JOIN (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey < 4 THEN -1 WHEN o_custkey % 4 = 0 THEN -2 "
+    "ELSE o_orderkey END AS rk FROM orders) o ON k = rk",
+)
+def j2_join_outer_hot_key(spark, sf):
+    """A full outer join in which one key holds a third of one side and another key a quarter of the other side alone."""
+    key = F.col("l_orderkey")
+    main = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(key % 3 == 0, F.lit(-1)).otherwise(key).alias("k")
+    )
+    other = F.when(F.col("o_orderkey") < 4, F.lit(-1)).when(F.col("o_custkey") % 4 == 0, F.lit(-2)).otherwise(F.col("o_orderkey"))
+    rel = table(spark, sf, "orders").select("o_orderkey", "o_custkey", other.alias("rk"))
+    return J.key_join(main, rel, J.JoinSpec(["k"], ["rk"], how="outer", heavy_rows=1000)).df
+
+
 @query(
     "j9_dup_both",
     "SELECT o_orderkey, o_custkey, o_orderstatus, c_custkey, c_name FROM ("

@@ -2,6 +2,7 @@ import difflib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import joins as J
 from tessera.operators.fuzzy import fuzzy_key_map, suggest_field_mapping
@@ -181,3 +182,41 @@ def test_incomplete_keys_pass_through_duplicate_policy(frame):
     rows = sorted((r["v"], r["K_main"]) for r in res.df.collect())
     assert rows == [(1, None), (2, None), (3, "a"), (5, None)]
     assert _diag(res)["duplicates"] == 2
+
+
+@pytest.mark.parametrize("how", ["outer"])
+@pytest.mark.parametrize("heavy", [5, 1_000_000])
+def test_heavy_keys_of_a_full_outer_join(spark, how, heavy):
+    """Keys heavy on one side, on both, on one side alone, blank, and composite; no row doubled or lost."""
+    main = [(i, "hot" if i % 3 == 0 else f"k{i % 20}", "x" if i % 2 else "y") for i in range(60)] + [(90 + i, None, "x") for i in range(9)]
+    main += [(200 + i, "mine", "x") for i in range(12)]
+    rel = [(500 + i, "HOT " if i % 4 == 0 else f"K{i % 30}", "x") for i in range(60)] + [(700 + i, "yours", "y") for i in range(15)] + [(800, " ", "x")]
+    a = spark.createDataFrame(main, "a long, k string, s string")
+    b = spark.createDataFrame(rel, "b long, k string, s string")
+    for keys in (["k"], ["k", "s"]):
+        got = J.key_join(a, b, J.JoinSpec(keys, keys, how=how, heavy_rows=heavy))
+        norm = lambda r, ks=keys: tuple((dict(zip("ks", r[1:]))[k] or "").strip().lower() for k in ks)
+        want, met = [], set()
+        for m in main:
+            pairs = [r for r in rel if all(norm(m)) and norm(m) == norm(r)]
+            met |= {r[0] for r in pairs}
+            want += [(m[0], r[0]) for r in pairs] or [(m[0], None)]
+        want += [(None, r[0]) for r in rel if r[0] not in met]
+        assert sorted(((r["a"], r["b"]) for r in got.df.collect()), key=str) == sorted(want, key=str)
+        d = got.diagnostics.first()
+        assert (d.main_only, d.related_only) == (sum(w[1] is None for w in want), sum(w[0] is None for w in want))
+
+
+def test_a_heavy_key_is_spread_over_tasks(spark):
+    a = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id").repartition(16)
+    b = spark.range(9000, 18000).select(F.when(F.col("id") == 9000, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("b"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("false", "-1", "64")):
+        spark.conf.set(k, v)
+    try:
+        joined = J.key_join(a, b, J.JoinSpec(["k"], ["k"], how="outer", heavy_rows=100)).df
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 17999 and sizes[-1] < 3 * sizes[len(sizes) // 2] + 300
