@@ -1,4 +1,6 @@
+import csv
 import os
+import random
 import tempfile
 
 import pytest
@@ -87,6 +89,66 @@ def test_profile_and_fields(spark):
     assert fields[1]["samples"] == ["p", "q"]
 
 
+def _whole_csv(path, sep=","):
+    with open(path, encoding="utf-8-sig", newline="") as fh:
+        return [[None if c == "" else c for c in r] for r in csv.reader(fh, delimiter=sep)]
+
+
+def test_quotes_over_many_splits_equal_a_reader_of_the_whole_file(spark, tmp_path):
+    rnd = random.Random(3)
+    field = lambda: "".join(rnd.choice(["a", "bc", "é", " ", ",", "\n", "\r\n", "\r", '"', "x" * 40]) for _ in range(rnd.randint(0, 5)))
+
+    def written(f):
+        plain = not set(f) & set(',"\r\n')
+        return f if plain and rnd.random() < 0.7 else '"' + f.replace('"', '""') + '"' + rnd.choice(["", "", "tail"])
+
+    os.makedirs(tmp_path / "d")
+    for k, end in enumerate(["\n", "\r\n", "\n"]):
+        lines = [",".join(written(field()) for _ in range(rnd.randint(0, 4))) + end for _ in range(150)]
+        lines[7] = 'in"side,"x"y",z"' + end  # quotes that open nothing, and a tail after a closing one
+        lines[20] = '"' + "long line\n" * 60 + '",end' + end  # over many splits
+        with open(tmp_path / "d" / f"f{k}.csv", "w", encoding="utf-8", newline="") as fh:
+            fh.write(("\ufeff" if k == 1 else "") + ('"first\nfield",1' + end if k == 1 else "") + "".join(lines))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size in ("97", "500", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            grid = S.delimited_grid(spark, str(tmp_path / "d"), multi_line=True)
+            got = {}
+            for r in grid.orderBy("source_file", "row_no").collect():
+                got.setdefault(os.path.basename(r.source_file), []).append((r.row_no, [c and c["text"] for c in r.cells]))
+            tasks = grid.select(F.spark_partition_id()).distinct().count()
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+        for name, rows in got.items():
+            assert rows == list(enumerate(_whole_csv(tmp_path / "d" / name), 1))
+        assert set(got) == {"f0.csv", "f1.csv", "f2.csv"} and (size == "128m" or tasks > 5)
+
+
+def test_state_of_quotes_line_by_line():
+    for line, from_out, from_in in [
+        ("a,b\n", False, True), ('"a\n', True, False), ('a,"b\n', True, False), ('a",b\n', False, False), ('""\n', False, True),
+        ('"a""b\n', True, False), ('x"y\n', False, False), ('"a"b,"c\n', True, True), ('a"\n', False, False), ('",\n', True, False),
+    ]:
+        assert (S.quoted_after(line, ",", False), S.quoted_after(line, ",", True)) == (from_out, from_in), line
+
+
+def test_inventory_reads_to_the_end(spark, tmp_path):
+    with open(tmp_path / "late.csv", "wb") as fh:
+        fh.write(b"a,b\n" * 60_000 + b"\xff\xfe\n")
+    with open(tmp_path / "nulls.csv", "wb") as fh:
+        fh.write(b"a,b\n" * 60_000 + b"\0\n")
+    with open(tmp_path / "cut.csv", "wb") as fh:
+        fh.write("a,é".encode()[:-1])
+    with open(tmp_path / "good.csv", "wb") as fh:
+        fh.write(b"a,b\n" * 60_000)
+    files = S.collect_input_files(spark, [str(tmp_path)])
+    assert {r.name: r.status for r in S.inventory(spark, files).collect()} == {"late.csv": "error", "nulls.csv": "error", "cut.csv": "error", "good.csv": "ready"}
+    assert {r.name: r.status for r in S.inventory(spark, files, probe_bytes=2).collect()} == dict.fromkeys(["late.csv", "nulls.csv", "cut.csv", "good.csv"], "probed")
+
+
 @pytest.mark.parametrize("head", [1, 3, 500])
 def test_first_distinct_values_of_whole_columns(spark, head):
     rows = [(i, "same", None if i % 4 else " ", f" v{i // 40} ", i % 2 == 0, 1.5 if i < 190 else 2.0) for i in range(200)]
