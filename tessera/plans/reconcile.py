@@ -11,10 +11,13 @@ import json
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 EXCLUDED = "_excluded"
+#: The reasons for which the operators and sinks leave rows out.
+REASONS = ("blank", "out_of_scope", "skipped_existing")
 
 
 def reconcile_flagged(flagged: DataFrame) -> DataFrame:
@@ -31,16 +34,38 @@ def reconcile_flagged(flagged: DataFrame) -> DataFrame:
     ).withColumn("balanced", F.col("input_rows") == F.col("output_rows") + F.col("excluded_rows"))
 
 
+def _counters() -> list:
+    why = F.col(EXCLUDED)
+    return [
+        *[F.count(F.when(why == reason, 1)).alias(f"excluded_{reason}") for reason in REASONS],
+        F.count(F.when(why.isNotNull() & ~why.isin(*REASONS), 1)).alias("excluded_other"),
+        F.count(F.lit(1)).alias("input_rows"),
+        F.count(F.when(why.isNull(), 1)).alias("output_rows"),
+        F.count(F.when(why.isNotNull(), 1)).alias("excluded_rows"),
+    ]
+
+
 def observe_flagged(flagged: DataFrame, name: str = "reconciliation") -> tuple[DataFrame, Observation]:
-    """Attach the reconciliation counts to a plan; read them after its action."""
+    """Attach the reconciliation counts to a plan, one counter a reason among them; read them after its action."""
     obs = Observation(name)
-    observed = flagged.observe(
-        obs,
-        F.count(F.lit(1)).alias("input_rows"),
-        F.count(F.when(F.col(EXCLUDED).isNull(), 1)).alias("output_rows"),
-        F.count(F.when(F.col(EXCLUDED).isNotNull(), 1)).alias("excluded_rows"),
-    )
-    return observed, obs
+    return flagged.observe(obs, *_counters()), obs
+
+
+def observed_counts(obs: Observation, flagged: DataFrame) -> dict[str, int]:
+    """The counts of a finished action.
+
+    Where adaptive execution finds that no row is left to write, it drops the
+    plan and its counters with it; the rows are then counted by themselves.
+    """
+    try:
+        return {k: int(n) for k, n in obs.get.items()}
+    except Py4JJavaError:
+        return {k: int(n) for k, n in flagged.agg(*_counters()).first().asDict().items()}
+
+
+def excluded_by(counts: dict) -> dict[str, int]:
+    """The reasons of observed counts that left rows out, with their rows."""
+    return {k: int(n) for k, n in counts.items() if k.startswith("excluded_") and k != "excluded_rows" and n}
 
 
 @dataclass

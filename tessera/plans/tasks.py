@@ -9,6 +9,7 @@ the row reconciliation observed during the write, and returns a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -27,7 +28,7 @@ from tessera.operators import split as X
 from tessera.operators import stack as U
 from tessera.operators.cleaning import CleaningOptions, clean, rename_fields
 from tessera.operators.ordinals import with_source_ordinal
-from tessera.plans.reconcile import RunReport, append_report, reconcile_rows
+from tessera.plans.reconcile import RunReport, append_report, excluded_by, reconcile_rows
 from tessera.sinks.writer import MAX_OUTPUT_COLUMNS, MAX_OUTPUT_ROWS, check_output_size, output_names, write_named, write_split
 from tessera.sources.files import delimited_grid
 from tessera.sources.grid import TableStructure, read_grid_table
@@ -68,8 +69,12 @@ class OutputSpec:
     existing: str = "rename"
     max_rows_per_file: int | None = None
     name: str = "result"
-    #: Refuse outputs that no spreadsheet could hold.
-    spreadsheet_limits: bool = False
+    #: Refuse outputs that no spreadsheet could hold; by default those of text formats, which one may open.
+    spreadsheet_limits: bool | None = None
+
+    @property
+    def limited(self) -> bool:
+        return self.format in ("csv", "tsv") if self.spreadsheet_limits is None else self.spreadsheet_limits
 
 
 @dataclass
@@ -187,6 +192,7 @@ def run_split(spark: SparkSession, task: SplitTask) -> RunReport:
     """
     started, errors, outputs, warnings = datetime.now(), [], [], []
     totals = dict.fromkeys(("input_rows", "output_rows", "excluded_rows"), 0)
+    reasons: dict[str, int] = {}
     jobs = []
     for item in load_sources(spark, task.sources, errors):
         try:
@@ -209,7 +215,7 @@ def run_split(spark: SparkSession, task: SplitTask) -> RunReport:
                 split = _split_one(task, members[0][1], members[0][0].order)
             manifest = output_names(split.manifest, task.naming_template, {"original_name": name})
             flagged = _drop_ordinal(split.flagged)
-            if task.output.spreadsheet_limits:
+            if task.output.limited:
                 check_output_size(manifest, len(flagged.columns) - 2, MAX_OUTPUT_ROWS, MAX_OUTPUT_COLUMNS)
             target = f"{task.output.directory}/{name}_{task.output.name}"
             if task.output.separate:
@@ -227,15 +233,18 @@ def run_split(spark: SparkSession, task: SplitTask) -> RunReport:
             counts = res.counts
             if counts is None:  # one combined output that exists: every row stays out
                 n = flagged.count()
-                counts = {"input_rows": n, "output_rows": 0, "excluded_rows": n}
+                counts = {"input_rows": n, "output_rows": 0, "excluded_rows": n, "excluded_skipped_existing": n}
             if counts["excluded_rows"] and res.warning:
                 warnings.append(f"{counts['excluded_rows']} rows of {path} excluded: skipped_existing")
             if raw is not None:  # rows that cleaning took out
+                cleaned = raw - counts["input_rows"]
                 counts = counts | {
-                    "input_rows": raw, "excluded_rows": counts["excluded_rows"] + raw - counts["input_rows"]
+                    "input_rows": raw, "excluded_rows": counts["excluded_rows"] + cleaned, "excluded_cleaning": cleaned
                 }
             for key in totals:
                 totals[key] += counts[key]
+            for key, n in excluded_by(counts).items():
+                reasons[key] = reasons.get(key, 0) + n
             if res.written:
                 outputs.append(res.path)
                 # K8: the manifest (groups, sizes, output names) next to the data
@@ -246,7 +255,7 @@ def run_split(spark: SparkSession, task: SplitTask) -> RunReport:
     rec = reconcile_rows(*totals.values())
     if rec.warning():
         warnings.append(rec.warning())
-    report = RunReport("split", started, datetime.now(), outputs, warnings, errors, dict(task.field_mapping), rec)
+    report = RunReport("split", started, datetime.now(), outputs, warnings, errors, dict(task.field_mapping), rec, reasons)
     if task.report_path:
         append_report(spark, report, task.report_path)
     return report
@@ -299,8 +308,12 @@ class MergeTask:
 
 
 def run_merge(spark: SparkSession, task: MergeTask) -> RunReport:
-    """U1-U8, D1-D2, A1-A7 as one run: the merged dataset is written once with
-    a label column naming each output table.
+    """U1-U8, D1-D2, A1-A7 as one run.
+
+    ``stack`` and ``aggregate`` write one dataset.  ``same_name`` and ``catalog``
+    write every table under its own name (``output_name=...`` folders) with its
+    own columns and types: sources of one schema are scanned together and written
+    by one job, so the plans grow with the schemas, not with the files.
 
     Rows are counted where they pass: read from each source, stacked, left by
     the dedupe, written.  What the dedupe or the aggregation removes, or a name
@@ -321,7 +334,147 @@ def _counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def _scan_key(item: Loaded) -> tuple:
+    """Sources with equal keys can be scanned as one."""
+    if item.spec.format.lower() != "parquet" or item.spec.order_by:
+        return (id(item),)
+    return ("parquet", item.df.schema.json(), tuple(sorted(dict(item.spec.options).items())))
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as ``_metadata.file_path`` writes it (local ones with one slash)."""
+    given = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = given.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub("^file:/+", "file:/", store.makeQualified(given).toUri().toString()).rstrip("/")
+
+
+def scan_together(spark: SparkSession, items: Sequence[tuple[str, Loaded]], label: str) -> DataFrame:
+    """The rows of sources with one schema, each with its ``label``: one scan over all their paths.
+
+    A row finds its source by its file, or by the nearest folder above it that is
+    a source; a source that is listed under two names gives its rows to both.
+    """
+    first = items[0][1]
+    if len(items) == 1:
+        return first.df.withColumn(label, F.lit(items[0][0]))
+    places = [(_qualified(spark, item.spec.path), name) for name, item in items]
+    known = spark.createDataFrame(places, "_place string, _name string").groupBy("_place").agg(F.collect_list("_name").alias("_names"))
+    deepest = max(path.count("/") for path, _ in places)
+    least = min(path.count("/") for path, _ in places)
+    paths = list(dict.fromkeys(item.spec.path for _, item in items))
+    df = spark.read.options(**dict(first.spec.options)).schema(first.df.drop(ORDINAL).schema).parquet(*paths)
+    df = with_source_ordinal(df, ORDINAL)
+    file = F.regexp_replace(F.col(f"{ORDINAL}.file"), "^file:/+", "file:/")
+    levels = [F.substring_index(file, "/", n + 1) for n in range(deepest, least - 1, -1)]
+    # one row a source
+    found = F.broadcast(known.agg(F.map_from_entries(F.collect_list(F.struct("_place", "_names"))).alias("_sources")))
+    df = df.crossJoin(found)  # with one row
+    named = F.coalesce(*[F.element_at("_sources", level) for level in levels])
+    return df.withColumn(label, F.explode(named)).drop("_sources")
+
+
+def _write_tables(
+    spark: SparkSession, output: OutputSpec, groups: Sequence[tuple[Sequence[str], DataFrame]]
+) -> tuple[str, dict, list[str], list[dict], bool]:
+    """Write tables under their names, each group of them (one schema, rows with ``split_label``) by one job.
+
+    Returns the folder, the summed counts, warnings, rows by table and whether anything was written.
+    """
+    target = f"{output.directory}/{output.name}"
+    total: dict[str, int] = {}
+    warnings, manifest, written, part = [], [], False, 0
+    plans = []
+    for names, df in groups:
+        rows = {r["split_label"]: r["count"] for r in df.groupBy("split_label").count().collect()}  # one row a table
+        listed = []
+        for name in names:
+            part += 1
+            listed.append((name, part, rows.get(name, 0)))
+        listed = spark.createDataFrame(listed, "split_label string, part_no long, row_count long")
+        if output.limited:
+            check_output_size(listed, len(df.columns) - 1, MAX_OUTPUT_ROWS, MAX_OUTPUT_COLUMNS)
+        plans.append((listed, df))
+    for listed, df in plans:
+        named = listed.withColumn("output_name", F.col("split_label"))
+        flagged = df.withColumn("_excluded", F.lit(None).cast("string"))
+        res, done = write_named(
+            flagged, named, target, output.format, existing=output.existing, max_rows_per_file=output.max_rows_per_file,
+            keep_label=False,
+        )
+        written = written or res.written
+        if res.warning and res.warning not in warnings:
+            warnings.append(res.warning)
+        for key, n in res.counts.items():
+            total[key] = total.get(key, 0) + n
+        manifest += [r.asDict() for r in done.select("split_label", "part_no", "row_count", "output_name", "_skipped").collect()]
+    return target, total, warnings, manifest, written
+
+
+def _merge_tables(spark: SparkSession, task: MergeTask, loaded: list[Loaded], started, errors: list[str]) -> RunReport:
+    """Every table an output of its own schema."""
+    sources = [U.Source(item.spec.path, item.spec.name, item.df) for item in loaded]
+    at = {id(s): k for k, s in enumerate(sources)}
+    excluded: dict[str, int] = {}
+    groups: list[tuple[list[str], DataFrame]] = []
+    if task.mode == "catalog":
+        targets = U.catalog_targets(sources, task.conflict)
+        used = [at[id(s)] for _, s in targets]
+        by_schema: dict[tuple, list[tuple[str, Loaded]]] = {}
+        for name, source in targets:
+            item = loaded[at[id(source)]]
+            by_schema.setdefault(_scan_key(item), []).append((name, item))
+        for members in by_schema.values():
+            groups.append(([n for n, _ in members], _drop_ordinal(scan_together(spark, members, "split_label"))))
+        counted = None
+    else:
+        wanted = task.target_table.casefold() if task.target_table else None
+        used = [k for k, s in enumerate(sources) if wanted in (None, s.table.casefold())]
+        before: list[Observation] = []
+
+        def dedupe(df):
+            df, seen = _counted(df, f"stacked_{len(before)}")
+            before.append(seen)
+            if task.dedupe_mode == D.ALL:
+                return D.dedupe(_drop_ordinal(df), D.ALL)
+            order = [ORDINAL] if ORDINAL in df.columns else None
+            return D.dedupe(df, task.dedupe_mode, task.dedupe_fields, task.dedupe_keep, order)
+
+        tables = U.consolidate_same_name(
+            sources, task.strategy, task.target_table, None if task.dedupe_mode == D.NONE else dedupe,
+            task.add_source_file, task.add_source_sheet,
+        )
+        groups = [([name], _drop_ordinal(df).withColumn("split_label", F.lit(name))) for name, df in tables]
+        counted = before
+    target, counts, warnings, manifest, written = _write_tables(spark, task.output, groups)
+    rows_of = [item.df.count() for item in loaded]  # footers only
+    total = sum(rows_of)
+    left_out = sum(n for k, n in enumerate(rows_of) if k not in set(used))
+    if left_out:
+        excluded["table_left_out"] = left_out
+    stacked = total - left_out if task.mode != "catalog" else None
+    if stacked is not None and counted and stacked > counts.get("input_rows", 0):
+        excluded["duplicate"] = stacked - counts["input_rows"]
+    excluded |= {k.removeprefix("excluded_"): n for k, n in excluded_by(counts).items()}
+    rec = reconcile_rows(total, counts.get("output_rows", 0), sum(excluded.values()))
+    if written:
+        # K8: rows per source and the outputs next to the data
+        spark.createDataFrame(
+            [(s.file, s.table, n) for s, n in zip(sources, rows_of)], "source_file string, source_table string, rows long"
+        ).write.mode("overwrite").parquet(f"{target}_sources")
+        kept = [(r["split_label"], r["part_no"], r["row_count"], r["output_name"]) for r in manifest if not r["_skipped"]]
+        spark.createDataFrame(kept, "split_label string, part_no long, row_count long, output_name string").write.mode(
+            "overwrite"
+        ).parquet(f"{target}_manifest")
+    warnings += [w for w in [rec.warning()] if w]
+    return RunReport(
+        "merge", started, datetime.now(), [target] if written else [], warnings, errors, {}, rec,
+        {f"excluded_{reason}": n for reason, n in excluded.items()},
+    )
+
+
 def _merge(spark: SparkSession, task: MergeTask, loaded: list[Loaded], started, errors: list[str]) -> RunReport:
+    if task.mode in ("catalog", "same_name"):
+        return _merge_tables(spark, task, loaded, started, errors)
     sources, reads = [], []
     for item in loaded:
         df, seen = _counted(item.df, f"input_{len(reads)}")
@@ -343,37 +496,19 @@ def _merge(spark: SparkSession, task: MergeTask, loaded: list[Loaded], started,
         single.append(seen)
         return df
 
-    used = list(range(len(sources)))
-    if task.mode == "catalog":
-        targets = U.catalog_targets(sources, task.conflict)
-        used = [k for k, s in enumerate(sources) if any(s is kept for _, kept in targets)]
-        merged = U.stack([s.df.withColumn("split_label", F.lit(name)) for name, s in targets], U.ALIGN)
-    elif task.mode == "same_name":
-        wanted = task.target_table.casefold() if task.target_table else None
-        used = [k for k, s in enumerate(sources) if wanted in (None, s.table.casefold())]
-        groups = U.consolidate_same_name(
-            sources, task.strategy, task.target_table, dedupe, task.add_source_file, task.add_source_sheet
-        )
-        merged = U.combine_named(groups)
-    else:
-        merged = dedupe(U.stack_sources(sources, task.strategy, task.add_source_file, task.add_source_sheet))
-        if task.mode == "aggregate":
-            merged = A.aggregate(merged, task.group_fields, task.value_fields, task.method)
-        merged = merged.withColumn("split_label", F.lit(task.output.name))
-    merged = _drop_ordinal(merged)
-    flagged = merged.withColumn("_excluded", F.lit(None).cast("string"))
+    merged = dedupe(U.stack_sources(sources, task.strategy, task.add_source_file, task.add_source_sheet))
+    if task.mode == "aggregate":
+        merged = A.aggregate(merged, task.group_fields, task.value_fields, task.method)
+    flagged = _drop_ordinal(merged).withColumns({"split_label": F.lit(task.output.name), "_excluded": F.lit(None).cast("string")})
+    if task.output.limited:
+        _check_whole(flagged, task.output.name)
     res = write_split(flagged, f"{task.output.directory}/{task.output.name}", task.output.format, task.output.separate, existing=task.output.existing)
     excluded: dict[str, int] = {}
     if res.written:
-        # rows were counted during the write; only a source that a conflict left out is counted by itself
-        rows_of = [
-            int(seen.get.get("rows", 0)) if k in used else loaded[k].df.count() for k, seen in enumerate(reads)
-        ]
+        # rows were counted during the write
+        rows_of = [int(seen.get.get("rows", 0)) for seen in reads]
         per_source = [(s.file, s.table, n) for s, n in zip(sources, rows_of)]
-        left_out = sum(n for k, n in enumerate(rows_of) if k not in used)
         rows_in = [sum(int(o.get.get("rows", 0)) for o in seen) for seen in (stacked, single)]
-        if left_out:
-            excluded["table_left_out"] = left_out
         if stacked and rows_in[0] > rows_in[1]:
             excluded["duplicate"] = rows_in[0] - rows_in[1]
         if task.mode == "aggregate":
@@ -394,6 +529,12 @@ def _merge(spark: SparkSession, task: MergeTask, loaded: list[Loaded], started,
     )
 
 
+def _check_whole(flagged: DataFrame, name: str) -> None:
+    """K7 for a run with one output."""
+    one = flagged.agg(F.count(F.lit(1)).alias("row_count")).withColumn("split_label", F.lit(name))
+    check_output_size(one, len(flagged.columns) - 2, MAX_OUTPUT_ROWS, MAX_OUTPUT_COLUMNS)
+
+
 @dataclass
 class JoinTask:
     sources: Sequence[SourceSpec]
@@ -442,6 +583,8 @@ def _join(spark: SparkSession, task: JoinTask, loaded: list[Loaded], started, er
         result, steps = J.chain_join_steps(frames, task.spec, orders)
         result = result.drop(*[c for c in result.columns if c.startswith(ORDINAL)])
     flagged = result.withColumn("split_label", F.lit(task.output.name)).withColumn("_excluded", F.lit(None).cast("string"))
+    if task.output.limited:
+        _check_whole(flagged, task.output.name)
     res = write_split(flagged, f"{task.output.directory}/{task.output.name}", task.output.format, False, existing=task.output.existing)
     rec, details = None, {}
     if res.written:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.naming import number_collisions, render_template
 from tessera.functions.values import casefold
-from tessera.plans.reconcile import EXCLUDED, observe_flagged
+from tessera.plans.reconcile import EXCLUDED, observe_flagged, observed_counts
 
 # Largest table a spreadsheet output can hold.
 MAX_OUTPUT_ROWS = 1_048_576
@@ -122,7 +122,7 @@ def write_split(
         writer.parquet(path)
     else:
         raise ValueError(f"Unknown output format: {fmt}")
-    return WriteResult(path, True, dict(obs.get))
+    return WriteResult(path, True, observed_counts(obs, flagged))
 
 
 def _written_names(spark: SparkSession, path: str) -> list[str]:
@@ -143,8 +143,9 @@ def write_named(
     label: str = "split_label",
     existing: str = "rename",
     max_rows_per_file: int | None = None,
+    keep_label: bool = True,
 ) -> tuple[WriteResult, DataFrame]:
-    """K1, K5, K8: every group under its own output name, the label kept as a column.
+    """K1, K5, K8: every group under its own output name, the label kept as a column unless told otherwise.
 
     ``names`` is the manifest with ``output_name``.  Group by group: an output
     that exists gets a new name (``rename``), is replaced (``overwrite``) or is
@@ -171,7 +172,8 @@ def write_named(
     warning = f"Outputs that exist were skipped in {path}" if existing == "skip" and there else None
     if there and names.filter("not _skipped").isEmpty():
         n = flagged.count()
-        return WriteResult(path, False, {"input_rows": n, "output_rows": 0, "excluded_rows": n}, warning), names
+        counts = {"input_rows": n, "output_rows": 0, "excluded_rows": n, "excluded_skipped_existing": n}
+        return WriteResult(path, False, counts, warning), names
     # groups with the same label text share one output
     target = names.groupBy(label).agg(F.min_by(F.struct(OUTPUT, "_skipped"), "part_no").alias("_to"))
     rows = flagged.join(target.withColumnRenamed(label, "_label"), F.col(label) == F.col("_label"), "left").drop("_label")
@@ -179,6 +181,8 @@ def write_named(
     rows = rows.withColumn(EXCLUDED, reason).withColumn(OUTPUT, F.col(f"_to.{OUTPUT}")).drop("_to")
     observed, obs = observe_flagged(rows)
     kept = observed.filter(F.col(EXCLUDED).isNull()).drop(EXCLUDED)
+    if not keep_label:
+        kept = kept.drop(label)
     if fmt == "csv":
         kept = json_nested(kept)
     writer = kept.hint("rebalance", OUTPUT).write.partitionBy(OUTPUT)
@@ -191,7 +195,7 @@ def write_named(
     if fmt == "csv":
         writer = writer.option("header", "true")
     writer.format(fmt).save(path)
-    return WriteResult(path, True, dict(obs.get), warning), names
+    return WriteResult(path, True, observed_counts(obs, rows), warning), names
 
 
 def output_names(

@@ -208,3 +208,76 @@ def test_chained_join_reports_every_step(spark, frame):
     assert {k: v for k, v in rep.details.items() if v} == {
         "step1_matched": 1, "step1_main_only": 1, "step2_matched": 1, "step2_main_only": 1
     }
+
+
+def test_catalog_runs_keep_each_tables_own_schema(spark, frame, monkeypatch):
+    out = _out()
+    frame([(1, "x"), (2, "y")], "id long, v string").write.parquet(f"{out}/a.parquet")
+    frame([(3, "z")], "id long, v string").coalesce(1).write.parquet(f"{out}/b.parquet")
+    frame([("k", 1.5)], "id string, w double").write.parquet(f"{out}/c.parquet")
+    frame([], "id long, v string").write.parquet(f"{out}/e.parquet")
+    specs = [T.SourceSpec(f"{out}/{n}.parquet") for n in "abce"] + [T.SourceSpec(f"{out}/a.parquet", table="again")]
+    spec = lambda how="rename": T.MergeTask(specs, T.OutputSpec(out, name="all", existing=how), mode="catalog")
+    rep = T.run_merge(spark, spec())
+    assert rep.reconciliation.balanced and rep.reconciliation.output_rows == 6 and not rep.errors
+    read = lambda name: spark.read.parquet(f"{rep.outputs[0]}/output_name={name}")
+    assert read("a_a").dtypes == [("id", "bigint"), ("v", "string")] and read("c_c").dtypes == [("id", "string"), ("w", "double")]
+    assert sorted(r.id for r in read("a_a").collect()) == [1, 2] == sorted(r.id for r in read("a_again").collect())
+    assert [r.id for r in read("b_b").collect()] == [3] and [tuple(r) for r in read("c_c").collect()] == [("k", 1.5)]
+    listed = {r.output_name: r.row_count for r in spark.read.parquet(f"{rep.outputs[0]}_manifest").collect()}
+    assert listed == {"a_a": 2, "b_b": 1, "c_c": 1, "e_e": 0, "a_again": 2}
+    # output by output: what exists stays, the rest is written
+    specs.append(T.SourceSpec(f"{out}/c.parquet", table="new"))
+    again = T.run_merge(spark, spec("skip"))
+    assert again.reconciliation.output_rows == 1 and again.details["excluded_skipped_existing"] == 6 and again.reconciliation.balanced
+    assert [r.w for r in read("c_new").collect()] == [1.5]
+    T.run_merge(spark, spec("overwrite"))
+    assert read("a_a").count() == 2 and read("c_new").count() == 1
+    # one scan a schema, however many files
+    items = [("n" + str(k), i) for k, i in enumerate(T.load_sources(spark, [T.SourceSpec(f"{out}/{n}.parquet") for n in "abe"] * 20, []))]
+    plan = T.scan_together(spark, items, "l")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and len({T._scan_key(i) for _, i in items}) == 1
+    monkeypatch.setattr(T, "MAX_OUTPUT_ROWS", 1)
+    limited = T.MergeTask(specs, T.OutputSpec(out, format="csv", name="big"), mode="catalog")
+    try:
+        T.run_merge(spark, limited)
+        raise AssertionError("the size is not checked")
+    except ValueError as error:
+        assert "limit is 1" in str(error) and not os.path.exists(f"{out}/big")
+
+
+def test_same_name_runs_write_each_group_with_its_own_schema(spark, frame):
+    out = _out()
+    for folder, rows, kind in (("p", [(1, "x"), (1, "x")], "id long, v string"), ("q", [(2.5, "y")], "id double, v string")):
+        frame(rows, kind).write.parquet(f"{out}/{folder}/T.parquet")
+    frame([("only",)], "u string").write.parquet(f"{out}/U.parquet")
+    specs = [T.SourceSpec(f"{out}/p/T.parquet"), T.SourceSpec(f"{out}/q/T.parquet"), T.SourceSpec(f"{out}/U.parquet")]
+    plain = dict(add_source_file=False, add_source_sheet=False)
+    rep = T.run_merge(spark, T.MergeTask(specs, T.OutputSpec(out, name="m"), mode="same_name", dedupe_mode="all", **plain))
+    read = lambda name: spark.read.parquet(f"{rep.outputs[0]}/output_name={name}")
+    assert read("T_Combined").dtypes == [("id", "double"), ("v", "string")] and read("U_Combined").columns == ["u"]
+    assert sorted(tuple(r) for r in read("T_Combined").collect()) == [(1.0, "x"), (2.5, "y")]
+    assert rep.details == {"excluded_duplicate": 1} and rep.reconciliation.balanced
+    one = T.run_merge(spark, T.MergeTask(specs, T.OutputSpec(out, name="t"), mode="same_name", target_table="t", **plain))
+    assert one.details == {"excluded_table_left_out": 1} and one.reconciliation.output_rows == 3
+
+
+def test_split_reports_say_why_rows_are_left_out(spark, frame):
+    from tessera.plans.reconcile import reconcile_flagged
+
+    out = _out()
+    src = f"{out}/h.parquet"
+    rows = [("A", "x"), ("A", " "), ("B", "x"), ("B", None), ("A", "y"), (None, None)]
+    frame(rows, "p string, c string").write.parquet(src)
+    blank = T.run_split(spark, T.SplitTask([T.SourceSpec(src)], T.OutputSpec(out), fields=["c"], blank_policy="skip"))
+    assert blank.details == {"excluded_blank": 3} and blank.reconciliation.balanced
+    task = T.SplitTask(
+        [T.SourceSpec(src)], T.OutputSpec(out), mode="hierarchy", hierarchy_fields=["p", "c"], hierarchy_filters={"p": "a"}, blank_policy="skip",
+    )
+    scoped = T.run_split(spark, task)
+    df = spark.read.parquet(src).withColumn("o", F.monotonically_increasing_id())
+    flagged = T.H.split_by_hierarchy(df, ["p", "c"], {"p": "a"}, "c", ["o"], "EMPTY", "skip").flagged
+    want = reconcile_flagged(flagged).first().excluded_by
+    assert {k.removeprefix("excluded_"): n for k, n in scoped.details.items()} == want and len(want) == 2
+    cleaned = T.SplitTask([T.SourceSpec(src)], T.OutputSpec(out, name="c"), fields=["p"], cleaning=T.CleaningOptions(drop_empty_rows=True))
+    assert T.run_split(spark, cleaned).details == {"excluded_cleaning": 1}
