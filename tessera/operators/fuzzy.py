@@ -16,9 +16,12 @@ the answer equals the full search:
    side uses a lower bound of ``t`` valid for every partner length the length
    band allows, so candidates are pairs that share a prefix token: an
    equi-join on the token instead of all pairs;
-3. candidate pairs outside the length band (``M <= min(|a|, |b|)``) are
-   dropped, and the vectorised scorer checks the two quick upper bounds
-   before the full match;
+3. the places of the first shared token bound the overlap: behind place ``i`` of
+   one and ``j`` of the other at most ``1 + min(|a| - i, |b| - j)`` tokens are
+   shared.  Pairs that no shared token lets reach ``t``, or whose lengths lie
+   outside the band (``M <= min(|a|, |b|)``), are dropped in the join, before
+   anything is shuffled or made distinct; the vectorised scorer checks the two
+   quick upper bounds before the full match;
 4. ``max_by(main, struct(score, -first_rank))`` picks the winner per key.
 """
 
@@ -29,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.values import normalize_field_name, similarity
+from tessera.functions.values import normalize_field_name, normalized_name, similarity
 from tessera.operators.ordinals import dense_index
 
 _EPS = 1e-9
@@ -52,17 +55,19 @@ def _tokens(strings: DataFrame, col: str) -> DataFrame:
     """(string, token): each character numbered by its occurrence, so the
     multiset overlap of two strings is the size of their token intersection."""
     chars = F.split(F.col(col), "")
+    # one pass over the text for each different character in it
     numbered = F.transform(
-        chars,
-        lambda x, i: F.concat(
-            x, F.lit(_TOKEN_SEP), F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)).cast("string")
+        F.array_distinct(chars),
+        lambda x: F.transform(
+            F.sequence(F.lit(1), F.size(F.filter(chars, lambda y: y == x))),
+            lambda k: F.concat(x, F.lit(_TOKEN_SEP), k.cast("string")),
         ),
     )
-    return strings.select(col, F.explode(numbered).alias("tok"))
+    return strings.select(col, F.explode(F.flatten(numbered)).alias("tok"))
 
 
 def _prefix_tokens(strings: DataFrame, col: str, ranks: DataFrame, tau: float) -> DataFrame:
-    """(string, token) for the rarest ``|s| - t + 1`` tokens of each string."""
+    """(string, token, its place from 1) for the rarest ``|s| - t + 1`` tokens of each string."""
     low = _floor_tau(tau)
     n = F.length(F.col(col))
     lo, _hi = _band(n, tau)
@@ -70,7 +75,24 @@ def _prefix_tokens(strings: DataFrame, col: str, ranks: DataFrame, tau: float) -
     ranked = _tokens(strings, col).join(ranks, "tok")
     per_string = ranked.groupBy(col).agg(F.array_sort(F.collect_list(F.struct("freq", "tok"))).alias("_toks"))
     prefix = F.slice(F.col("_toks"), 1, F.greatest(F.lit(1), n - need + 1))
-    return per_string.select(col, F.explode(prefix).alias("_t")).select(col, F.col("_t.tok").alias("tok"))
+    return per_string.select(col, F.posexplode(prefix).alias("_at", "_t")).select(
+        col, F.col("_t.tok").alias("tok"), (F.col("_at") + 1).alias(f"{col}_at")
+    )
+
+
+def candidate_pairs(qs: DataFrame, cs: DataFrame, tau: float) -> DataFrame:
+    """(q, c): the pairs of distinct strings that may reach ``tau``; every pair that does is among them."""
+    # token frequency over both sides: the global order is rarest first
+    ranks = (
+        _tokens(qs, "q").select("tok").unionByName(_tokens(cs, "c").select("tok"))
+        .groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
+    )
+    m, n = F.length("q"), F.length("c")
+    lo, hi = _band(m, tau)
+    need = F.ceil(F.lit(_floor_tau(tau)) * (m + n) / 2 - F.lit(_EPS))
+    reach = F.least(m - F.col("q_at"), n - F.col("c_at")) + 1
+    shared = _prefix_tokens(qs, "q", ranks, tau).join(_prefix_tokens(cs, "c", ranks, tau), "tok")
+    return shared.filter(n.between(lo, hi) & (reach >= need)).select("q", "c").distinct()
 
 
 def best_matches(
@@ -88,16 +110,7 @@ def best_matches(
     qs = queries.select("q").filter(F.length("q") > 0).distinct()
     cs = candidates.filter(F.length("c") > 0)
     distinct_c = cs.select("c").distinct()
-    # token frequency over both sides: the global order is rarest first
-    ranks = (
-        _tokens(qs, "q").select("tok").unionByName(_tokens(distinct_c, "c").select("tok"))
-        .groupBy("tok").agg(F.count(F.lit(1)).alias("freq"))
-    )
-    q_prefix = _prefix_tokens(qs, "q", ranks, tau)
-    c_prefix = _prefix_tokens(distinct_c, "c", ranks, tau)
-    pairs = q_prefix.join(c_prefix, "tok").select("q", "c").distinct()
-    lo, hi = _band(F.length("q"), tau)
-    pairs = pairs.filter(F.length("c").between(lo, hi))
+    pairs = candidate_pairs(qs, distinct_c, tau)
     scored = pairs.join(cs, "c").select(
         "q", "c", "rank", (similarity("q", "c", floor=max(tau - _EPS, 0.0)) * F.lit(scale)).alias("score")
     )
@@ -149,3 +162,36 @@ def suggest_field_mapping(
     first_target = tgt.groupBy("c").agg(F.min_by("target", "rank").alias("target"))
     out = src.join(best, "q").join(first_target, "c")
     return out.filter(F.col("source") != F.col("target")).select("source", "target", "score")
+
+
+FIELD_ROWS = "table string, field string, position long"
+
+
+def suggest_field_mappings(fields: DataFrame, targets: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """P2 for many tables: ``fields`` and ``targets`` are schemas as rows (``table, field, position``).
+
+    For every field and every target table of another name, the most similar
+    target field by normalised name, the earliest at a tie; kept when the score
+    reaches ``threshold`` and the names differ.  Equal names are scored once, in
+    one similarity join for all tables.
+
+    Returns (source_table, source, target_table, target, score).
+    """
+    named = lambda df: df.withColumn("_n", normalized_name(F.col("field")))
+    src = named(fields).select(F.col("table").alias("source_table"), F.col("field").alias("source"), F.col("_n").alias("q"))
+    tgt = named(targets).select(
+        F.col("table").alias("target_table"), F.col("field").alias("target"), F.col("_n").alias("c"), "position"
+    )
+    qs, cs = [df.select(k).filter(F.length(k) > 0).distinct() for df, k in ((src, "q"), (tgt, "c"))]
+    scored = candidate_pairs(qs, cs, threshold).withColumn("score", similarity("q", "c", floor=max(threshold - _EPS, 0.0)))
+    scored = scored.filter(F.col("score") >= F.lit(threshold))
+    pairs = src.distinct().join(scored, "q").join(tgt, "c").filter(F.col("source_table") != F.col("target_table"))
+    best = pairs.groupBy("source_table", "source", "target_table").agg(
+        F.max_by(F.struct("target", "score"), F.struct(F.col("score"), -F.col("position"))).alias("_b")
+    )
+    return best.select("source_table", "source", "target_table", "_b.target", "_b.score").filter(F.col("source") != F.col("target"))
+
+
+def schema_rows(spark: SparkSession, tables: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """Schemas (table, field names) as rows for ``suggest_field_mappings``."""
+    return spark.createDataFrame([(t, f, i) for t, names in tables for i, f in enumerate(names)], FIELD_ROWS)

@@ -126,3 +126,21 @@ def first_appearance_numbers(
     return numbered.withColumn(name, (F.col("_gidx") + 1).cast("long")).withColumn(
         total, F.col(total).cast("long")
     ).drop("_gidx")
+
+
+def numbers_within(groups: DataFrame, within: str, first: str, name: str, total: str) -> DataFrame:
+    """Number checkpointed ``groups`` 1..k by their first ordinal for each value of ``within`` (a few values).
+
+    As in ``first_appearance_numbers``, many groups go through one distributed index.
+    """
+    if groups.count() <= FEW_GROUPS:
+        own = Window.partitionBy(within)
+        return groups.select(
+            "*",
+            F.row_number().over(own.orderBy(first)).cast("long").alias(name),
+            F.count(F.lit(1)).over(own).cast("long").alias(total),
+        )
+    numbered = dense_index(groups, [within, first], name="_gidx")
+    starts = numbered.groupBy(within).agg(F.min("_gidx").alias("_start"), F.count(F.lit(1)).cast("long").alias(total))
+    out = numbered.join(F.broadcast(starts), within)  # one row a value of ``within``
+    return out.withColumn(name, (F.col("_gidx") - F.col("_start") + 1).cast("long")).drop("_gidx", "_start")

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import joins as J
-from tessera.operators.fuzzy import fuzzy_key_map, suggest_field_mapping
+from tessera.functions.values import normalize_field_name, py_ratio
+from tessera.operators.fuzzy import candidate_pairs, fuzzy_key_map, schema_rows, suggest_field_mapping, suggest_field_mappings
 
 
 def _diag(result):
@@ -220,3 +221,35 @@ def test_a_heavy_key_is_spread_over_tasks(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert sum(sizes) == 17999 and sizes[-1] < 3 * sizes[len(sizes) // 2] + 300
+
+
+@pytest.mark.parametrize(("alphabet", "share"), [("0123456789", 0.35), ("abcdefghijklmnopqrstuvwxyz", 0.1)])
+def test_candidates_hold_every_match_and_few_others(spark, alphabet, share):
+    rnd = random.Random(12)
+    code = lambda: "".join(rnd.choice(alphabet) for _ in range(rnd.randint(6, 12)))
+    right = sorted({code() for _ in range(120)})
+    left = sorted({code() for _ in range(80)} | {c[:3] + rnd.choice(alphabet) + c[4:] for c in right[:40]})
+    qs, cs = spark.createDataFrame([(x,) for x in left], "q string"), spark.createDataFrame([(x,) for x in right], "c string")
+    got = {tuple(r) for r in candidate_pairs(qs, cs, 0.85).collect()}
+    matches = {(q, c) for q in left for c in right if py_ratio(q, c) >= 0.85}
+    assert matches <= got and len(matches) >= 30
+    assert len(got) <= share * len(left) * len(right)
+
+
+def test_field_mappings_of_many_tables_in_one_join(spark):
+    tables = [
+        ("crm", ["Customer ID", "Full  Name", "E-mail", "Opened"]),
+        ("erp", ["customer_id", "full name", "Mail", "opened"]),
+        ("old", ["Customer-ID", "ＦＵＬＬ name", "e mail", "zzz", "Full Name"]),
+    ]
+    rows = schema_rows(spark, tables)
+    got = {(r.source_table, r.source, r.target_table): (r.target, round(r.score, 9)) for r in suggest_field_mappings(rows, rows, 0.72).collect()}
+    want = {}
+    for a, fields in tables:
+        for b, others in tables:
+            for f in fields if a != b else []:
+                scores = [(py_ratio(normalize_field_name(f), normalize_field_name(o)), -i, o) for i, o in enumerate(others)]
+                score, _, best = max(scores)
+                if score >= 0.72 and best != f:
+                    want[a, f, b] = (best, round(score, 9))
+    assert got == want and len(want) > 10
