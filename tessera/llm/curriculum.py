@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import without
+from tessera.llm.common import materialise, without
+from tessera.operators.ordinals import dense_index
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -148,11 +149,15 @@ def plan_curriculum(
     schedules: Mapping[str, Sequence] | None = None,
     seed: int = 7,
     slice_rows: int = 5000,
+    keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` plus size, source_size, target, taken and positions (one training position per copy)."""
+    """``docs`` plus size, source_size, target, taken and positions (one training position per copy).
+
+    Without ``keep_text`` the text column goes once its words are counted: the
+    sizes are written, and all planning reads those.
+    """
     docs = without(docs, *OUTPUTS)
     text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
-    slices = max(1, -(-docs.count() // slice_rows))
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
     key = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long")
     sized = (
@@ -160,14 +165,13 @@ def plan_curriculum(
         .withColumn("_skey", F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n")))
         .withColumn("_order", key)
         .withColumn("_tie", F.xxhash64(text))
-        .withColumn(
-            "_slice",
-            F.least(
-                F.floor(F.col("_order") / F.lit(16.0**13) * slices),
-                F.lit(slices - 1).cast("long"),
-            ),
-        )
     )
+    if not keep_text:
+        docs = docs.drop(text_col)
+        sized = materialise(sized.drop(text_col), "curriculum-sizes")
+    slices = max(1, -(-sized.count() // slice_rows))
+    place = F.floor(F.col("_order") / F.lit(16.0**13) * slices)
+    sized = sized.withColumn("_slice", F.least(place, F.lit(slices - 1).cast("long")))
     sums = sized.groupBy("_skey", "_slice").agg(
         F.first(source.cast("string")).alias("_source"), F.sum("size").alias("_sum")
     )
@@ -210,6 +214,20 @@ def plan_curriculum(
     )
 
 
+def stream_places(planned: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``planned`` plus ``places``: where each copy of a document stands (from 0) in the range-sorted training stream."""
+    rows = materialise(planned.withColumn("_row", F.monotonically_increasing_id()), "curriculum-plan")
+    copies = rows.select("_row", F.col(f"`{id_col}`").alias("_id"), F.posexplode("positions").alias("_copy", "_at"))
+    placed = dense_index(copies, ["_at", "_id", "_copy", "_row"], name="_place")
+    places = placed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_copy", "_place"))).alias("_p"))
+    none = F.array().cast("array<long>")
+    return (
+        rows.join(places, "_row", "left")
+        .withColumn("places", F.coalesce(F.transform("_p", lambda p: p["_place"]), none))
+        .drop("_row", "_p")
+    )
+
+
 def mix_curriculum(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The training stream: one row per copy with ``copy`` and ``position``, range-sorted by position."""
     planned = plan_curriculum(without(docs, "copy", "position"), id_col, **options)

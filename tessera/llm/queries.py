@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_folder, table
 from tessera.llm.conversation_trie import conversation_trie
-from tessera.llm.curriculum import plan_curriculum
+from tessera.llm.curriculum import plan_curriculum, stream_places
 from tessera.llm.decontaminate import contaminated_pairs
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.line_quality import fit_quality
@@ -61,9 +61,17 @@ GROUP BY doc_id
 
 @query
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = plan_curriculum(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    planned = stream_places(plan_curriculum(docs, keep_text=False))
     return planned.select(
-        "doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position")
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        F.get("positions", F.lit(0)).alias("first_position"),
+        F.get("places", F.lit(0)).alias("first_place"),
+        F.get("places", F.lit(1)).alias("second_place"),
     )
 
 
@@ -95,17 +103,23 @@ WITH d AS (
          sum(d.size) OVER (PARTITION BY d.source ORDER BY o ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS mid
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), f AS (
-  SELECT *, CASE WHEN size > 0 THEN (mid < target)::INT + (mid + source_size < target)::INT ELSE 0 END AS copies,
-         mid / target AS x
+  SELECT *, CASE WHEN size > 0 THEN (mid < target)::INT + (mid + source_size < target)::INT ELSE 0 END AS copies
   FROM m
+), c AS (
+  SELECT doc_id, r, k, (mid + k * source_size) / target AS x FROM f, (VALUES (0), (1)) v(k) WHERE k < copies
+), p AS (
+  SELECT doc_id, k,
+         CASE WHEN r = 0 THEN sqrt(0.25 + 2 * x) - 0.5
+              WHEN r = 1 THEN 1.5 - sqrt(2.25 - 2 * x)
+              WHEN x < 0.5 THEN (sqrt(0.25 + 4 * x) - 0.5) / 2
+              ELSE 0.5 + (1.5 - sqrt(2.25 - 4 * (x - 0.5))) / 2 END AS position
+  FROM c
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY position, doc_id, k) - 1 AS place FROM p
 )
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
-       CASE WHEN copies = 0 THEN NULL
-            WHEN r = 0 THEN sqrt(0.25 + 2 * x) - 0.5
-            WHEN r = 1 THEN 1.5 - sqrt(2.25 - 2 * x)
-            WHEN x < 0.5 THEN (sqrt(0.25 + 4 * x) - 0.5) / 2
-            ELSE 0.5 + (1.5 - sqrt(2.25 - 4 * (x - 0.5))) / 2 END AS first_position
-FROM f
+SELECT f.doc_id, size, source_size, target, (copies * size)::BIGINT AS taken,
+       a.position AS first_position, a.place AS first_place, b.place AS second_place
+FROM f LEFT JOIN o a ON a.doc_id = f.doc_id AND a.k = 0 LEFT JOIN o b ON b.doc_id = f.doc_id AND b.k = 1
 """
 
 

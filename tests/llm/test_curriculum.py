@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from tessera.llm.curriculum import mix_curriculum, plan_curriculum
+from tessera.llm.curriculum import mix_curriculum, plan_curriculum, stream_places
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -92,3 +92,17 @@ def test_empty_table_clashing_columns_and_plan(spark, docs):
     assert (row.size, row.target, row.note) == (2, 3.0, "k")
     plan = plan_curriculum(docs((1, "a")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_places_are_those_of_the_sorted_stream(docs):
+    rows = rows_of(150) + [(900, None, "b"), (902, "one two", "b"), (902, "one two", "b"), (None, "no id here", "a")]
+    stream = [(r.doc_id, r.copy) for r in mix_curriculum(docs(*rows)).collect()]
+    planned = plan_curriculum(docs(*rows), keep_text=False)
+    assert "text" not in planned.columns
+    got = stream_places(planned).collect()
+    assert len(got) == len(rows) and all(len(r.places) == len(r.positions) for r in got)
+    placed = {p: (r.doc_id, k) for r in got for k, p in enumerate(r.places)}
+    assert [placed[k] for k in range(len(stream))] == stream
+    by_place = [x for _, x in sorted((p, x) for r in got for p, x in zip(r.places, r.positions))]
+    assert by_place == sorted(by_place)
+    assert stream_places(plan_curriculum(docs(), keep_text=False)).count() == 0
