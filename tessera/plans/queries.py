@@ -14,9 +14,10 @@ Total orders used for first-appearance semantics: ``o_orderkey``,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import values as V
@@ -28,7 +29,8 @@ from tessera.operators import joins as J
 from tessera.operators import split as X
 from tessera.operators import stack as U
 from tessera.operators.ordinals import dense_index
-from tessera.sinks.writer import output_names
+from tessera.sinks.writer import output_names, oversized, write_named, write_split
+from tessera.session import checkpoint_dir
 from tessera.sources import grid as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1492,17 +1494,27 @@ def s9_detect_header(spark, sf):
     return found.select("source_sheet", "header_row", F.round("confidence", 6).alias("confidence"))
 
 
-@query(
-    "s5_header_names",
-    "SELECT table_name AS source_sheet, CAST(ordinal_position - 1 AS INTEGER) AS pos, "
-    "CASE WHEN ordinal_position = 1 THEN 'Report of ' || table_name || '_' || column_name ELSE column_name END AS name "
-    "FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'part', 'orders')",
-)
+def _header_names_sql() -> str:
+    parts = []
+    for name, key, cols in (("region", "r_regionkey", ["r_regionkey", "r_name"]), ("nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])):
+        for pos, col in enumerate(cols):
+            title = f"'Report of {name}_' || " if pos == 0 else ""
+            parts.append(
+                f"SELECT '{name}' AS source_sheet, {pos} AS pos, {title}'{col}_' || CAST({col} AS VARCHAR) AS name "
+                f"FROM (SELECT * FROM {name} ORDER BY {key} LIMIT 1)"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query("s5_header_names", _header_names_sql())
 def s5_header_names(spark, sf):
-    """Two header rows (the title row and the column-name row) of each
-    table's grid joined per column with ``_``; empty parts are skipped."""
-    grid = _report_grids(spark, sf)
-    names = G.unique_headers(G.header_parts(grid, 1, 2))
+    """Three header rows (title, column names, the first row of the
+    table) joined per column with ``_``; empty parts are skipped."""
+    grids = []
+    for name, key, cols in (("region", "r_regionkey", ["r_regionkey", "r_name"]), ("nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])):
+        df = table(spark, sf, name).select(*cols)
+        grids.append(G.table_to_grid(df, f"{name}.xlsx", name, [key], leading_rows=[[f"Report of {name}"]]))
+    names = G.unique_headers(G.header_parts(grids[0].unionByName(grids[1]), 1, 3))
     return names.select("source_sheet", "pos", "name")
 
 
@@ -1537,3 +1549,109 @@ def all_queries() -> dict[str, Query]:
 
 def all_oracles() -> dict[str, str]:
     return dict(ORACLES)
+
+
+# ---------------------------------------------------------------------------
+# outputs, written and read back (K1-K5, K7, K8)
+
+
+def _scratch(spark, tag: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def _status_split(spark, sf):
+    split = X.split_by_fields(table(spark, sf, "orders"), ["o_orderstatus"], ["o_orderkey"])
+    return split, output_names(split.manifest, "{original_name}_{split_value}", {"original_name": "orders"})
+
+
+@query("k1_written_outputs", "SELECT *, o_orderstatus AS split_label, 'orders_' || o_orderstatus AS output_name FROM orders")
+def k1_written_outputs(spark, sf):
+    """K1, K4: every group an output under its own name, read back with its types."""
+    split, names = _status_split(spark, sf)
+    path = _scratch(spark, "k1")
+    write_named(split.flagged, names, path)
+    return spark.read.parquet(path)
+
+
+@query("k2_written_in_one", "SELECT *, o_orderstatus AS split_label FROM orders WHERE o_orderstatus <> 'P'")
+def k2_written_in_one(spark, sf):
+    """K2: one output with the label as a column; excluded rows stay out."""
+    df = table(spark, sf, "orders").withColumn("kept", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
+    split = X.split_by_fields(df, ["kept"], ["o_orderkey"], blank_policy="skip")
+    path = _scratch(spark, "k2")
+    write_split(split.flagged.drop("kept"), path, separate=False)
+    return spark.read.parquet(path)
+
+
+@query(
+    "k3_written_csv",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderpriority, "
+    "'{\"k\":' || o_custkey || ',\"s\":\"' || o_orderstatus || '\"}' AS nested, 'orders_' || o_orderstatus AS output_name FROM orders",
+)
+def k3_written_csv(spark, sf):
+    """K3: text outputs with a header, nested values as JSON text."""
+    split, names = _status_split(spark, sf)
+    nested = F.struct(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    path = _scratch(spark, "k3")
+    write_named(split.flagged.withColumn("nested", nested), names, path, fmt="csv")
+    back = spark.read.option("header", "true").option("escape", "\\").csv(path)
+    return back.select("o_orderkey", "o_custkey", "o_orderpriority", "nested", "output_name")
+
+
+@query(
+    "k5_existing_outputs",
+    "WITH o AS (SELECT o_orderstatus AS s, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1), "
+    "late AS (SELECT o_orderstatus AS s, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) "
+    "SELECT 'orders_' || s AS output_name, CASE WHEN s = 'P' THEN late.n ELSE o.n END AS n, CASE WHEN s = 'P' THEN late.keys ELSE o.keys END AS keys "
+    "FROM o JOIN late USING (s) UNION ALL SELECT 'orders_' || s || '_2', n, keys FROM late WHERE s <> 'P'",
+)
+def k5_existing_outputs(spark, sf):
+    """K5: by output, what exists is kept (skip), then joined by new names (rename), then replaced (overwrite)."""
+    split, names = _status_split(spark, sf)
+    path = _scratch(spark, "k5")
+    write_named(split.flagged, names, path)
+    late = split.flagged.filter(F.col("o_orderkey") % 2 == 0)
+    write_named(late, names, path, existing="skip")
+    write_named(late.filter("split_label <> 'P'"), names.filter("split_label <> 'P'"), path, existing="rename")
+    write_named(late.filter("split_label = 'P'"), names.filter("split_label = 'P'"), path, existing="overwrite")
+    back = spark.read.parquet(path)
+    return back.groupBy("output_name").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query(
+    "k7_oversized_groups",
+    "SELECT CAST(l_suppkey AS VARCHAR) AS split_label, count(*) AS row_count FROM lineitem GROUP BY 1 "
+    "HAVING count(*) > (SELECT count(*) / count(DISTINCT l_suppkey) FROM lineitem)",
+)
+def k7_oversized_groups(spark, sf):
+    """K7: the groups that the size guard refuses, for a limit of the mean group's rows."""
+    li = table(spark, sf, "lineitem")
+    mean = li.agg((F.count(F.lit(1)) / F.count_distinct("l_suppkey")).alias("m")).first().m
+    split = X.split_by_fields(li, ["l_suppkey"], LI_ORDER)
+    return oversized(split.manifest, mean).select("split_label", "row_count")
+
+
+@query(
+    "k8_run_manifest",
+    "SELECT o_orderpriority AS split_label, row_number() OVER (ORDER BY min(o_orderkey)) AS part_no, count(*) AS row_count, "
+    "'orders_' || replace(o_orderpriority, ' ', ' ') AS output_name, count(*) OVER () AS outputs, "
+    "(SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0) AS excluded_blank FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY o_orderpriority",
+)
+def k8_run_manifest(spark, sf):
+    """A whole split run from a configuration; its manifest next to the outputs, its report with the reasons."""
+    from tessera.plans.tasks import OutputSpec, SourceSpec, SplitTask, run_split
+
+    out = _scratch(spark, "k8")
+    key = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority"))
+    table(spark, sf, "orders").withColumn("group", key).write.parquet(f"{out}/orders.parquet")
+    source = SourceSpec(f"{out}/orders.parquet", order_by=["o_orderkey"])
+    task = SplitTask([source], OutputSpec(f"{out}/done"), fields=["group"], blank_policy="skip", report_path=f"{out}/runs")
+    report = run_split(spark, task)
+    manifest = spark.read.parquet(f"{report.outputs[0]}_manifest")
+    run = spark.read.parquet(f"{out}/runs").select(F.col("details")["excluded_blank"].alias("excluded_blank"))
+    written = spark.read.parquet(report.outputs[0]).select("output_name").distinct()
+    return (
+        manifest.join(written, "output_name")
+        .select("split_label", "part_no", "row_count", "output_name", F.count(F.lit(1)).over(Window.partitionBy()).alias("outputs"))
+        .withColumn("excluded_blank", run.select("excluded_blank").scalar())
+    )

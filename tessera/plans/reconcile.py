@@ -82,8 +82,7 @@ class Reconciliation:
         if self.balanced:
             return None
         return (
-            f"Row reconciliation mismatch: input {self.input_rows} != output {self.output_rows}"
-            f" + excluded {self.excluded_rows}"
+            f"{self.input_rows} rows came in, but {self.output_rows} went out and {self.excluded_rows} were left out"
         )
 
 

@@ -67,11 +67,16 @@ def check_output_size(manifest: DataFrame, columns: int, max_rows: int = MAX_OUT
     """K7 guard: raise when a group exceeds the row or column limit (reads the manifest)."""
     if columns > max_columns:
         raise ValueError(f"Output has {columns} columns; the limit is {max_columns}")
-    too_big = manifest.filter(F.col("row_count") > max_rows).limit(1).collect()
+    too_big = oversized(manifest, max_rows).limit(1).collect()
     if too_big:
         raise ValueError(f"Group '{too_big[0]['split_label']}' has {too_big[0]['row_count']} rows; the limit is {max_rows}")
 
 
+def oversized(manifest: DataFrame, max_rows: int = MAX_OUTPUT_ROWS) -> DataFrame:
+    """K7: the groups that no single output of ``max_rows`` rows could hold."""
+    return manifest.filter(F.col("row_count") > max_rows)
+
+
 @dataclass
 class WriteResult:
     path: str | None

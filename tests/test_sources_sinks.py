@@ -28,18 +28,18 @@ def _grid(spark, rows, source="f.xlsx", sheet="Sheet1"):
 
 
 def test_multi_row_header_and_formula_text(spark):
-    grid = _grid(spark, [["Customer", "Financial"], ["ID", "Amount"], [1, "=1+2"]])
+    grid = _grid(spark, [["Orchard", "Harvest"], ["Plot", "Crates"], [7, "=B2*4"]])
     names = G.unique_headers(G.header_parts(grid, 1, 2))
     got = [r["name"] for r in names.orderBy("pos").collect()]
-    assert got == ["Customer_ID", "Financial_Amount"]
+    assert got == ["Orchard_Plot", "Harvest_Crates"]
     table = G.grid_table(grid, "f.xlsx", "Sheet1", got, 3)
-    assert table.collect()[0]["Financial_Amount"] == "=1+2"
+    assert table.collect()[0]["Harvest_Crates"] == "=B2*4"
 
 
 def test_header_detection(spark):
     import datetime as dt
 
-    grid = _grid(spark, [["Quarterly report", None, None], ["ID", "Name", "Date"], [1, "A", dt.date(2026, 1, 1)], [2, "B", dt.date(2026, 1, 2)]])
+    grid = _grid(spark, [["Plots of the north orchard", None, None], ["Plot id", "Tree name", "Planted date"], [11, "Boskoop", dt.date(2019, 4, 3)], [12, "Gala", dt.date(2021, 10, 9)]])
     found = G.detect_headers(grid).collect()[0]
     assert found["header_row"] == 2 and found["confidence"] >= 0.8
 
@@ -178,12 +178,12 @@ def _write(path, text):
 
 def test_inventory_and_delimited(spark):
     root = tempfile.mkdtemp(prefix="tessera-src-")
-    _write(f"{root}/a.csv", "ID,Branch\n1,A\n2,\n3,B\n")
-    _write(f"{root}/b.TSV", "ID\tX\n1\tq\n")
-    _write(f"{root}/~$locked.csv", "x\n")
+    _write(f"{root}/a.csv", "Plot,Tree\n11,Gala\n12,\n13,Boskoop\n")
+    _write(f"{root}/b.TSV", "Plot\tCrates\n11\t40\n")
+    _write(f"{root}/~$open-elsewhere.csv", "x\n")
     _write(f"{root}/notes.txt", "x\n")
     _write(f"{root}/book.xlsx", "not really\n")
-    _write(f"{root}/nested/c.csv", "ID\n9\n")
+    _write(f"{root}/nested/c.csv", "Plot\n14\n")
     flat = S.collect_input_files(spark, [root])
     assert [r["name"] for r in flat.collect()] == ["a.csv", "b.TSV", "book.xlsx"]
     deep = S.collect_input_files(spark, [root], recursive=True)
@@ -194,7 +194,7 @@ def test_inventory_and_delimited(spark):
     only = S.collect_input_files(spark, [root], name_contains="A", name_excludes="book")
     assert [r["name"] for r in only.collect()] == ["a.csv"]
     df = S.read_delimited(spark, f"{root}/a.csv")
-    assert df.columns == ["ID", "Branch"] and df.count() == 3
+    assert df.columns == ["Plot", "Tree"] and df.count() == 3
     tsv = S.read_delimited(spark, f"{root}/b.TSV", header=False, infer_schema=False)
     assert tsv.columns == ["Column_1", "Column_2"]
     grid = S.delimited_grid(spark, f"{root}/a.csv")
@@ -238,7 +238,7 @@ def test_reconcile_and_report(spark):
     from tessera.plans.reconcile import RunReport, reconcile_rows, report_frame
 
     r = reconcile_rows(5, 3, 1)
-    assert not r.balanced and "mismatch" in r.warning()
+    assert not r.balanced and "left out" in r.warning()
     rep = RunReport("split", datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 2), outputs=["x"], errors=["bad"], reconciliation=reconcile_rows(3, 3))
     assert rep.status == "partial"
     row = report_frame(spark, rep).collect()[0]
