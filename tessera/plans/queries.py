@@ -1407,6 +1407,18 @@ def s11_preview(spark, sf):
     return G.preview(table(spark, sf, "orders"), ["o_orderkey"], 20)
 
 
+@query(
+    "s11_preview_totals",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS source_sheet, CAST(2 AS BIGINT) AS header_row, count(*) AS total_rows, CAST({width} AS BIGINT) AS total_columns FROM {name}"
+        for name, width in (("region", 2), ("nation", 3), ("part", 6), ("orders", 6))
+    ),
+)
+def s11_preview_totals(spark, sf):
+    """Header row, rows and columns of every table under its title and header rows."""
+    return G.preview_totals(_report_grids(spark, sf)).select("source_sheet", "header_row", "total_rows", "total_columns")
+
+
 _FIELD_TABLES = {
     "part": ("p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
     "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),

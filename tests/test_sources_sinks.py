@@ -77,6 +77,21 @@ def test_table_to_grid_and_preview(spark):
     assert [r["ID"] for r in G.preview(df, ["ID"], 1).collect()] == [1]
 
 
+def test_preview_with_totals_and_header(spark):
+    rows = [["Plots of the north orchard"], ["Plot id", "Tree name", "Planted date", "Status"]]
+    rows += [[k, f"t{k}", 20.5, "x"] + (["late"] if k == 30 else []) for k in range(1, 41)]
+    grid = _grid(spark, rows)
+    got = G.preview_grid(grid, "f.xlsx", "Sheet1", rows=5)
+    assert (got.columns, got.total_rows, got.total_columns, got.header_row) == (["Plot id", "Tree name", "Planted date", "Status"], 40, 5, 2)
+    assert got.confidence > 0.7 and [(r.row_no, r["Plot id"]) for r in got.rows.orderBy("row_no").collect()] == [(k + 2, str(k)) for k in range(1, 6)]
+    chosen = G.preview_grid(grid, "f.xlsx", "Sheet1", G.TableStructure(header_mode="multi_row", header_row=1, header_end_row=2), rows=3)
+    assert chosen.columns[0] == "Plots of the north orchard_Plot id" and (chosen.total_rows, chosen.header_row) == (40, 1)
+    bare = G.preview_grid(grid, "f.xlsx", "Sheet1", G.TableStructure(header_mode="none"), rows=3)
+    assert bare.columns == [f"Column_{i}" for i in range(1, 6)] and bare.total_rows == 42 and bare.rows.count() == 3
+    none = G.preview_grid(grid, "f.xlsx", "Missing")
+    assert (none.columns, none.total_rows, none.rows.count()) == ([], 0, 0)
+
+
 def test_profile_and_fields(spark):
     df = spark.createDataFrame([(1, "b"), (2, " "), (3, "a"), (4, "b"), (5, None)], "ID long, v string")
     top, summary = G.profile_field(df, "v", ["ID"], top=2)
