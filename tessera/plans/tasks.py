@@ -10,8 +10,9 @@ the row reconciliation observed during the write, and returns a
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from pathlib import PurePath
 
@@ -30,6 +31,7 @@ from tessera.operators.cleaning import CleaningOptions, clean, rename_fields
 from tessera.operators.ordinals import with_source_ordinal
 from tessera.plans.reconcile import RunReport, append_report, excluded_by, reconcile_rows
 from tessera.sinks.writer import MAX_OUTPUT_COLUMNS, MAX_OUTPUT_ROWS, check_output_size, output_names, write_named, write_split
+from tessera.session import checkpoint_dir
 from tessera.sources.files import delimited_grid
 from tessera.sources.grid import TableStructure, read_grid_table
 
@@ -82,6 +84,8 @@ class Loaded:
     spec: SourceSpec
     df: DataFrame
     order: list
+    #: Where the rows are read from, if that is not the source itself.
+    staged: str | None = None
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -265,24 +269,30 @@ def _drops_rows(options: CleaningOptions) -> bool:
     return options.drop_empty_rows or options.drop_duplicate_rows
 
 
-def _readable(loaded: list[Loaded], errors: list[str]) -> list[Loaded]:
-    """K12 while running: the sources that can be read to their end; the others become report errors."""
+def _staged(loaded: list[Loaded], errors: list[str]) -> list[Loaded]:
+    """K12 while running: every source copied by a job of its own to the shared folder.
+
+    A source that cannot be read to its end becomes a report error; the others
+    are read from their copies from now on.
+    """
     out = []
     for item in loaded:
+        spark = item.df.sparkSession
+        place = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
         try:
-            item.df.write.format("noop").mode("overwrite").save()
-            out.append(item)
+            item.df.write.parquet(place)
+            out.append(replace(item, df=spark.read.schema(item.df.schema).parquet(place), staged=place))
         except Exception as error:  # noqa: BLE001
             errors.append(f"{item.spec.path}: {str(error)[:500]}")
     return out
 
 
 def _isolated(run, loaded: list[Loaded], errors: list[str], least: int = 1):
-    """Run over all sources; if that fails, once more over those that can be read."""
+    """Run over all sources; if that fails, once more over the copies of those that can be read."""
     try:
         return run(loaded)
     except Exception:  # noqa: BLE001
-        good = _readable(loaded, errors)
+        good = _staged(loaded, errors)
         if len(good) == len(loaded) or len(good) < least:
             raise
         return run(good)
@@ -357,11 +367,11 @@ def scan_together(spark: SparkSession, items: Sequence[tuple[str, Loaded]], labe
     first = items[0][1]
     if len(items) == 1:
         return first.df.withColumn(label, F.lit(items[0][0]))
-    places = [(_qualified(spark, item.spec.path), name) for name, item in items]
+    places = [(_qualified(spark, item.staged or item.spec.path), name) for name, item in items]
     known = spark.createDataFrame(places, "_place string, _name string").groupBy("_place").agg(F.collect_list("_name").alias("_names"))
     deepest = max(path.count("/") for path, _ in places)
     least = min(path.count("/") for path, _ in places)
-    paths = list(dict.fromkeys(item.spec.path for _, item in items))
+    paths = list(dict.fromkeys(item.staged or item.spec.path for _, item in items))
     df = spark.read.options(**dict(first.spec.options)).schema(first.df.drop(ORDINAL).schema).parquet(*paths)
     df = with_source_ordinal(df, ORDINAL)
     file = F.regexp_replace(F.col(f"{ORDINAL}.file"), "^file:/+", "file:/")

@@ -196,6 +196,12 @@ def test_an_unreadable_file_does_not_stop_a_merge(spark, frame):
     rep = T.run_merge(spark, T.MergeTask([T.SourceSpec(f"{out}/{n}.parquet") for n in "ab"], T.OutputSpec(out, name="m")))
     assert rep.status == "partial" and len(rep.errors) == 1 and "b.parquet" in rep.errors[0]
     assert spark.read.parquet(rep.outputs[0]).count() == 100
+    frame([(1, "y")], "v long, t string").write.parquet(f"{out}/c.parquet")
+    specs = [T.SourceSpec(f"{out}/{n}.parquet") for n in "abc"]
+    own = T.run_merge(spark, T.MergeTask(specs, T.OutputSpec(out, name="k"), mode="catalog"))
+    assert own.status == "partial" and len(own.errors) == 1 and own.reconciliation.output_rows == 101
+    assert spark.read.parquet(f"{own.outputs[0]}/output_name=a_a").columns == ["v", "t"]
+    assert [r.t for r in spark.read.parquet(f"{own.outputs[0]}/output_name=c_c").collect()] == ["y"]
 
 
 def test_chained_join_reports_every_step(spark, frame):
