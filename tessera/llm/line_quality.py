@@ -6,8 +6,9 @@ A two-state chain (bad, good) scores whole documents; forward-backward gives
 the probability that each line is good, and their mean, weighted by line
 length in code points, is the document's quality.
 
-Training: a bounded sample of labelled rows (``max_labelled``, those with the
-smallest hash of the id), whose lines take their document's label.  Only rows
+Training: a bounded sample of labelled rows (``max_labelled`` ids, those with the
+smallest hash, one text of each; of these, in order of the hash, the texts whose
+lines together stay within ``max_lines``), whose lines take their document's label.  Only rows
 for which ``may_learn`` holds are learned from; labels, language, source and id
 are never inputs of a score.  The conditional likelihood is maximised by
 full-batch gradient steps on the driver; scoring runs over every whole text.
@@ -26,9 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialise
 from tessera.llm.toxicity import score_texts, smallest_by_hash
 from tessera.llm.words import LETTERS, text_buffers, word_hashes
 
@@ -249,6 +251,7 @@ def fit_quality(
     text_col: str = "text",
     label_col: str = "quality",
     max_labelled: int = 4000,
+    max_lines: int = 300_000,
 ) -> LineCrf:
     """Fit on rows for which ``may_learn`` (a condition on ``id_col``) holds."""
     known = (
@@ -258,8 +261,16 @@ def fit_quality(
     )
     known = smallest_by_hash(known, id_col, max_labelled)
     texts = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
+    # at most max_labelled rows: one text of each id
+    labelled = texts.join(F.broadcast(known), id_col).groupBy(id_col).agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    labelled = materialise(
+        labelled.withColumns({"h": F.xxhash64(F.lit(11), F.col(id_col)), "n": F.size(F.split(F.coalesce("text", F.lit("")), "\n"))}),
+        "quality-texts",
+    ).filter(F.col("n") <= max_lines)
+    whole = Window.orderBy("h", id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = labelled.select(id_col, F.sum("n").over(whole).alias("upto")).filter(F.col("upto") <= max_lines).select(id_col)
     rows = (
-        texts.join(F.broadcast(known), id_col)  # at most max_labelled rows
+        labelled.join(F.broadcast(taken), id_col)
         .select("text", "label")
         .mapInArrow(_training_lines, "features array<double>, label long")
         .toArrow()

@@ -192,6 +192,19 @@ def test_quality_on_held_out_rows(spark, docs, quality_rows):
     assert np.mean([r.predicted == truth[r.doc_id] for r in unseen]) > 0.95
 
 
+def test_training_lines_are_bounded_and_an_id_counts_once(spark, docs, quality_rows, monkeypatch):
+    df = docs(*[(i, t) for i, t, _ in quality_rows], *[(3, "again\n" * k) for k in range(300)], (7000, "x\n" * 50_000))
+    labels = spark.createDataFrame([(i, y) for i, _, y in quality_rows] + [(7000, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "train_crf", lambda f, offs, y, old=Q.train_crf: seen.append((len(f), len(offs) - 1)) or old(f, offs, y))
+    model = Q.fit_quality(df, labels, F.lit(True), max_lines=1200)
+    lines, texts = seen[0]
+    assert 1000 < lines <= 1200 and texts < len(quality_rows)
+    truth = {i: y for i, _, y in quality_rows}
+    scored = X.score_texts(docs(*[(i, t) for i, t, _ in quality_rows]), model).collect()
+    assert np.mean([r.predicted == truth[r.doc_id] for r in scored]) > 0.9
+
+
 def test_forward_backward_against_all_labellings():
     rng = np.random.default_rng(3)
     offs = np.array([0, 1, 5, 8])
