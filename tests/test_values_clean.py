@@ -184,3 +184,15 @@ def test_text_of_like_python_str(spark):
     assert got == [str(v) for v in values]
     assert _one(spark, float("inf"), "double", V.text_of) == "inf"
     assert _one(spark, False, "boolean", V.text_of) == "False"
+
+
+def test_names_are_numbered_in_linear_time():
+    from tessera.functions.unique import Names
+
+    names = Names(str.casefold)
+    wanted = ["a", "A", "a_2", "a_5"] + ["a"] * 60_000 + ["a_2"] * 3
+    got = [names.take(n) for n in wanted]
+    assert got[:9] == ["a", "A_2", "a_2_2", "a_5", "a_3", "a_4", "a_6", "a_7", "a_8"]
+    assert got[-3:] == ["a_2_3", "a_2_4", "a_2_5"] and len({g.casefold() for g in got}) == len(wanted)
+    short = Names(limit=4)
+    assert [short.take("abcdef") for _ in range(12)][8:] == ["ab_9", "a_10", "a_11", "a_12"]
