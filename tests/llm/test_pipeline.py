@@ -69,7 +69,7 @@ def test_each_stage_against_brute_force(spark, kept):
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels", "benchmark"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(Q.ORACLES[name])
     columns = [c[0] for c in want.description]
@@ -82,6 +82,6 @@ def test_the_entry_lists_one_query_of_each_operator():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in names if q.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names
