@@ -271,8 +271,10 @@ def pattern_sums(counted: DataFrame, voters: int):
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
 
-        added = counted.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-        return added.sort_values("i")["v"].to_numpy()
+        added = counted.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        out = np.empty(added.num_rows)
+        out[added.column("i").to_numpy()] = added.column("v").to_numpy()
+        return out
 
     return sums
 
@@ -369,7 +371,7 @@ def fit_toxicity(
     hashes = chosen["feature"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     chosen, vocabulary = chosen.iloc[order], Vocabulary(hashes[order])
-    marked = labelled.mapInArrow(_observe(vocabulary), "features array<long>, patterns long, label long").toPandas()
+    marked = labelled.mapInArrow(_observe(vocabulary), "features array<long>, patterns long, label long").toArrow().to_pandas()
     voters = choose_voters(
         *_pairs(marked["features"]), marked["label"].to_numpy(), chosen["gain"].to_numpy(), rate, max_voters
     )
