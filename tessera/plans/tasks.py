@@ -234,20 +234,19 @@ def run_split(spark: SparkSession, task: SplitTask) -> RunReport:
                 )
             if res.warning:
                 warnings.append(res.warning)
-            counts = res.counts
+            counts, why = res.counts, dict(res.reasons)
             if counts is None:  # one combined output that exists: every row stays out
                 n = flagged.count()
-                counts = {"input_rows": n, "output_rows": 0, "excluded_rows": n, "excluded_skipped_existing": n}
+                counts, why = {"input_rows": n, "output_rows": 0, "excluded_rows": n}, {"excluded_skipped_existing": n}
             if counts["excluded_rows"] and res.warning:
                 warnings.append(f"{counts['excluded_rows']} rows of {path} excluded: skipped_existing")
             if raw is not None:  # rows that cleaning took out
                 cleaned = raw - counts["input_rows"]
-                counts = counts | {
-                    "input_rows": raw, "excluded_rows": counts["excluded_rows"] + cleaned, "excluded_cleaning": cleaned
-                }
+                counts = counts | {"input_rows": raw, "excluded_rows": counts["excluded_rows"] + cleaned}
+                why["excluded_cleaning"] = cleaned
             for key in totals:
                 totals[key] += counts[key]
-            for key, n in excluded_by(counts).items():
+            for key, n in excluded_by(why).items():
                 reasons[key] = reasons.get(key, 0) + n
             if res.written:
                 outputs.append(res.path)
@@ -414,7 +413,7 @@ def _write_tables(
         written = written or res.written
         if res.warning and res.warning not in warnings:
             warnings.append(res.warning)
-        for key, n in res.counts.items():
+        for key, n in (res.counts | res.reasons).items():
             total[key] = total.get(key, 0) + n
         manifest += [r.asDict() for r in done.select("split_label", "part_no", "row_count", "output_name", "_skipped").collect()]
     return target, total, warnings, manifest, written

@@ -12,7 +12,7 @@ size guards (K1-K8, F12, F13-F15).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.naming import number_collisions, render_template
 from tessera.functions.values import casefold
-from tessera.plans.reconcile import EXCLUDED, observe_flagged, observed_counts
+from tessera.plans.reconcile import EXCLUDED, excluded_by, observe_flagged, observed_counts
 
 # Largest table a spreadsheet output can hold.
 MAX_OUTPUT_ROWS = 1_048_576
@@ -83,6 +83,13 @@ class WriteResult:
     written: bool
     counts: dict | None
     warning: str | None = None
+    #: Excluded rows by reason (``excluded_blank`` ...), those that left rows out.
+    reasons: dict = field(default_factory=dict)
+
+
+def _result(path: str, observed: dict, warning: str | None = None) -> WriteResult:
+    counts = {k: observed[k] for k in ("input_rows", "output_rows", "excluded_rows")}
+    return WriteResult(path, True, counts, warning, excluded_by(observed))
 
 
 def write_split(
@@ -127,7 +134,7 @@ def write_split(
         writer.parquet(path)
     else:
         raise ValueError(f"Unknown output format: {fmt}")
-    return WriteResult(path, True, observed_counts(obs, flagged))
+    return _result(path, observed_counts(obs, flagged))
 
 
 def _written_names(spark: SparkSession, path: str) -> list[str]:
@@ -177,8 +184,8 @@ def write_named(
     warning = f"Outputs that exist were skipped in {path}" if existing == "skip" and there else None
     if there and names.filter("not _skipped").isEmpty():
         n = flagged.count()
-        counts = {"input_rows": n, "output_rows": 0, "excluded_rows": n, "excluded_skipped_existing": n}
-        return WriteResult(path, False, counts, warning), names
+        counts = {"input_rows": n, "output_rows": 0, "excluded_rows": n}
+        return WriteResult(path, False, counts, warning, {"excluded_skipped_existing": n} if n else {}), names
     # groups with the same label text share one output
     target = names.groupBy(label).agg(F.min_by(F.struct(OUTPUT, "_skipped"), "part_no").alias("_to"))
     rows = flagged.join(target.withColumnRenamed(label, "_label"), F.col(label) == F.col("_label"), "left").drop("_label")
@@ -200,7 +207,7 @@ def write_named(
     if fmt == "csv":
         writer = writer.option("header", "true")
     writer.format(fmt).save(path)
-    return WriteResult(path, True, observed_counts(obs, rows), warning), names
+    return _result(path, observed_counts(obs, rows), warning), names
 
 
 def output_names(
