@@ -1508,12 +1508,13 @@ def s9_detect_header(spark, sf):
 
 def _header_names_sql() -> str:
     parts = []
-    for name, key, cols in (("region", "r_regionkey", ["r_regionkey", "r_name"]), ("nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])):
-        for pos, col in enumerate(cols):
-            title = f"'Report of {name}_' || " if pos == 0 else ""
+    for name, (key, cols) in _GRID_TABLES.items():
+        for pos, (col, _kind) in enumerate(cols):
+            title = f"'Report of {name}', " if pos == 0 else ""
             parts.append(
-                f"SELECT '{name}' AS source_sheet, {pos} AS pos, {title}'{col}_' || CAST({col} AS VARCHAR) AS name "
-                f"FROM (SELECT * FROM {name} ORDER BY {key} LIMIT 1)"
+                f"SELECT '{name}' AS source_sheet, {pos} AS pos, "
+                f"concat_ws('_', {title}'{col}', trim(nullif(CAST({col} AS VARCHAR), ''))) AS name "
+                f"FROM (SELECT 1) LEFT JOIN (SELECT * FROM {name} ORDER BY {key} LIMIT 1) ON true"
             )
     return " UNION ALL ".join(parts)
 
@@ -1521,12 +1522,8 @@ def _header_names_sql() -> str:
 @query("s5_header_names", _header_names_sql())
 def s5_header_names(spark, sf):
     """Three header rows (title, column names, the first row of the
-    table) joined per column with ``_``; empty parts are skipped."""
-    grids = []
-    for name, key, cols in (("region", "r_regionkey", ["r_regionkey", "r_name"]), ("nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])):
-        df = table(spark, sf, name).select(*cols)
-        grids.append(G.table_to_grid(df, f"{name}.xlsx", name, [key], leading_rows=[[f"Report of {name}"]]))
-    names = G.unique_headers(G.header_parts(grids[0].unionByName(grids[1]), 1, 3))
+    table) of each table's grid joined per column with ``_``; empty parts are skipped."""
+    names = G.unique_headers(G.header_parts(_report_grids(spark, sf), 1, 3))
     return names.select("source_sheet", "pos", "name")
 
 

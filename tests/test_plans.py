@@ -35,3 +35,14 @@ def test_split_scan_is_pruned_and_the_manifest_scans_no_more(spark):
 def test_filters_reach_the_scan(spark):
     plan = _plan(QUERIES["u7_same_name"](spark, SF))
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,P)]" in plan
+
+
+def test_header_names_cover_every_column_of_the_report_tables(spark):
+    got = {(r["source_sheet"], r["pos"]): r["name"] for r in QUERIES["s5_header_names"](spark, SF).collect()}
+    tables = {"region": "r_regionkey", "nation": "n_nationkey", "part": "p_partkey", "orders": "o_orderkey"}
+    columns = {t: spark.read.parquet(f"{SF}/{t}.parquet").columns for t in tables}
+    assert set(got) == {(t, i) for t in tables for i in range(len(columns[t]))}
+    for t, key in tables.items():
+        first = spark.read.parquet(f"{SF}/{t}.parquet").orderBy(key).first()
+        assert got[t, 0] == f"Report of {t}_{key}_{first[0]}"
+        assert all(got[t, i].startswith(f"{c}_") for i, c in enumerate(columns[t]) if i)
