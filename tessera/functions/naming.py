@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.unique import Names
 from tessera.functions.values import WS_RUN_PATTERN, casefold, col_of, trim_ws
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, materialise
 
 # Characters not allowed in file names, and reserved device names.
 UNSAFE_PATH_CHARS = '[<>:"/\\\\|?*\\x00-\\x1f]'
@@ -144,22 +144,24 @@ def number_collisions(
     slices = rows.groupBy("_family", "_same", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     names = slices.groupBy("_family", "_same").agg(F.sum("_n").alias("_n"))
     numbered = names.filter("_n > 1").select(F.col("_same").alias("_base"))
-    tangled = (
-        names.select("_family", F.regexp_extract("_same", "^(.*)_[0-9]+$", 1).alias("_base"))
-        .join(numbered, "_base", "left_semi")
-        .select("_family")
-        .distinct()
-    )
+    # a base or family that all names share is one row a task here: the pairs are combined before they are dealt
+    bases = names.select("_family", F.regexp_extract("_same", "^(.*)_[0-9]+$", 1).alias("_base")).distinct()
+    tangled = bases.join(numbered, "_base", "left_semi").select("_family").distinct()
+    tangled = materialise(tangled, "tangled")  # files of known size: few families are broadcast, and no row is dealt by family
+    walking = not tangled.isEmpty()
     earlier = Window.partitionBy("_same").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select("_same", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_same", "_slice").orderBy("_at"))
-    simple = rows.join(tangled, "_family", "left_anti").withColumn("_k", inside).join(offsets, ["_same", "_slice"])
+    plain = rows.join(tangled, "_family", "left_anti") if walking else rows
+    simple = plain.withColumn("_k", inside).join(offsets, ["_same", "_slice"])
     ending = F.when(F.col("_k") + F.col("_before") > 1, F.concat(F.lit("_"), (F.col("_k") + F.col("_before")).cast("string")))
     ending = F.coalesce(ending, F.lit(""))
     base = F.col(name)
     if max_length is not None:
         base = F.substring(base, F.lit(1), F.lit(int(max_length)) - F.length(ending))
     simple = simple.select(*manifest.columns, F.concat(base, ending).alias("_unique"))
+    if not walking:
+        return simple.withColumn(out, F.col("_unique")).drop("_unique")
 
     columns = list(manifest.columns)
 

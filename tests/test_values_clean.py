@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -114,6 +115,21 @@ def test_colliding_names_never_coincide(spark):
     assert out.filter("part_no = 12345").first()["out"] == "part_12345"
 
 
+def test_names_of_one_template_are_not_dealt_by_their_family(spark):
+    """Numbers in a template give all names one family; the rows must not meet in its task."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(1, 2001, numPartitions=4).select(F.concat(F.lit("orders_"), "id").alias("name"), F.col("id").alias("part_no"))
+    out = N.number_collisions(rows, "name", "part_no", out="out")
+    assert out.where("out = name").count() == 2000
+    assert not re.search(r"hashpartitioning\(_family#\d+, \d+", plan(out))
+    odd = spark.createDataFrame([("a", 2001), ("A", 2002), ("a_2", 2003)], "name string, part_no long")
+    out = N.number_collisions(rows.unionByName(odd), "name", "part_no", out="out")
+    assert re.search(r"BroadcastHashJoin \[_family#\d+\], \[_family#\d+\], LeftAnti", plan(out))
+    got = {r["part_no"]: r["out"] for r in out.collect()}
+    assert [got.pop(k) for k in (2001, 2002, 2003)] == ["a", "A_2", "a_2_2"]
+    assert got == {k: f"orders_{k}" for k in range(1, 2001)}
+
+
 def test_real_text_is_pythons(spark):
     values = [0.0, 1.5, -2.25, 1e-6, 2.5e-7, 0.0005, 0.00012345, 0.1, 12345678.5, 1e7, 1e15, 123456789012345.6, 1e16, 1.5e20, -3.25e-9, 1e100]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
